@@ -1,0 +1 @@
+"""The inventory has no stream operator; cross-products are additive, so a stream would keep running sums."""
