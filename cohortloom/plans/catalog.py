@@ -44,7 +44,7 @@ def rd(c, n: int = 6) -> Column:
     return F.round(c, n) + F.lit(0.0)
 
 
-def rounded(df: DataFrame, n: int = 6, **digits: int) -> DataFrame:
+def rounded(df: DataFrame, n: int = 6, /, **digits: int) -> DataFrame:
     """Round every floating column; ``digits`` overrides single columns."""
     out = []
     for f in df.schema:

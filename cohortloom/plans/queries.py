@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cohortloom.plans import cohort_queries  # noqa: F401
+from cohortloom.plans import atlas_queries, cohort_queries, hierarchy_queries, model_queries, stats_queries, temporal_queries  # noqa: F401
 from cohortloom.plans.catalog import REGISTRY
 
 __all__ = ["REGISTRY"]
