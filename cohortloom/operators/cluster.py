@@ -70,17 +70,17 @@ def silhouette(df: DataFrame, row_id: str, vec: str, label: str, block_rows: int
     base = base.withColumn("b", F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = base.select(row_id, "v", F.col("b").alias("bi"), F.explode(others).alias("bj"))
-    right = base.select("v", "c", F.col("b").alias("bj"), F.explode(others).alias("bi"))
+    right = base.select(F.col("v").alias("w"), F.col("c").alias("cw"), F.col("b").alias("bj"), F.explode(others).alias("bi"))
     schema = StructType([df.schema[row_id], StructField("other", df.schema[label].dataType), StructField("s", DoubleType())])
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({row_id: [], "other": [], "s": []})
-        d = _squares(np.vstack(a["v"].to_numpy()), np.vstack(b["v"].to_numpy()))
+        d = _squares(np.vstack(a["v"].to_numpy()), np.vstack(b["w"].to_numpy()))
         # Summing squares through the dot product leaves rounding noise on the diagonal.
         d[d < 1e-7] = 0.0
         parts = []
-        for c, ix in b.groupby("c", sort=False).indices.items():
+        for c, ix in b.groupby("cw", sort=False).indices.items():
             parts.append(pd.DataFrame({row_id: a[row_id].to_numpy(), "other": c, "s": d[:, ix].sum(axis=1)}))
         return pd.concat(parts, ignore_index=True)
 

@@ -56,6 +56,7 @@ def _apply(rows: DataFrame, bases: DataFrame, subject: str, t: str, v: int, k: i
     out_name = "fitted" if back else "proj"
     left = rows.select(subject, t, source, F.floor(F.col(t) / SPAN).alias("_span"))
     spans = left.select(subject, "_span").distinct().join(bases, subject)
+    spans = spans.select(F.col(subject).alias("_who"), F.col("_span").alias("_part"), "w")
     schema = StructType([*key_fields(left, [subject, t]), StructField(out_name, ArrayType(DoubleType()))])
 
     def step(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -66,7 +67,7 @@ def _apply(rows: DataFrame, bases: DataFrame, subject: str, t: str, v: int, k: i
         y = x @ w.T if back else x @ w
         return pd.DataFrame({subject: a[subject], t: a[t], out_name: list(y)})
 
-    return left.groupBy(subject, "_span").cogroup(spans.groupBy(subject, "_span")).applyInPandas(step, schema)
+    return left.groupBy(subject, "_span").cogroup(spans.groupBy("_who", "_part")).applyInPandas(step, schema)
 
 
 def _mean_vector(df: DataFrame, t: str, vec: str, out: str) -> DataFrame:

@@ -57,7 +57,7 @@ def group_glm_fdr(spark, sf):
 @query(
     "group_axis",
     "F1 S2 W5 D9 D11 H11 A1 A3c",
-    f"WITH {EMB}, q AS (SELECT * FROM emb WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0)), z AS (SELECT vec_id, label, parcel, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM q WINDOW w AS (PARTITION BY vec_id)), "
+    f"WITH {EMB}, kept AS (SELECT * FROM emb WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0)), z AS (SELECT vec_id, label, parcel, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM kept WINDOW w AS (PARTITION BY vec_id)), "
     f"{_FW.format(y='z', src='z')}, pv AS (SELECT *, {t_tail_sql('t', 'df')} AS p FROM t), {_BH.format(f='PARTITION BY 1')}, {_NET}, "
     "s AS (SELECT parcel, t, CASE WHEN adj < 0.025 THEN sign(t) ELSE 0 END AS sig FROM a) "
     f"SELECT network, CAST(sum(greatest(sig, 0)) AS BIGINT) AS n_positive, CAST(sum(least(sig, 0)) AS BIGINT) AS n_negative, count(*) AS n, {R('avg(t)', 4)} AS mean_t FROM net JOIN s USING (parcel) GROUP BY 1",

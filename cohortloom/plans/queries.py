@@ -1,6 +1,16 @@
 """All registered queries."""
 
-from cohortloom.plans import atlas_queries, cohort_queries, hierarchy_queries, model_queries, stats_queries, temporal_queries  # noqa: F401
+from cohortloom.plans import (  # noqa: F401
+    atlas_queries,
+    cohort_queries,
+    encoding_queries,
+    hierarchy_queries,
+    model_queries,
+    prediction_queries,
+    stats_queries,
+    subtype_queries,
+    temporal_queries,
+)
 from cohortloom.plans.catalog import REGISTRY
 
 __all__ = ["REGISTRY"]
