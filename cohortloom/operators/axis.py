@@ -111,7 +111,7 @@ def align_sign(scores: DataFrame, reference: DataFrame, subject: str, parcel: st
         r = j.groupBy(subject, "comp").agg(F.count("*").alias("n"), corr("score", "_ref").alias("r"))
         r = bh(_r_to_p(r), [subject], "p", "q", small_family=True)
         flip = (F.col("r") < 0) & (F.col("q") < alpha)
-        signs = cut(r.select(subject, "comp", F.when(flip, -1.0).otherwise(1.0).alias("sign")))
+        signs = r.select(subject, "comp", F.when(flip, -1.0).otherwise(1.0).alias("sign"))
         new = scores.join(signs, [subject, "comp"]).groupBy(parcel, "comp").agg(F.avg(F.col("score") * F.col("sign")).alias("_new"))
         new = cut(new)
         step = new.join(ref, [parcel, "comp"]).agg(F.sum(F.pow(F.col("_ref") - F.col("_new"), 2))).first()[0]
@@ -146,7 +146,7 @@ def align_procrustes(scores: DataFrame, reference: DataFrame, subject: str, parc
     ref, last, rot = reference.select(parcel, "vec"), None, None
     turned = F.array(*[sum((F.col("vec")[a] * F.col("rotation")[a * k + b] for a in range(k)), F.lit(0.0)) for b in range(k)])
     for _ in range(n_iter):
-        rot = cut(procrustes_rotation(scores, ref, subject, parcel, k))
+        rot = procrustes_rotation(scores, ref, subject, parcel, k)
         al = scores.join(rot, subject).select(parcel, turned.alias("v"))
         new = cut(al.groupBy(parcel).agg(F.array(*[F.avg(F.col("v")[b]) for b in range(k)]).alias("vec")))
         d = F.aggregate(F.zip_with("vec", "_o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)

@@ -118,14 +118,14 @@ def permuted_outcome(df: DataFrame, row_id: str, y: str, n_perm: int, seed: int)
     come from bucketed ranks, so no permutation is sorted as a whole.
     """
     perms = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))
-    place = rank_table(df.select(row_id), [], row_id).select(row_id, F.col("below").alias("_pos"))
+    place = rank_table(df.select(row_id), [], row_id).select(row_id, F.col("_below").alias("_pos"))
     shuffled = df.select(row_id, y, perms.alias("perm")).withColumn("_h", key_hash(row_id, "perm", seed))
     # Row ids break hash ties: ties sort by id within equal hashes.
-    t = rank_table(shuffled, ["perm"], "_h").select("perm", "_h", "below", "n")
-    lone = shuffled.join(t.filter("n = 1"), ["perm", "_h"]).select("perm", y, F.col("below").alias("_pos"))
-    tied = shuffled.join(t.filter("n > 1"), ["perm", "_h"])
-    inner = rank_table(tied, ["perm", "_h"], row_id).select("perm", "_h", row_id, F.col("below").alias("_in"))
-    tied = tied.join(inner, ["perm", "_h", row_id]).select("perm", y, (F.col("below") + F.col("_in")).alias("_pos"))
+    t = rank_table(shuffled, ["perm"], "_h").select("perm", "_h", "_below", "_n")
+    lone = shuffled.join(t.filter("_n = 1"), ["perm", "_h"]).select("perm", y, F.col("_below").alias("_pos"))
+    tied = shuffled.join(t.filter("_n > 1"), ["perm", "_h"])
+    inner = rank_table(tied, ["perm", "_h"], row_id).select("perm", "_h", row_id, F.col("_below").alias("_in"))
+    tied = tied.join(inner, ["perm", "_h", row_id]).select("perm", y, (F.col("_below") + F.col("_in")).alias("_pos"))
     return lone.unionByName(tied).join(place, "_pos").select("perm", row_id, y)
 
 

@@ -69,15 +69,16 @@ def running_totals(df: DataFrame, keys, order: str, values: dict[str, Column]) -
 
 
 def rank_table(df: DataFrame, keys, order: str) -> DataFrame:
-    """Per distinct value: its count ``n``, number of smaller rows, average rank, group size."""
-    t = running_totals(df, keys, order, {"n": F.lit(1).cast("bigint")})
+    """Per distinct value: its count ``_n``, number of smaller rows ``_below``, average rank
+    ``_avg_rank``, group size ``_total``."""
+    t = running_totals(df, keys, order, {"_n": F.lit(1).cast("bigint")})
     return t.select(
         *keys,
         order,
-        "n",
-        F.col("below_n").alias("below"),
-        (F.col("below_n") + (F.col("n") + 1) / 2).alias("avg_rank"),
-        F.col("all_n").alias("total"),
+        "_n",
+        F.col("below__n").alias("_below"),
+        (F.col("below__n") + (F.col("_n") + 1) / 2).alias("_avg_rank"),
+        F.col("all__n").alias("_total"),
     )
 
 
@@ -86,11 +87,11 @@ def percentiles(df: DataFrame, keys, value: str, ps: dict[str, float]) -> DataFr
     t = rank_table(df, keys, value)
     aggs = []
     for name, p in ps.items():
-        h = F.lit(float(p)) * (F.col("total") - 1)
+        h = F.lit(float(p)) * (F.col("_total") - 1)
         for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (F.col("below") <= pos) & (pos < F.col("below") + F.col("n"))
+            hit = (F.col("_below") <= pos) & (pos < F.col("_below") + F.col("_n"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}_{name}"))
-    g = t.groupBy(*keys).agg(F.max("total").alias("_n"), *aggs)
+    g = t.groupBy(*keys).agg(F.max("_total").alias("_n"), *aggs)
     out = []
     for name, p in ps.items():
         h = F.lit(float(p)) * (F.col("_n") - 1)
@@ -115,7 +116,7 @@ def top_fraction(df: DataFrame, keys, value: str, frac: float) -> DataFrame:
     Ties at the boundary are kept together only if the whole tie fits.
     """
     t = rank_table(df, keys, value)
-    inside = t.filter(F.col("total") - F.col("below") <= F.floor(F.col("total") * frac)).select(*keys, value)
+    inside = t.filter(F.col("_total") - F.col("_below") <= F.floor(F.col("_total") * frac)).select(*keys, value)
     return df.join(inside, [*keys, value], "left_semi")
 
 
@@ -150,7 +151,7 @@ def best_model(df: DataFrame, model: str, smaller_better, larger_better) -> Data
 def renumber(df: DataFrame, keys, order: str, out: str = "frame") -> DataFrame:
     """Consecutive frame names ``f00001`` in the order of a unique frame position."""
     t = rank_table(df.select(*keys, order).distinct(), keys, order)
-    names = t.select(*keys, order, F.concat(F.lit("f"), F.lpad((F.col("below") + 1).cast("string"), 5, "0")).alias(out))
+    names = t.select(*keys, order, F.concat(F.lit("f"), F.lpad((F.col("_below") + 1).cast("string"), 5, "0")).alias(out))
     return df.join(names, [*keys, order])
 
 

@@ -57,7 +57,7 @@ def repeat_folds(ids: DataFrame, row_id: str, n_rep: int, k: int, seed: int = 42
     """
     h = ids.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep"))
     h = h.withColumn("_h", key_hash(row_id, "rep", seed))
-    pos = rank_table(h, ["rep"], "_h").select("rep", "_h", F.col("below").alias("_p"))
+    pos = rank_table(h, ["rep"], "_h").select("rep", "_h", F.col("_below").alias("_p"))
     h = h.join(pos, ["rep", "_h"])
     p, rep = F.col("_p"), F.col("rep")
     if halves:

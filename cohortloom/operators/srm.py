@@ -87,7 +87,8 @@ def shared_response(signal: DataFrame, subject: str, t: str, v: int, k: int, n_i
     shared = cut(_mean_vector(start, t, "p", "s"))
     bases = None
     for _ in range(n_iter):
-        bases = cut(_bases(_cross(signal.join(shared, t), subject, v, k), subject, v, k))
+        bases = _bases(_cross(signal.join(shared, t), subject, v, k), subject, v, k)
         shared = cut(_mean_vector(_apply(signal, bases, subject, t, v, k, back=False), t, "proj", "s"))
+    bases = cut(bases)
     fitted = _apply(signal.select(subject, t).join(shared, t), bases, subject, t, v, k, back=True)
     return bases, shared, fitted

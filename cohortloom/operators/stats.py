@@ -30,14 +30,14 @@ def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     """Pearson on average ranks, from one row per distinct (x, y)."""
     keys = list(keys)
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = both.groupBy(*keys, x, y).agg(F.count("*").alias("c"))
-    rx = rank_table(both, keys, x).select(*keys, x, F.col("avg_rank").alias("rx"), "total")
-    ry = rank_table(both, keys, y).select(*keys, y, F.col("avg_rank").alias("ry"))
+    cells = both.groupBy(*keys, x, y).agg(F.count("*").alias("_c"))
+    rx = rank_table(both, keys, x).select(*keys, x, F.col("_avg_rank").alias("_rx"), "_total")
+    ry = rank_table(both, keys, y).select(*keys, y, F.col("_avg_rank").alias("_ry"))
     j = cells.join(rx, [*keys, x]).join(ry, [*keys, y])
-    mid = (F.col("total") + 1) / 2
-    u, v, c = F.col("rx") - mid, F.col("ry") - mid, F.col("c")
+    mid = (F.col("_total") + 1) / 2
+    u, v, c = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_c")
     g = j.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
+        F.sum("_c").alias("n"),
         F.sum(c * u * v).alias("_uv"),
         F.sum(c * u * u).alias("_uu"),
         F.sum(c * v * v).alias("_vv"),
@@ -55,9 +55,9 @@ def concordance(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     """
     keys = list(keys)
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = both.groupBy(*keys, x, y).agg(F.count("*").alias("c"))
-    levels = running_totals(both.groupBy(*keys, x).agg(F.count("*").alias("_m")), keys, x, {"one": F.lit(1).cast("bigint")})
-    levels = levels.select(*keys, x, F.col("below_one").alias("_rank"), F.expr("length(bin(all_one - 1))").alias("_bits"))
+    cells = both.groupBy(*keys, x, y).agg(F.count("*").alias("_c"))
+    levels = running_totals(both.groupBy(*keys, x).agg(F.count("*").alias("_m")), keys, x, {"_one": F.lit(1).cast("bigint")})
+    levels = levels.select(*keys, x, F.col("below__one").alias("_rank"), F.expr("length(bin(all__one - 1))").alias("_bits"))
     bits = cells.join(levels, [*keys, x]).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
     bits = bits.withColumn("_node", F.expr("shiftright(_rank, _bit + 1)")).withColumn(
         "_upper", F.expr("shiftright(_rank, _bit) & 1") == 1
@@ -67,17 +67,17 @@ def concordance(df: DataFrame, keys, x: str, y: str) -> DataFrame:
         [*keys, "_bit", "_node"],
         y,
         {
-            "lo": F.when(F.col("_upper"), 0).otherwise(F.col("c")),
-            "hi": F.when(F.col("_upper"), F.col("c")).otherwise(0),
+            "_lo": F.when(F.col("_upper"), 0).otherwise(F.col("_c")),
+            "_hi": F.when(F.col("_upper"), F.col("_c")).otherwise(0),
         },
     )
-    conc = run.groupBy(*keys).agg(F.sum((F.col("hi") * F.col("below_lo")).cast("double")).alias("concordant"))
+    conc = run.groupBy(*keys).agg(F.sum(F.col("_hi").cast("double") * F.col("below__lo")).alias("concordant"))
 
     def ties(cols, name):
-        g = both.groupBy(*keys, *cols).agg(F.count("*").cast("double").alias("t"))
-        t = F.col("t")
+        g = both.groupBy(*keys, *cols).agg(F.count("*").cast("double").alias("_t"))
+        t = F.col("_t")
         return g.groupBy(*keys).agg(
-            F.sum("t").alias(f"_n_{name}"),
+            F.sum("_t").alias(f"_n_{name}"),
             F.sum(t * (t - 1) / 2).alias(f"tied_{name}"),
             F.sum(t * (t - 1) * (t - 2)).alias(f"_t0_{name}"),
             F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_t1_{name}"),
@@ -254,13 +254,13 @@ def wilcoxon(df: DataFrame, keys, value: str, alternative: str = "two-sided") ->
     """Signed-rank test; zeros are dropped."""
     keys = list(keys)
     d = df.filter(F.col(value) != 0).select(*keys, F.abs(value).alias("_abs"), (F.col(value) > 0).alias("_pos"))
-    t = running_totals(d, keys, "_abs", {"c": F.lit(1).cast("bigint"), "pos": F.col("_pos").cast("bigint")})
-    rank = F.col("below_c") + (F.col("c") + 1) / 2
-    c = F.col("c").cast("double")
+    t = running_totals(d, keys, "_abs", {"_c": F.lit(1).cast("bigint"), "_up": F.col("_pos").cast("bigint")})
+    rank = F.col("below__c") + (F.col("_c") + 1) / 2
+    c = F.col("_c").cast("double")
     g = t.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
-        F.sum(F.col("pos") * rank).alias("w_plus"),
-        F.max(F.col("c") > 1).alias("_ties"),
+        F.sum("_c").alias("n"),
+        F.sum(F.col("_up") * rank).alias("w_plus"),
+        F.max(F.col("_c") > 1).alias("_ties"),
         F.sum(c * c * c - c).alias("_tsum"),
     )
     p = tails.wilcoxon_tail(alternative)("w_plus", "n", "_ties", "_tsum")
@@ -292,8 +292,8 @@ def bh(df: DataFrame, family, p: str, out: str = "p_adj", small_family: bool = F
         tail = part.orderBy(F.col(p).asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
         adj = F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(tail), F.lit(1.0)))
         return raw.withColumn(out, adj).drop("_raw")
-    t = running_totals(df, family, p, {"c": F.lit(1).cast("bigint")})
-    t = t.withColumn("_raw", F.col(p) * F.col("all_c") / (F.col("below_c") + F.col("c")))
+    t = running_totals(df, family, p, {"_c": F.lit(1).cast("bigint")})
+    t = t.withColumn("_raw", F.col(p) * F.col("all__c") / (F.col("below__c") + F.col("_c")))
     inside = Window.partitionBy(*family, "_bucket").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
     after = Window.partitionBy(*_by(family)).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     later = t.groupBy(*family, "_bucket").agg(F.min("_raw").alias("_low"))

@@ -94,7 +94,7 @@ def block_holdout(blocks: DataFrame, keys, block: str, n_boot: int, frac: int, s
     # The block number breaks ties of the hash, so every value is distinct.
     b = b.withColumn("_h", key_hash(block, "boot", seed) * 1000003 + F.col(block))
     r = rank_table(b, [*keys, "boot"], "_h")
-    held = r.filter(F.col("below") < F.floor(F.col("total") / frac)).select(*keys, "boot", "_h")
+    held = r.filter(F.col("_below") < F.floor(F.col("_total") / frac)).select(*keys, "boot", "_h")
     return b.join(held, [*keys, "boot", "_h"], "left_semi").drop("_h")
 
 

@@ -135,9 +135,9 @@ _HALF = (
 )
 # Likelihood over a fixed fine grid of rho; rounded coarsely because the library refines further.
 _SHARP = (
-    "s AS (SELECT item, count(*) AS j, avg((d_a + d_b) / 2) AS m, sum(pow(d_a - d_b, 2)) / 2 AS anti, var_pop(d_a + d_b) * count(*) / 2 AS sym FROM h GROUP BY 1), "
+    "s AS (SELECT item, count(*) AS j, avg((d_a + d_b) / 2) AS m, sum(pow(d_a - d_b, 2)) / 2 AS qa, var_pop(d_a + d_b) * count(*) / 2 AS qs FROM h GROUP BY 1), "
     "g AS (SELECT *, -1.0 / (2 * j - 1) + 1e-4 + (0.5 - 1e-4 + 1.0 / (2 * j - 1) - 1e-4) * i / 40000.0 AS rho FROM s, range(0, 40001) t(i)), "
-    "c AS (SELECT *, anti + sym / (1 - 2 * rho) + 2 * j * m * m / (1 + 2 * (j - 1) * rho) AS q FROM g), "
+    "c AS (SELECT *, qa + qs / (1 - 2 * rho) + 2 * j * m * m / (1 + 2 * (j - 1) * rho) AS q FROM g), "
     "b AS (SELECT item, any_value(j) AS j, any_value(m) AS m, arg_min(rho, j * ln(q) + 0.5 * ((j - 1) * ln(1 - 2 * rho) + ln(1 + 2 * (j - 1) * rho))) AS rho, arg_min(q, j * ln(q) + 0.5 * ((j - 1) * ln(1 - 2 * rho) + ln(1 + 2 * (j - 1) * rho))) AS q FROM c GROUP BY 1)"
 )
 
