@@ -29,10 +29,21 @@ def collapse_delays(w: DataFrame, keys, delay: str, value: str, how: str) -> Dat
 def pack_rows(df: DataFrame, keys, feature: str, value: str, vocab, out: str = "vec") -> DataFrame:
     """One array per key in vocabulary order; absent features are 0. The vocabulary is fixed."""
     check_width(len(vocab))
-    m = F.map_from_entries(F.collect_list(F.struct(feature, value)))
-    order = F.array(*[F.lit(v) for v in vocab])
-    g = df.groupBy(*keys).agg(m.alias("_m"))
-    return g.select(*keys, F.transform(order, lambda f: F.coalesce(F.element_at("_m", f), F.lit(0.0))).alias(out))
+    place = F.array_position(F.array(*[F.lit(v) for v in vocab]), F.col(feature)) - 1
+    d = df.select(*keys, place.cast("int").alias("_i"), F.col(value).cast("double").alias("_v")).filter("_i >= 0")
+    g = d.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_v")).alias("_e"))
+    return g.select(*keys, dense("_e", len(vocab)).alias(out))
+
+
+def dense(entries: str, width: int) -> Column:
+    """Array of ``width`` values from (position, value) entries; absent positions are 0.
+
+    Complete rows only need sorting; the lookup is for rows with gaps.
+    """
+    ordered = F.transform(F.array_sort(entries), lambda e: e["_v"])
+    m = F.map_from_entries(entries)
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+    return F.when(F.size(entries) == width, ordered).otherwise(gaps)
 
 
 def dot(a, b) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from cohortloom.functions import tails
 from cohortloom.functions.scalar import corr, corr_or_zero, safe_divide, spearman_brown
 from cohortloom.functions.small import unpack
+from cohortloom.operators.axis import dense
 from cohortloom.operators.gram import check_width, complement, gram_wide, key_fields, map_rows, sum_grams
 from cohortloom.operators.ordering import argmax_by
 from cohortloom.operators.stats import bh, bonferroni
@@ -30,6 +31,7 @@ BOOT_FRACTION = 4
 N_BOOT = 30
 SPLIT_BLOCK = 25
 EIGEN_CUT = 1e-10**2
+SPAN = 1024  # time points of a subject that stay in one task
 
 
 def design(regressors: DataFrame, signal: DataFrame, subject: str, t: str, features, delays, parcels) -> DataFrame:
@@ -42,14 +44,13 @@ def design(regressors: DataFrame, signal: DataFrame, subject: str, t: str, featu
     fpos = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
     ppos = F.array_position(F.array(*[F.lit(p) for p in parcels]), F.col("parcel")) - 1
     moved = regressors.select(subject, t, fpos.alias("_f"), F.col("x").alias("v"), F.posexplode(F.array(*[F.lit(d) for d in delays])).alias("_k", "_d"))
-    xs = moved.filter("_f >= 0").select(subject, (F.col(t) + F.col("_d")).alias(t), (F.col("_k") * nf + F.col("_f")).alias("i"), "v")
-    ys = signal.select(subject, t, (ppos + nf * nd).alias("i"), F.col("y").alias("v")).filter(F.col("i") >= nf * nd)
-    g = xs.unionByName(ys).groupBy(subject, t).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m"), F.max(F.col("i")).alias("_top")
-    )
-    order = F.sequence(F.lit(0).cast("bigint"), F.lit(nf * nd + npar - 1).cast("bigint"))
-    row = F.transform(order, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-    return g.filter(F.col("_top") >= nf * nd).select(subject, t, row.alias("row"))
+    xs = moved.filter("_f >= 0").select(subject, (F.col(t) + F.col("_d")).alias(t), (F.col("_k") * nf + F.col("_f")).cast("int").alias("_i"), F.col("v").alias("_v"))
+    ys = signal.select(subject, t, (ppos + nf * nd).cast("int").alias("_i"), F.col("y").alias("_v")).filter(F.col("_i") >= nf * nd)
+    # One shuffle by subject and a bounded span of time serves the packing here and the sums later:
+    # a subject's rows stay together, a very long series still spreads over tasks.
+    both = xs.unionByName(ys).withColumn("_span", F.floor(F.col(t) / SPAN).cast("int")).repartition(subject, "_span")
+    g = both.groupBy(subject, "_span", t).agg(F.collect_list(F.struct("_i", "_v")).alias("_e"), F.max("_i").alias("_top"))
+    return g.filter(F.col("_top") >= nf * nd).select(subject, t, dense("_e", nf * nd + npar).alias("row"))
 
 
 def train_position(t: str, fold, n_points: int, n_chunks: int) -> Column:

@@ -21,6 +21,7 @@ from cohortloom.session import parallelism
 
 NARROW = 16  # up to this many columns the sums run as plain SQL aggregates
 FLUSH_FLOATS = 4_000_000  # cells a task keeps before it emits its partial sums
+SEGMENT = 4096  # cells of a matrix that one task adds up
 
 
 def gram_narrow(df: DataFrame, keys, cols) -> DataFrame:
@@ -35,8 +36,33 @@ def gram_narrow(df: DataFrame, keys, cols) -> DataFrame:
     return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*names).alias("g"))
 
 
+def _runs(pdf: pd.DataFrame, keys) -> np.ndarray:
+    """Start of every run of equal keys in sorted rows."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _batch_grams(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Packed cross-products of every run of rows."""
+    p = x.shape[1]
+    if p > 40 or len(starts) == 1:
+        ends = np.append(starts[1:], len(x))
+        return np.stack([pack(x[a:b].T @ x[a:b]) for a, b in zip(starts, ends, strict=True)])
+    i, j = np.triu_indices(p)
+    return np.add.reduceat(x[:, i] * x[:, j], starts, axis=0)
+
+
 def gram_wide(df: DataFrame, keys, vec: str, width: int) -> DataFrame:
-    """Cross-products of an array column: partial matrices per task, summed by cell."""
+    """Cross-products of an array column: partial matrices per task, then summed per key.
+
+    A task emits one partial matrix per key it meets. Where keys have few rows each, cluster the
+    rows by the key and a bounded slice of it first (as the encoding design does), so that the
+    partial matrices do not outgrow the rows.
+    """
     keys = list(keys)
     p = width + 1
     schema = StructType([*[df.schema[k] for k in keys], StructField("g", ArrayType(DoubleType()))])
@@ -45,28 +71,27 @@ def gram_wide(df: DataFrame, keys, vec: str, width: int) -> DataFrame:
         held: dict = {}
 
         def flush():
-            if not held:
-                return None
             out = pd.DataFrame(list(held), columns=keys) if keys else pd.DataFrame(index=range(1))
-            out["g"] = [pack(m) for m in held.values()]
+            out["g"] = list(held.values())
             held.clear()
             return out
 
         for pdf in batches:
             if pdf.empty:
                 continue
+            if keys:
+                pdf = pdf.sort_values(keys, kind="stable", ignore_index=True)
             x = np.ones((len(pdf), p))
             x[:, 1:] = np.vstack(pdf[vec].to_numpy())
-            groups = pdf.groupby(keys, sort=False).indices if keys else {(): np.arange(len(pdf))}
-            for key, rows in groups.items():
-                key = key if isinstance(key, tuple) else (key,)
-                m = x[rows]
-                held[key] = held[key] + m.T @ m if key in held else m.T @ m
-                if len(held) * p * p > FLUSH_FLOATS:
-                    yield flush()
-        last = flush()
-        if last is not None:
-            yield last
+            starts = _runs(pdf, keys) if keys else np.array([0])
+            grams = _batch_grams(x, starts)
+            names = pdf[keys].iloc[starts].itertuples(index=False, name=None) if keys else [()]
+            for key, g in zip(names, grams, strict=True):
+                held[key] = held[key] + g if key in held else g
+            if len(held) * grams.shape[1] > FLUSH_FLOATS:
+                yield flush()
+        if held:
+            yield flush()
 
     parts = df.filter(F.col(vec).isNotNull()).select(*keys, vec).mapInPandas(partial, schema)
     return sum_grams(parts, keys)
@@ -80,12 +105,50 @@ def gram(df: DataFrame, keys, cols) -> DataFrame:
     return gram_wide(df.dropna(subset=cols).select(*keys, vec.alias("_x")), keys, "_x", len(cols))
 
 
-def sum_grams(df: DataFrame, keys) -> DataFrame:
-    """Cell-wise sum of packed matrices; the cells are shuffled apart, then put together again."""
+def sum_grams(df: DataFrame, keys, name: str = "g") -> DataFrame:
+    """Sum of packed arrays per key.
+
+    Arrays are cut into segments, so that one key's arrays from many tasks are added up by several
+    tasks; rows arrive sorted and are added as they stream by.
+    """
     keys = list(keys)
-    cells = df.select(*keys, F.posexplode("g").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
-    packed = F.array_sort(F.collect_list(F.struct("_i", "_v")))
-    return cells.groupBy(*keys).agg(F.transform(packed, lambda s: s["_v"]).alias("g"))
+    one = [] if keys else [F.lit(0).alias("_one")]
+    by = keys or ["_one"]
+    count = F.ceil(F.size(name) / SEGMENT).cast("int")
+    cut_up = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(name, i * SEGMENT + 1, F.lit(SEGMENT)))
+    seg = df.filter(F.size(name) > 0).select(*keys, *one, F.posexplode(cut_up).alias("_seg", "_v"))
+    order = [*by, "_seg"]
+    schema = StructType([*[seg.schema[c] for c in order], StructField("_v", ArrayType(DoubleType()))])
+
+    def add(batches):
+        last = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            starts = _runs(pdf, order)
+            lengths = pdf["_v"].iloc[starts].map(len).to_numpy()
+            out = pdf[order].iloc[starts].reset_index(drop=True)
+            if (lengths == lengths[0]).all():
+                out["_v"] = list(np.add.reduceat(np.vstack(pdf["_v"].to_numpy()), starts, axis=0))
+            else:
+                ends = np.append(starts[1:], len(pdf))
+                out["_v"] = [np.sum(np.vstack(pdf["_v"].iloc[a:b].to_numpy()), axis=0) for a, b in zip(starts, ends, strict=True)]
+            if last is not None:
+                if tuple(last[order].iloc[0]) == tuple(out[order].iloc[0]):
+                    out.at[0, "_v"] = out.at[0, "_v"] + last["_v"].iloc[0]
+                else:
+                    yield last
+            last = out.iloc[-1:].reset_index(drop=True)
+            if len(out) > 1:
+                yield out.iloc[:-1]
+        if last is not None:
+            yield last
+
+    summed = seg.repartition(*order).sortWithinPartitions(*order).mapInPandas(add, schema)
+    # Segments of a key, put in order; their number is fixed by the width of the matrix.
+    packed = F.array_sort(F.collect_list(F.struct("_seg", "_v")))
+    out = summed.groupBy(*by).agg(F.flatten(F.transform(packed, lambda s: s["_v"])).alias(name))
+    return out.select(*keys, name)
 
 
 def complement(grams: DataFrame, keys, part: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from cohortloom.operators.gram import check_width, key_fields, map_rows
+from cohortloom.operators.gram import check_width, key_fields, map_rows, sum_grams
 from cohortloom.session import cut
 
 SPAN = 512  # time points per task group
@@ -34,10 +34,7 @@ def _cross(rows: DataFrame, subject: str, v: int, k: int) -> DataFrame:
             yield pd.DataFrame({subject: list(held), "m": [a.ravel() for a in held.values()]})
 
     parts = rows.select(subject, "vec", "s").mapInPandas(partial, schema)
-    cells = parts.select(subject, F.posexplode("m").alias("_i", "_v")).groupBy(subject, "_i").agg(F.sum("_v").alias("_v"))
-    return cells.groupBy(subject).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("m")
-    )
+    return sum_grams(parts, [subject], "m")
 
 
 def _bases(cross: DataFrame, subject: str, v: int, k: int) -> DataFrame:
@@ -71,6 +68,7 @@ def _apply(rows: DataFrame, bases: DataFrame, subject: str, t: str, v: int, k: i
 
 
 def _mean_vector(df: DataFrame, t: str, vec: str, out: str) -> DataFrame:
+    # Means cell by cell with map-side combine: a time point has as many rows as there are subjects.
     cells = df.select(t, F.posexplode(vec).alias("_i", "_v")).groupBy(t, "_i").agg(F.avg("_v").alias("_v"))
     return cells.groupBy(t).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias(out))
 

@@ -85,10 +85,10 @@ def rollup_zero(spark, sf):
     "mask_expand",
     "F7 F8",
     f"WITH {_VAL}, {_MASK} SELECT p_partkey AS parcel, coalesce(value, 0.0) AS t, coalesce(value, 1.0) AS p, value AS score FROM "
-    f"(SELECT p_partkey, {R('value')} AS value FROM part LEFT JOIN (SELECT * FROM val WHERE parcel IN (SELECT parcel FROM mask)) ON parcel = p_partkey)",
+    f"(SELECT p_partkey, {R('value', 9)} AS value FROM part LEFT JOIN (SELECT * FROM val WHERE parcel IN (SELECT parcel FROM mask)) ON parcel = p_partkey)",
 )
 def mask_expand(spark, sf):
-    m = A.restrict(rounded(parcel_map(spark, sf)), price_mask(spark, sf), "parcel")
+    m = A.restrict(rounded(parcel_map(spark, sf), 9), price_mask(spark, sf), "parcel")
     m = m.select("parcel", F.col("value").alias("t"), F.col("value").alias("p"), F.col("value").alias("score"))
     domain = table(spark, sf, "part").select(F.col("p_partkey").alias("parcel"))
     return A.expand(m, domain, ["parcel"], {"t": 0.0, "p": 1.0, "score": None})
@@ -119,9 +119,9 @@ def mask_intersect(spark, sf):
     return A.mask_intersect(*_sets(spark, sf), "parcel")
 
 
-@query("attach_network", "J2", f"WITH {_SUP}, {_DOM}, {_VAL} SELECT parcel, {R('value')} AS value, network FROM val JOIN dom USING (parcel)")
+@query("attach_network", "J2", f"WITH {_SUP}, {_DOM}, {_VAL} SELECT parcel, {R('value', 9)} AS value, network FROM val JOIN dom USING (parcel)")
 def attach_network(spark, sf):
-    return rounded(A.attach_network(parcel_map(spark, sf), dominant(spark, sf).select("parcel", "network"), "parcel"))
+    return rounded(A.attach_network(parcel_map(spark, sf), dominant(spark, sf).select("parcel", "network"), "parcel"), 9)
 
 
 @query(

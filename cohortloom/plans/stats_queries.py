@@ -207,22 +207,22 @@ _BH = (
 )
 
 
-@query("bh_adjust", "H11", f"WITH pv AS (SELECT event_type, event_id, value / 500 AS p FROM events), {_BH.format(f='PARTITION BY event_type')} SELECT event_type, event_id, {R('adj')} AS p_adj FROM a")
+@query("bh_adjust", "H11", f"WITH pv AS (SELECT event_type, event_id, value / 500 AS p FROM events), {_BH.format(f='PARTITION BY event_type')} SELECT event_type, event_id, {R('adj', 9)} AS p_adj FROM a")
 def bh_adjust(spark, sf):
     e = table(spark, sf, "events").select("event_type", "event_id", (F.col("value") / 500).alias("p"))
-    return rounded(S.bh(e, ["event_type"], "p").select("event_type", "event_id", "p_adj"))
+    return rounded(S.bh(e, ["event_type"], "p").select("event_type", "event_id", "p_adj"), 9)
 
 
-@query("bh_adjust_all", "H11", f"WITH pv AS (SELECT event_id, value / 500 AS p FROM events), {_BH.format(f='PARTITION BY 1')} SELECT event_id, {R('adj')} AS p_adj FROM a")
+@query("bh_adjust_all", "H11", f"WITH pv AS (SELECT event_id, value / 500 AS p FROM events), {_BH.format(f='PARTITION BY 1')} SELECT event_id, {R('adj', 9)} AS p_adj FROM a")
 def bh_adjust_all(spark, sf):
     e = table(spark, sf, "events").select("event_id", (F.col("value") / 500).alias("p"))
-    return rounded(S.bh(e, [], "p").select("event_id", "p_adj"))
+    return rounded(S.bh(e, [], "p").select("event_id", "p_adj"), 9)
 
 
-@query("bonferroni", "H11", f"SELECT event_type, event_id, {R('least(value / 500000 * count(*) OVER (PARTITION BY event_type), 1.0)')} AS p_adj FROM events")
+@query("bonferroni", "H11", f"SELECT event_type, event_id, {R('least(value / 500000 * count(*) OVER (PARTITION BY event_type), 1.0)', 9)} AS p_adj FROM events")
 def bonferroni(spark, sf):
     e = table(spark, sf, "events").select("event_type", "event_id", (F.col("value") / 500000).alias("p"))
-    return rounded(S.bonferroni(e, ["event_type"], "p").select("event_type", "event_id", "p_adj"))
+    return rounded(S.bonferroni(e, ["event_type"], "p").select("event_type", "event_id", "p_adj"), 9)
 
 
 @query(
