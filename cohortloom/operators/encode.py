@@ -75,7 +75,7 @@ def holdout_table(spark: SparkSession, n_points: int, n_chunks: int, length: int
     blocks = spark.range(side).select(F.col("id").cast("int").alias("test_fold")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.element_at(sizes, F.col("test_fold") + 1) - 1))
     )
-    held = block_holdout(blocks, ["test_fold"], "block", n_boot, frac, seed)
+    held = block_holdout(blocks, ["test_fold"], "block", n_boot, frac, seed, small=True)
     return held.groupBy("test_fold", "block").agg(F.array_sort(F.collect_list("boot")).alias("boots"))
 
 

@@ -47,13 +47,16 @@ def _bases(cross: DataFrame, subject: str, v: int, k: int) -> DataFrame:
     return map_rows(cross, [subject], step, schema)
 
 
-def _apply(rows: DataFrame, bases: DataFrame, subject: str, t: str, v: int, k: int, back: bool) -> DataFrame:
+def _span(t: str):
+    return F.floor(F.col(t) / SPAN).cast("int").alias("_span")
+
+
+def _apply(rows: DataFrame, spans: DataFrame, bases: DataFrame, subject: str, t: str, v: int, k: int, back: bool) -> DataFrame:
     """``s`` rows through each subject's basis: to the shared space, or back to parcels."""
     source = "s" if back else "vec"
     out_name = "fitted" if back else "proj"
-    left = rows.select(subject, t, source, F.floor(F.col(t) / SPAN).alias("_span"))
-    spans = left.select(subject, "_span").distinct().join(bases, subject)
-    spans = spans.select(F.col(subject).alias("_who"), F.col("_span").alias("_part"), "w")
+    left = rows.select(subject, t, source, _span(t))
+    spans = spans.join(bases, subject).select(F.col(subject).alias("_who"), F.col("_span").alias("_part"), "w")
     schema = StructType([*key_fields(left, [subject, t]), StructField(out_name, ArrayType(DoubleType()))])
 
     def step(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -83,10 +86,11 @@ def shared_response(signal: DataFrame, subject: str, t: str, v: int, k: int, n_i
     check_width(v)
     start = signal.select(t, F.slice("vec", 1, k).alias("p"))
     shared = cut(_mean_vector(start, t, "p", "s"))
+    spans = cut(signal.select(subject, _span(t)).distinct())
     bases = None
     for _ in range(n_iter):
         bases = _bases(_cross(signal.join(shared, t), subject, v, k), subject, v, k)
-        shared = cut(_mean_vector(_apply(signal, bases, subject, t, v, k, back=False), t, "proj", "s"))
+        shared = cut(_mean_vector(_apply(signal, spans, bases, subject, t, v, k, back=False), t, "proj", "s"))
     bases = cut(bases)
-    fitted = _apply(signal.select(subject, t).join(shared, t), bases, subject, t, v, k, back=True)
+    fitted = _apply(signal.select(subject, t).join(shared, t), spans, bases, subject, t, v, k, back=True)
     return bases, shared, fitted

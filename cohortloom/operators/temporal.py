@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import col, key_hash
@@ -84,15 +84,20 @@ def ab_split(df: DataFrame, pos: str, length: int, n: Column | None = None) -> D
     return df.withColumn("half", block)
 
 
-def block_holdout(blocks: DataFrame, keys, block: str, n_boot: int, frac: int, seed: int) -> DataFrame:
+def block_holdout(blocks: DataFrame, keys, block: str, n_boot: int, frac: int, seed: int, small: bool = False) -> DataFrame:
     """Held-out blocks per bootstrap: the ``floor(n / frac)`` blocks of lowest hash.
 
-    ``blocks`` holds one row per (keys, block), not the time points.
+    ``blocks`` holds one row per (keys, block), not the time points. ``small`` is for block lists
+    that a fixed time grid bounds: one window per bootstrap instead of bucketed ranks.
     """
     keys = list(keys)
     b = blocks.select(*keys, block).distinct().withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     # The block number breaks ties of the hash, so every value is distinct.
     b = b.withColumn("_h", key_hash(block, "boot", seed) * 1000003 + F.col(block))
+    if small:
+        part = Window.partitionBy(*keys, "boot")
+        b = b.withColumn("_r", F.row_number().over(part.orderBy("_h"))).withColumn("_n", F.count("*").over(part))
+        return b.filter(F.col("_r") <= F.floor(F.col("_n") / frac)).drop("_h", "_r", "_n")
     r = rank_table(b, [*keys, "boot"], "_h")
     held = r.filter(F.col("_below") < F.floor(F.col("_total") / frac)).select(*keys, "boot", "_h")
     return b.join(held, [*keys, "boot", "_h"], "left_semi").drop("_h")
