@@ -67,7 +67,7 @@ def eigen_table(grams: DataFrame, keys, k: int, scale: str = "cov") -> DataFrame
     keys = list(keys)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, s = centred(unpack(np.vstack(pdf["g"].to_numpy())))
+        n, mean, s = centred(unpack(np.vstack(pdf["_gram"].to_numpy())))
         w, v = symmetric_eigen(s / (n - 1)[:, None, None])
         total = np.maximum(np.trace(s, axis1=1, axis2=2) / (n - 1), 1e-300)
         top = min(k, w.shape[1])

@@ -58,7 +58,7 @@ def similarity(df: DataFrame, keys, vec: str, width: int, metric: str) -> DataFr
     schema = StructType([*key_fields(g, keys), StructField("n", LongType()), StructField("sim", ArrayType(DoubleType()))])
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = unpack(np.vstack(pdf["g"].to_numpy()))
+        m = unpack(np.vstack(pdf["_gram"].to_numpy()))
         out = pdf[list(keys)].copy()
         out["n"] = m[:, 0, 0].astype("int64")
         out["sim"] = list(pack(_similarity(m, metric)))

@@ -142,7 +142,7 @@ def ridge_path(grams: DataFrame, subject: str, nx: int, alphas=ALPHAS, use_corr:
 
     Training data are z-scored as a whole before a bootstrap holds blocks out.
     """
-    whole = grams.filter("boot = -1").select(subject, "test_fold", F.col("g").alias("_whole"))
+    whole = grams.filter("boot = -1").select(subject, "test_fold", F.col("_gram").alias("_whole"))
     j = grams.filter("boot >= 0").join(whole, [subject, "test_fold"])
     keys = [subject, "test_fold", "boot"]
     schema = StructType(
@@ -157,7 +157,7 @@ def ridge_path(grams: DataFrame, subject: str, nx: int, alphas=ALPHAS, use_corr:
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for held, total in zip(pdf["g"], pdf["_whole"], strict=True):
+        for held, total in zip(pdf["_gram"], pdf["_whole"], strict=True):
             held, total = unpack(held), unpack(total)
             m = _standard(total)
             lift = np.vstack([np.eye(1, m.shape[1]), m])
@@ -213,9 +213,9 @@ def ridge_fit(folds: DataFrame, alpha: DataFrame, subject: str, nx: int, n_score
     """
     n_scored = n_scored or nx
     test = sum_grams(folds, [subject, "fold"])
-    train = complement(test, [subject], "fold").withColumnRenamed("g", "_train")
+    train = complement(test, [subject], "fold").withColumnRenamed("_gram", "_train")
     halves = folds.groupBy(subject, "fold").agg(
-        F.max(F.when(F.col("half") == 0, F.col("g"))).alias("_a"), F.max(F.when(F.col("half") == 1, F.col("g"))).alias("_b")
+        F.max(F.when(F.col("half") == 0, F.col("_gram"))).alias("_a"), F.max(F.when(F.col("half") == 1, F.col("_gram"))).alias("_b")
     )
     j = test.join(train, [subject, "fold"]).join(halves, [subject, "fold"])
     on = [c for c in (subject, "fold") if c in alpha.columns]
@@ -233,7 +233,7 @@ def ridge_fit(folds: DataFrame, alpha: DataFrame, subject: str, nx: int, n_score
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         w_out, r_out, split, maps = [], [], [], []
-        for g, tr, a, b, alpha_value in zip(pdf["g"], pdf["_train"], pdf["_a"], pdf["_b"], pdf["alpha"], strict=True):
+        for g, tr, a, b, alpha_value in zip(pdf["_gram"], pdf["_train"], pdf["_a"], pdf["_b"], pdf["alpha"], strict=True):
             g, tr = unpack(g), unpack(tr)
             mtr, mte = _standard(tr), _standard(g)
             s = mtr @ tr @ mtr.T

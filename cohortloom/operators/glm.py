@@ -55,7 +55,7 @@ def glm(df: DataFrame, keys, y: str, terms, tail: str = "two") -> DataFrame:
     ``tail='one'`` gives the upper tail of |t|, ``'two'`` twice that. A response without variance
     gets t = 0 and p = 1 and ``tested = false``.
     """
-    g = gram(df, keys, [*terms, y]).withColumn("_f", contrast_of(1)("g"))
+    g = gram(df, keys, [*terms, y]).withColumn("_f", contrast_of(1)("_gram"))
     out = g.select(*keys, "_f.*")
     p1 = tails.t_tail(F.abs("t"), F.col("df"))
     out = out.withColumn("p", p1 if tail == "one" else 2 * p1)
@@ -93,7 +93,7 @@ def regress_out(df: DataFrame, keys, value: str, confounds, t: str | None = None
         mean = m[:, 0, -1] / m[:, 0, 0]
         return pd.Series(list(np.column_stack([beta, mean])))
 
-    b = gram(d, keys, [*cols, value]).select(*keys, solve("g").alias("_b"))
+    b = gram(d, keys, [*cols, value]).select(*keys, solve("_gram").alias("_b"))
     fit = F.element_at("_b", 1)
     for i, c in enumerate(cols):
         fit = fit + F.element_at("_b", i + 2) * F.col(c)
@@ -112,7 +112,7 @@ def partial_sums(df: DataFrame, keys, covariates, cols) -> DataFrame:
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[list(keys)].copy()
-        out["s"] = [condition_on(unpack(v), given, rest).ravel() for v in pdf["g"]]
+        out["s"] = [condition_on(unpack(v), given, rest).ravel() for v in pdf["_gram"]]
         return out
 
     return map_rows(g, keys, step, schema)

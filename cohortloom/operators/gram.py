@@ -1,8 +1,8 @@
 """Grouped sufficient statistics: the augmented cross-product matrix of a row vector.
 
-Row format of every table made here: the keys and ``g``, the packed upper triangle of
+Row format of every table made here: the keys and ``_gram``, the packed upper triangle of
 ``sum([1, x] [1, x]')``. It is additive, so folds, complements, pooling and bootstraps are sums and
-differences of ``g``, and rows are read once. The size of ``g`` depends on the number of columns
+differences of ``_gram``, and rows are read once. Its size depends on the number of columns
 only, never on the number of rows.
 """
 
@@ -33,7 +33,7 @@ def gram_narrow(df: DataFrame, keys, cols) -> DataFrame:
         for j in range(i, len(full)):
             names.append(f"_g{i}_{j}")
             sums.append(F.sum(full[i] * full[j]).alias(names[-1]))
-    return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*names).alias("g"))
+    return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*names).alias("_gram"))
 
 
 def _runs(pdf: pd.DataFrame, keys) -> np.ndarray:
@@ -65,14 +65,14 @@ def gram_wide(df: DataFrame, keys, vec: str, width: int) -> DataFrame:
     """
     keys = list(keys)
     p = width + 1
-    schema = StructType([*[df.schema[k] for k in keys], StructField("g", ArrayType(DoubleType()))])
+    schema = StructType([*[df.schema[k] for k in keys], StructField("_gram", ArrayType(DoubleType()))])
 
     def partial(batches):
         held: dict = {}
 
         def flush():
             out = pd.DataFrame(list(held), columns=keys) if keys else pd.DataFrame(index=range(1))
-            out["g"] = list(held.values())
+            out["_gram"] = list(held.values())
             held.clear()
             return out
 
@@ -105,7 +105,7 @@ def gram(df: DataFrame, keys, cols) -> DataFrame:
     return gram_wide(df.dropna(subset=cols).select(*keys, vec.alias("_x")), keys, "_x", len(cols))
 
 
-def sum_grams(df: DataFrame, keys, name: str = "g") -> DataFrame:
+def sum_grams(df: DataFrame, keys, name: str = "_gram") -> DataFrame:
     """Sum of packed arrays per key.
 
     Arrays are cut into segments, so that one key's arrays from many tasks are added up by several
@@ -155,9 +155,9 @@ def complement(grams: DataFrame, keys, part: str) -> DataFrame:
     """Total minus part: the training sums of every held-out part."""
     from cohortloom.operators.temporal import join_stats
 
-    total = sum_grams(grams, keys).withColumnRenamed("g", "_t")
+    total = sum_grams(grams, keys).withColumnRenamed("_gram", "_t")
     j = join_stats(grams, total, keys)
-    return j.select(*keys, part, F.zip_with("_t", "g", lambda t, g: t - g).alias("g"))
+    return j.select(*keys, part, F.zip_with("_t", "_gram", lambda t, g: t - g).alias("_gram"))
 
 
 def map_rows(df: DataFrame, keys, fn: Callable[[pd.DataFrame], pd.DataFrame], schema, spread: bool = True) -> DataFrame:
@@ -186,7 +186,7 @@ def cells(grams: DataFrame, keys, width: int) -> DataFrame:
     """Long form: one row per matrix cell ``(i, j, value)`` with 0 as the intercept."""
     i, j = np.triu_indices(width + 1)
     assert len(i) == packed_size(width + 1)
-    pos = F.posexplode("g").alias("_p", "value")
+    pos = F.posexplode("_gram").alias("_p", "value")
     ii, jj = (F.array(*[F.lit(int(v)) for v in ix]) for ix in (i, j))
     return grams.select(*keys, pos).select(
         *keys, F.element_at(ii, F.col("_p") + 1).alias("i"), F.element_at(jj, F.col("_p") + 1).alias("j"), "value"

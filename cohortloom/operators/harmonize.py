@@ -45,7 +45,7 @@ def site_coefficients(df: DataFrame, feature: str, parcel: str, batch: str, valu
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         # One feature: parcels x batches of cross-products, however many subjects there are.
         pdf = pdf.sort_values([parcel, batch]).reset_index(drop=True)
-        m = unpack(np.vstack(pdf["g"].to_numpy()))
+        m = unpack(np.vstack(pdf["_gram"].to_numpy()))
         batches = pdf[batch].unique()
         code = pdf[batch].map({b: i for i, b in enumerate(batches)}).to_numpy()
         parcels, inv = np.unique(pdf[parcel].to_numpy(), return_inverse=True)

@@ -70,7 +70,7 @@ def normative_fit(controls: DataFrame, y_cols, age: str, sex: str, delta: float
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for name, v, lo, mid, hi in zip(pdf["variable"], pdf["g"], pdf["lo"], pdf["mid"], pdf["hi"], strict=True):
+        for name, v, lo, mid, hi in zip(pdf["variable"], pdf["_gram"], pdf["lo"], pdf["mid"], pdf["hi"], strict=True):
             m = unpack(v)
             n, base, w, y = m[0, 0], [0, 1, 2], 3, 4
             xtx = m[np.ix_(base, base)]

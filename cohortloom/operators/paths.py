@@ -107,7 +107,7 @@ def path_fit(cov: DataFrame, keys, cols, structures=STRUCTURES) -> DataFrame:
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        n, _, s = centred(unpack(np.vstack(pdf["g"].to_numpy())))
+        n, _, s = centred(unpack(np.vstack(pdf["_gram"].to_numpy())))
         for st in structures:
             fits = pd.DataFrame([_fit_indices(n[i], s[i] / n[i], st, cols) for i in range(len(pdf))])
             part = pdf[list(keys)].reset_index(drop=True)
@@ -132,7 +132,7 @@ def path_coefficients(cov: DataFrame, keys, cols, structures=STRUCTURES) -> Data
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        n, _, s = centred(unpack(np.vstack(pdf["g"].to_numpy())))
+        n, _, s = centred(unpack(np.vstack(pdf["_gram"].to_numpy())))
         ids = list(pdf[list(keys)].itertuples(index=False, name=None)) if keys else [()] * len(pdf)
         for i, key in enumerate(ids):
             c = s[i] / n[i]
@@ -202,7 +202,7 @@ def group_invariance(cov: DataFrame, group: str, cols, structure: Structure, fam
     )
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, _, s = centred(unpack(np.vstack(pdf["g"].to_numpy())))
+        n, _, s = centred(unpack(np.vstack(pdf["_gram"].to_numpy())))
         at = {c: i for i, c in enumerate(cols)}
         chi, n_par, settled = 0.0, 0, True
         for o, preds in structure.equations:
@@ -223,6 +223,6 @@ def group_invariance(cov: DataFrame, group: str, cols, structure: Structure, fam
         out = pdf[family].iloc[:1].reset_index(drop=True) if family else pd.DataFrame(index=range(1))
         return out.assign(n_groups=len(n), chi2_diff=chi, df_diff=(len(n) - 1) * n_par, converged=bool(settled))
 
-    key = family or [F.lit(1)]
-    out = cov.groupBy(*key).applyInPandas(solve, schema)  # one row per group of the comparison
+    rows = cov if family else cov.withColumn("_one", F.lit(0))
+    out = rows.groupBy(*(family or ["_one"])).applyInPandas(solve, schema)  # one row per compared group
     return out.withColumn("p", tails.chi2_tail("chi2_diff", F.col("df_diff").cast("double")))

@@ -73,8 +73,8 @@ def fold_table(rows: DataFrame, folds: DataFrame, row_id: str, layout: Layout) -
 
 def training_parts(cells: DataFrame) -> DataFrame:
     """Training sums of every test fold, still split by part: total of the part minus the fold's own."""
-    total = sum_grams(cells, ["rep", "part"]).withColumnRenamed("g", "_t")
-    return cells.join(total, ["rep", "part"]).select("rep", "fold", "part", F.zip_with("_t", "g", lambda t, g: t - g).alias("g"))
+    total = sum_grams(cells, ["rep", "part"]).withColumnRenamed("_gram", "_t")
+    return cells.join(total, ["rep", "part"]).select("rep", "fold", "part", F.zip_with("_t", "_gram", lambda t, g: t - g).alias("_gram"))
 
 
 def _select(g: np.ndarray, lay: Layout, alpha: float, tail: str) -> np.ndarray:
@@ -108,7 +108,7 @@ def fold_select(parts: DataFrame, layout: Layout, alpha: float = 0.025, tail: st
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["rep", "fold"]].copy()
-        out["selected"] = [names[_select(unpack(g), layout, alpha, tail)].tolist() for g in pdf["g"]]
+        out["selected"] = [names[_select(unpack(g), layout, alpha, tail)].tolist() for g in pdf["_gram"]]
         return out
 
     return map_rows(train, ["rep", "fold"], step, schema)
@@ -218,7 +218,7 @@ def enet_fit(parts: list[np.ndarray], lay: Layout, feats: list[int], item: int,
 def enet_cv(parts: DataFrame, layout: Layout, selected: DataFrame | None = None, l1_ratios=L1_RATIOS, n_alphas: int = N_ALPHAS) -> DataFrame:
     """``(rep, fold, item, model, alpha, l1_ratio, hat, outcome)`` with the two linear maps."""
     work = parts.groupBy("rep", "fold").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("part", "g"))), lambda s: s["g"]).alias("parts")
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "_gram"))), lambda s: s["_gram"]).alias("parts")
     )
     if selected is not None:
         work = work.join(selected, ["rep", "fold"])

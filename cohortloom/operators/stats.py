@@ -283,19 +283,20 @@ def bh(df: DataFrame, family, p: str, out: str = "p_adj", small_family: bool = F
     atlas, items of a questionnaire): one window per family. Without it a family of any size is
     spread over ordered buckets.
     """
+    # Running minima go down from the largest p: frames that grow cost one step per row.
     family = list(family)
     if small_family:
         part = Window.partitionBy(*_by(family))
         m = F.count(p).over(part)
         rank = F.count(p).over(part.orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0))
         raw = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * m / rank))
-        tail = part.orderBy(F.col(p).asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+        tail = part.orderBy(F.col(p).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
         adj = F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(tail), F.lit(1.0)))
         return raw.withColumn(out, adj).drop("_raw")
     t = running_totals(df, family, p, {"_c": F.lit(1).cast("bigint")})
     t = t.withColumn("_raw", F.col(p) * F.col("all__c") / (F.col("below__c") + F.col("_c")))
-    inside = Window.partitionBy(*family, "_bucket").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-    after = Window.partitionBy(*_by(family)).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy(*family, "_bucket").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*_by(family)).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = t.groupBy(*family, "_bucket").agg(F.min("_raw").alias("_low"))
     later = later.select(*family, "_bucket", F.min("_low").over(after).alias("_later"))
     adj = t.withColumn("_here", F.min("_raw").over(inside)).join(later, [*family, "_bucket"])

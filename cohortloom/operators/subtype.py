@@ -58,7 +58,7 @@ def manova(df: DataFrame, keys, cluster: str, items) -> DataFrame:
     """Wilks' lambda of the items between clusters with its F approximation (Rao)."""
     g = gram(df.dropna(subset=list(items)), [*keys, cluster], items)
     keys = list(keys)
-    rows = g.groupBy(*keys).agg(F.collect_list("g").alias("gs"))  # one matrix per cluster
+    rows = g.groupBy(*keys).agg(F.collect_list("_gram").alias("gs"))  # one matrix per cluster
     cols = ("wilks", "f", "df1", "df2")
     schema = StructType([*key_fields(g, keys), StructField("n", LongType()), *[StructField(c, DoubleType()) for c in cols]])
     p = len(items)

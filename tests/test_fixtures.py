@@ -123,7 +123,7 @@ def test_gram_folds(frame, wide):
     g = G.gram_wide(df, ["chunk"], "v", 3) if wide else G.gram_narrow(df, ["chunk"], ["a", "b", "c"])
     for r in G.complement(g, [], "chunk").collect():
         z = np.column_stack([np.ones(15), x[np.arange(20) // 5 != r.chunk]])
-        assert np.allclose(unpack(r.g), z.T @ z)
+        assert np.allclose(unpack(r._gram), z.T @ z)
 
 
 def test_wide_gram_in_segments(spark):
@@ -134,7 +134,7 @@ def test_wide_gram_in_segments(spark):
     df = spark.createDataFrame([(int(a), r.tolist()) for a, r in zip(k, x)], "k int, v array<double>").repartition(13)
     for r in G.gram_wide(df, ["k"], "v", 100).collect():
         z = np.column_stack([np.ones((k == r.k).sum()), x[k == r.k]])
-        assert np.allclose(unpack(r.g), z.T @ z)
+        assert np.allclose(unpack(r._gram), z.T @ z)
 
 
 def test_pca_matches_numpy(frame):
