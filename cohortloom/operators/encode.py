@@ -19,7 +19,7 @@ from cohortloom.functions import tails
 from cohortloom.functions.scalar import corr, corr_or_zero, safe_divide, spearman_brown
 from cohortloom.functions.small import unpack
 from cohortloom.operators.axis import dense
-from cohortloom.operators.gram import check_width, complement, gram_wide, key_fields, map_rows, sum_grams
+from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows
 from cohortloom.operators.ordering import argmax_by
 from cohortloom.operators.stats import bh, bonferroni
 from cohortloom.operators.temporal import ab_split, assign_folds, block_holdout, chunk_starts, join_stats, zscore
@@ -31,6 +31,7 @@ BOOT_FRACTION = 4
 N_BOOT = 30
 SPLIT_BLOCK = 25
 EIGEN_CUT = 1e-10**2
+STACK = 2_000_000  # matrix cells solved in one stack
 SPAN = 1024  # time points of a subject that stay in one task
 
 
@@ -111,30 +112,28 @@ def _ridge(xx: np.ndarray, xy: np.ndarray, alphas: np.ndarray) -> np.ndarray:
 
 def _corr_from(c: np.ndarray, w: np.ndarray, nx: int) -> np.ndarray:
     """Correlation of ``x w`` with y, per column, from centred sums ``c``; 0 where undefined."""
-    cov = np.einsum("iv,iv->v", w, c[:nx, nx:])
-    var = np.einsum("iv,ij,jv->v", w, c[:nx, :nx], w) * np.diag(c)[nx:]
+    cov = (w * c[:nx, nx:]).sum(0)
+    var = (w * (c[:nx, :nx] @ w)).sum(0) * np.diag(c)[nx:]
     return np.divide(cov, np.sqrt(np.maximum(var, 0)), out=np.zeros_like(cov), where=var > 1e-20)
 
 
-def _centre(g: np.ndarray) -> np.ndarray:
-    return g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / max(g[0, 0], 1)
-
-
 def _path_scores(train: np.ndarray, test: np.ndarray, nx: int, alphas, use_corr: bool) -> np.ndarray:
-    w, q = np.linalg.eigh(train[:nx, :nx])
-    keep = w > EIGEN_CUT
-    w, q = w[keep], q[:, keep]
-    rot = q.T @ train[:nx, nx:]
-    out = []
-    for a in alphas:
-        weights = q @ (rot / (w[:, None] + a))
+    """Scores (problem, penalty, target) of a stack of problems."""
+    w, q = np.linalg.eigh(train[:, :nx, :nx])
+    rot = q.transpose(0, 2, 1) @ train[:, :nx, nx:]
+    xx, xy = test[:, :nx, :nx], test[:, :nx, nx:]
+    yy = np.diagonal(test, axis1=1, axis2=2)[:, nx:]
+    out = np.empty((len(train), len(alphas), rot.shape[2]))
+    for a, alpha in enumerate(alphas):
+        shrink = np.where(w > EIGEN_CUT, 1 / np.where(w > EIGEN_CUT, w + alpha, 1), 0)
+        weights = q @ (rot * shrink[:, :, None])
+        cov, var = (weights * xy).sum(1), (weights * (xx @ weights)).sum(1)
         if use_corr:
-            out.append(_corr_from(test, weights, nx))
+            norm = var * yy
+            out[:, a] = np.divide(cov, np.sqrt(np.maximum(norm, 0)), out=np.zeros_like(cov), where=norm > 1e-20)
         else:
-            yy = np.diag(test)[nx:]
-            res = yy - 2 * np.einsum("iv,iv->v", weights, test[:nx, nx:]) + np.einsum("iv,ij,jv->v", weights, test[:nx, :nx], weights)
-            out.append(np.clip(1 - np.divide(res, yy, out=np.ones_like(yy), where=yy > 0), 0, 1))
-    return np.array(out)
+            out[:, a] = np.clip(1 - np.divide(yy - 2 * cov + var, yy, out=np.ones_like(yy), where=yy > 0), 0, 1)
+    return out
 
 
 def ridge_path(grams: DataFrame, subject: str, nx: int, alphas=ALPHAS, use_corr: bool = True) -> DataFrame:
@@ -157,12 +156,16 @@ def ridge_path(grams: DataFrame, subject: str, nx: int, alphas=ALPHAS, use_corr:
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for held, total in zip(pdf["_gram"], pdf["_whole"], strict=True):
-            held, total = unpack(held), unpack(total)
-            m = _standard(total)
-            lift = np.vstack([np.eye(1, m.shape[1]), m])
-            train = m @ (total - held) @ m.T
-            rows.append(_path_scores(train, _centre(lift @ held @ lift.T), nx, grid, use_corr))
+        size = len(pdf["_gram"].iloc[0])
+        for at in range(0, len(pdf), max(1, STACK // size)):
+            part = pdf.iloc[at : at + max(1, STACK // size)]
+            held, total = unpack(np.vstack(part["_gram"].to_numpy())), unpack(np.vstack(part["_whole"].to_numpy()))
+            m = np.stack([_standard(g) for g in total])
+            train = m @ (total - held) @ m.transpose(0, 2, 1)
+            # Held-out sums in the z-units of the whole training set, around their own mean.
+            first = held[:, :1, :] @ m.transpose(0, 2, 1)
+            test = m @ held @ m.transpose(0, 2, 1) - first.transpose(0, 2, 1) @ first / held[:, :1, :1]
+            rows.append(_path_scores(train, test, nx, grid, use_corr).reshape(-1, train.shape[1] - nx))
         out = pdf[keys].iloc[np.repeat(np.arange(len(pdf)), len(grid))].reset_index(drop=True)
         out["alpha_id"] = np.tile(np.arange(len(grid)), len(pdf)).astype("int32")
         out["alpha"] = np.tile(grid, len(pdf))
@@ -206,24 +209,23 @@ def fold_grams(rows: DataFrame, subject: str, t: str, width: int, n_points: int,
 def ridge_fit(folds: DataFrame, alpha: DataFrame, subject: str, nx: int, n_scored: int | None = None) -> DataFrame:
     """Refit at a given penalty and score on the held-out fold.
 
-    ``alpha`` has the column ``alpha`` and any of the subject/fold keys. Output per (subject, fold):
-    ``weights`` (target-major), held-out ``r``, noise ``ceiling`` inputs ``r_split``, and the linear
-    ``map`` from a raw row to its prediction. ``n_scored`` leading features take part in the
-    prediction; the rest are covariates of the fit.
+    ``alpha`` has the column ``alpha`` (one number, or an array with one per target) and any of the
+    subject/fold keys. Output per (subject, fold): ``weights`` (target-major), held-out ``r``, the
+    correlation ``r_split`` of the two half fits, and the linear ``map`` from a raw row to its
+    prediction. ``n_scored`` leading features take part in the prediction; the rest are covariates
+    of the fit.
     """
     n_scored = n_scored or nx
-    test = sum_grams(folds, [subject, "fold"])
-    train = complement(test, [subject], "fold").withColumnRenamed("_gram", "_train")
-    halves = folds.groupBy(subject, "fold").agg(
-        F.max(F.when(F.col("half") == 0, F.col("_gram"))).alias("_a"), F.max(F.when(F.col("half") == 1, F.col("_gram"))).alias("_b")
-    )
-    j = test.join(train, [subject, "fold"]).join(halves, [subject, "fold"])
-    on = [c for c in (subject, "fold") if c in alpha.columns]
-    j = join_stats(j, alpha.select(*on, "alpha"), on)
-    keys = [subject, "fold"]
+    # A subject has two matrices per fold, whatever the length of its series.
+    j = folds.groupBy(subject).agg(F.collect_list(F.struct("fold", "half", "_gram")).alias("_parts"))
+    value = F.col("alpha") if alpha.schema["alpha"].dataType.typeName() == "array" else F.array(F.col("alpha").cast("double"))
+    on = [subject] if subject in alpha.columns else []
+    fold = F.col("fold").cast("int") if "fold" in alpha.columns else F.lit(-1)
+    table = alpha.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(fold, value))).alias("_alpha"))
+    j = join_stats(j, table, on)
     schema = StructType(
         [
-            *key_fields(j, keys),
+            *key_fields(folds, [subject, "fold"]),
             StructField("weights", ArrayType(DoubleType())),
             StructField("r", ArrayType(DoubleType())),
             StructField("r_split", ArrayType(DoubleType())),
@@ -231,32 +233,39 @@ def ridge_fit(folds: DataFrame, alpha: DataFrame, subject: str, nx: int, n_score
         ]
     )
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        w_out, r_out, split, maps = [], [], [], []
-        for g, tr, a, b, alpha_value in zip(pdf["_gram"], pdf["_train"], pdf["_a"], pdf["_b"], pdf["alpha"], strict=True):
-            g, tr = unpack(g), unpack(tr)
-            mtr, mte = _standard(tr), _standard(g)
-            s = mtr @ tr @ mtr.T
-            w = _ridge(s[:nx, :nx], s[:nx, nx:], np.array([alpha_value]))[:n_scored]
-            c = mte @ g @ mte.T
-            keep = [*range(n_scored), *range(nx, c.shape[0])]
-            cs = c[np.ix_(keep, keep)]
-            r_out.append(_corr_from(cs, w, n_scored))
-            w_out.append(w.T.ravel())
-            maps.append((w.T @ mte[:n_scored]).ravel())
-            fits = []
-            for half in (a, b):
-                h = mte @ unpack(half) @ mte.T if half is not None else np.zeros_like(c)
-                fits.append(_ridge(h[:n_scored, :n_scored], h[:n_scored, nx:], np.array([alpha_value])))
-            xx = cs[:n_scored, :n_scored]
-            ab = np.einsum("iv,ij,jv->v", fits[0], xx, fits[1])
-            norm = np.sqrt(np.einsum("iv,ij,jv->v", fits[0], xx, fits[0]) * np.einsum("iv,ij,jv->v", fits[1], xx, fits[1]))
-            split.append(np.clip(np.divide(ab, norm, out=np.zeros_like(ab), where=norm > 0), -0.999999, 0.999999))
-        out = pdf[keys].copy()
-        out["weights"], out["r"], out["r_split"], out["map"] = w_out, r_out, split, maps
-        return out
+    def penalty(table, fold) -> np.ndarray:
+        table = dict(table)
+        a = np.array(table.get(fold, table.get(-1)), dtype=float)
+        ok = np.isfinite(a)
+        return np.where(ok, a, np.median(a[ok]) if ok.any() else 0.0)
 
-    return map_rows(j, keys, step, schema)
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for sub, parts, table in zip(pdf[subject], pdf["_parts"], pdf["_alpha"], strict=True):
+            half = {(p["fold"], p["half"]): unpack(p["_gram"]) for p in parts}
+            total = sum(half.values())
+            for f in sorted({k[0] for k in half}):
+                sides = [half.get((f, h), np.zeros_like(total)) for h in (0, 1)]
+                g = sides[0] + sides[1]
+                a = penalty(table, f)
+                mtr, mte = _standard(total - g), _standard(g)
+                s = mtr @ (total - g) @ mtr.T
+                w = _ridge(s[:nx, :nx], s[:nx, nx:], a)[:n_scored]
+                keep = [*range(n_scored), *range(nx, s.shape[0])]
+                c = (mte @ g @ mte.T)[np.ix_(keep, keep)]
+                xx = c[:n_scored, :n_scored]
+                fits = []
+                for h in sides:
+                    q = mte @ h @ mte.T
+                    fits.append(_ridge(q[:n_scored, :n_scored], q[:n_scored, nx:], a))
+                inner = lambda u, v: (u * (xx @ v)).sum(0)  # noqa: B023
+                norm = np.sqrt(inner(fits[0], fits[0]) * inner(fits[1], fits[1]))
+                ab = inner(fits[0], fits[1])
+                split = np.clip(np.divide(ab, norm, out=np.zeros_like(ab), where=norm > 0), -0.999999, 0.999999)
+                rows.append((sub, f, w.T.ravel(), _corr_from(c, w, n_scored), split, (w.T @ mte[:n_scored]).ravel()))
+        return pd.DataFrame(rows, columns=[x.name for x in schema])
+
+    return map_rows(j, [subject], step, schema)
 
 
 def fit_scores(fit: DataFrame, subject: str) -> DataFrame:
