@@ -20,6 +20,7 @@ DELTA_AIC = 2.0
 PREDICTION = 1.645
 CONFIDENCE = 1.96
 GRID = 100
+MAX_GRID = 100_000  # points of one lookup grid; a longer one is an error
 
 
 def wiggle(x: Column, lo: Column, mid: Column, hi: Column) -> Column:
@@ -151,6 +152,8 @@ def interp_join(df: DataFrame, grid: DataFrame, keys, x: str, gx: str, gy: str,
     """
     keys = list(keys)
     pts = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(gx).alias("x"), F.col(gy).alias("y")))).alias("_g"))
+    size = F.size("_g")
+    pts = pts.withColumn("_g", F.when(size <= MAX_GRID, F.col("_g")).otherwise(F.raise_error(F.lit("the grid of a key is too long"))))
     j = join_stats(df, pts, keys)
     lo, hi = F.element_at("_g", 1)["x"], F.element_at("_g", -1)["x"]
     v = F.col(x).cast("double")

@@ -13,6 +13,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 from cohortloom.functions import tails
 from cohortloom.functions.small import centred, condition_on, unpack
 from cohortloom.operators.gram import gram, key_fields, map_rows
+from cohortloom.operators.temporal import join_stats
 
 
 @dataclass(frozen=True)
@@ -185,10 +186,7 @@ def path_table(fits: DataFrame, coefs: DataFrame, keys, model: str = "model1") -
         *[F.max(F.when(F.col("_n") == f"{x}_to_{y}", F.col(c))).alias(f"{x}_to_{y}_{t}") for x, y in pairs for c, t in (("est", "beta"), ("std_all", "std"), ("z", "z"))]
     )
     f = fits.filter(F.col("model") == model).select(*keys, "n", "chi2", "df", "cfi", "tli", "rmsea", "srmr")
-    if keys:
-        return f.join(wide, list(keys))
-    one = F.lit(1).alias("_one")
-    return f.select("*", one).join(wide.select("*", one), "_one").drop("_one")
+    return join_stats(f, wide, keys)
 
 
 def group_invariance(cov: DataFrame, group: str, cols, structure: Structure, family=()) -> DataFrame:

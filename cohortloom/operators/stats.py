@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import scalar as X
 from cohortloom.functions import tails
 from cohortloom.operators.ordering import _by, rank_table, running_totals
+from cohortloom.operators.temporal import join_stats
 
 
 def _r_to_p(df: DataFrame, r: str = "r", n: str = "n", p: str = "p") -> DataFrame:
@@ -91,10 +92,9 @@ def concordance(df: DataFrame, keys, x: str, y: str) -> DataFrame:
             conc = conc.join(p, keys)
         out = conc
     else:
-        out = conc.withColumn("_one", F.lit(1))
+        out = conc
         for p in parts:
-            out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-        out = out.drop("_one")
+            out = join_stats(out, p, [])
     n = F.col("_n_x")
     return out.withColumn("n", n.cast("bigint")).withColumn("_pairs", n * (n - 1) / 2)
 
@@ -269,10 +269,7 @@ def wilcoxon(df: DataFrame, keys, value: str, alternative: str = "two-sided") ->
 
 def bonferroni(df: DataFrame, family, p: str, out: str = "p_adj") -> DataFrame:
     m = df.groupBy(*family).agg(F.count(p).alias("_m"))
-    if family:
-        j = df.join(m, list(family), "left")
-    else:
-        j = df.withColumn("_one", F.lit(1)).join(F.broadcast(m.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    j = join_stats(df, m, family, "left")
     return j.withColumn(out, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
 
 

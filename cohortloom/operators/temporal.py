@@ -19,12 +19,13 @@ CHUNK_COUNTS = (9, 16)
 
 def join_stats(df: DataFrame, stats: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Attach one statistics row per key. Spark broadcasts the small side when its measured size
-    allows, and splits skewed keys of the large side otherwise."""
+    allows, and splits skewed keys of the large side otherwise. Without keys ``stats`` is a single
+    row, read as a scalar subquery."""
     keys = list(keys)
     if keys:
         return df.join(stats, keys, how)
-    one = F.lit(1).alias("_one")
-    return df.select("*", one).join(F.broadcast(stats.select("*", one)), "_one").drop("_one")
+    row = stats.select(F.struct(*stats.columns).alias("_row")).scalar()
+    return df.select("*", row.alias("_row")).select("*", "_row.*").drop("_row")
 
 
 def lag_features(df: DataFrame, keys, t: str, value: str, delays=DELAYS) -> DataFrame:

@@ -12,7 +12,7 @@ from cohortloom.operators import glm as G
 from cohortloom.operators import stats as S
 from cohortloom.operators.cohort import group_mean
 from cohortloom.operators.harmonize import combat
-from cohortloom.operators.temporal import zscore
+from cohortloom.operators.temporal import join_stats, zscore
 from cohortloom.plans.atlas_queries import _NET, networks, sections
 from cohortloom.plans.catalog import EMB, R, WIDTH, emb_long, query, rounded, t_tail_sql, table
 from cohortloom.plans.stats_queries import _BH
@@ -200,7 +200,6 @@ def group_similarity(spark, sf):
 )
 def similarity_distance(spark, sf):
     from cohortloom.functions.scalar import similarity_to_distance
-    from cohortloom.operators.temporal import join_stats
 
     s = D.similarity(vectors(spark, sf, "label"), ["label"], "vec", WIDTH, "cov")
     c = D.similarity_cells(D.group_similarity(s, []), [], WIDTH)
@@ -310,8 +309,7 @@ def profiles(spark, sf):
     """Six-variable profiles: the first six cells of every vector, z-scored over all rows."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(6)])
     s = e.agg(*[f(c).alias(f"_{n}_{c}") for c in PROFILE for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    one = F.lit(1).alias("_one")
-    j = e.select("*", one).join(F.broadcast(s.select("*", one)), "_one")
+    j = join_stats(e, s, [])
     return j.select("vec_id", "label", *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in PROFILE])
 
 

@@ -280,3 +280,14 @@ def materialize_result(spark, sf):
     g = S.materialize(spark, f"{root}/raw", lambda: rounded(g))
     S.write_result(g, f"{root}/by_config", {"bias": "0.3", "verb": "1.0"})
     return S.read_result(spark, f"{root}/by_config", {"bias": "0.3", "verb": "1.0"})
+
+
+@query("csv_report", "S7 S1", f"SELECT c_mktsegment, count(*) AS n, {R('avg(c_acctbal)', 4)} AS mean FROM customer GROUP BY 1")
+def csv_report(spark, sf):
+    """A small statistics table as one delimited file, read back with its schema."""
+    from cohortloom.session import scratch_path
+
+    path = scratch_path(spark, "report")
+    g = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean"))
+    S.write_csv(rounded(g, 4), path)
+    return S.read_table(spark, path, "c_mktsegment string, n bigint, mean double", key="c_mktsegment", fmt="csv")
