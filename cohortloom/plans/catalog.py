@@ -114,5 +114,3 @@ def key_hash_sql(key: str, *salts: str) -> str:
         h = f"(({h} * 48271 + CAST({s} AS BIGINT) * 16807 + 12345) % {LCG})"
     return f"(({h} * 69621) % {LCG})"
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
