@@ -113,4 +113,3 @@ def key_hash_sql(key: str, *salts: str) -> str:
     for s in (*salts, "7"):
         h = f"(({h} * 48271 + CAST({s} AS BIGINT) * 16807 + 12345) % {LCG})"
     return f"(({h} * 69621) % {LCG})"
-
