@@ -36,11 +36,11 @@ def fingerprint(sketch: Column, fraction: float = FRACTION) -> Column:
     return F.concat(F.lit(f"{fraction:g}:"), F.concat_ws(",", F.transform(sketch, lambda h: F.hex(h))))
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Share of the merged sketch that both hold; two empty sketches count as alike."""
+def resemblance(a: Column, b: Column, same: Column) -> Column:
+    """Share of the merged sketch that both hold. Two empty sketches are alike only if ``same``: the texts are equal."""
     both = F.size(F.array_intersect(a, b))
     merged = F.size(a) + F.size(b) - both
-    return F.when(merged == 0, F.lit(1.0)).otherwise(both / merged)
+    return F.when(merged == 0, same.cast("double")).otherwise(both / merged)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -87,7 +87,8 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION, n: int = 5,
     columns are ignored. One exchange of the texts: rows go to ranges of ids, and the first row of
     each range is also sent, as a guest, to the range before it.
 
-    Returns doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch.
+    Returns doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch, and as booleans
+    same_edited and same_next, whether the edited and the next text equal this one.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)))
@@ -112,6 +113,6 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION, n: int = 5,
     near = sent.withColumn("after", F.lead(F.struct("text", "sketch")).over(order)).filter(~F.col("guest"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     head = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half)
-    near = near.select("doc_id", "n_chars", "sketch", F.col("after.sketch").alias("next_sketch"), F.concat(head, F.substring(F.col("after.text"), F.lit(1), half)).alias("edited"))
+    near = near.select("doc_id", "n_chars", "sketch", F.col("after.sketch").alias("next_sketch"), (F.col("text") == F.col("after.text")).alias("same_next"), "text", F.concat(head, F.substring(F.col("after.text"), F.lit(1), half)).alias("edited"))
     near = with_sketch(near, "edited", "edited_sketch", fraction, n)
-    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch", "next_sketch")
+    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch", "next_sketch", (F.col("text") == F.col("edited")).alias("same_edited"), "same_next")
