@@ -230,10 +230,10 @@ def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _linked(pairs: DataFrame, segments: DataFrame, cuts: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link, from partial overlaps by fragment. pairs: a, na, b, nb; b is a hub."""
-    groups = parallelism(pairs)
+    groups = max(parallelism(pairs), pairs.count() // 2048)
     share = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("times") / 4096)))
     many = pairs.groupBy("b").agg(F.count("*").alias("times"))
-    placed = cut(pairs.join(many, "b").withColumn("g", F.pmod(F.xxhash64("b", share), F.lit(16 * groups))))
+    placed = cut(pairs.join(many, "b").withColumn("g", F.pmod(F.xxhash64("b", share), F.lit(groups))))
     needed = placed.select(F.col("a").alias("node"), "g").union(placed.select("b", "g")).distinct()
     left = needed.join(segments, "node").select("g", "fragment", "node", "segment")
     right = placed.select("a", "b", F.col("g").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"))
