@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import components, kept, shingle_hashes, words
+from cohortloom.llm.common import Shingler, components, kept
 from cohortloom.session import cut, parallelism
 
 CELLS = 1 << 22
@@ -45,30 +45,21 @@ BLOCK = 256
 """Sets on each side of a block pair."""
 
 
-def _sets(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each row."""
-    column = batch.column(name)
-    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield np.unique(flat[a:b])
-
-
-def _shingled(docs: DataFrame, n: int) -> DataFrame:
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
-    return found.select("doc_id", shingle_hashes(F.col("words"), n).alias("grams"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes & (cells - 1)).astype(np.int64)
 
 
-def _count(cells: int):
+def _count(n: int, cells: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint32)
+        total, shingler = np.zeros(cells, np.uint32), Shingler(n)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("data", pa.binary())])
         for batch in batches:
             size, node, seen = [], [], []
-            for s in _sets(batch, "grams"):
+            for s in shingler.sets(batch.column("text")):
                 size.append(len(s))
                 node.append(_node(s))
                 seen.append(_cell(s, cells))
@@ -85,6 +76,11 @@ def _count(cells: int):
     return count
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in quarter octaves."""
+    return np.ceil(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -96,15 +92,22 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
 
+def _level_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of cells as levels, with the occurrences of each level."""
+    for batch in _add_cells(batches):
+        counts = np.frombuffer(zlib.decompress(batch.column("data")[0].as_py()), np.uint64)
+        level = _levels(counts)
+        load = np.bincount(level, weights=counts.astype(np.float64), minlength=256)
+        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "data": pa.array([level.tobytes()], pa.binary()), "load": pa.array([load.tolist()], pa.list_(pa.float64()))})
+
+
 class Order:
-    """Global order of shingles: by the count of their cell in quarter octaves, then by hash."""
+    """Global order of shingles: by the level of their cell's count, then by hash."""
 
-    def __init__(self, counts: np.ndarray):
-        self.cells = len(counts)
-        self.level = np.ceil(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
-        load = np.bincount(self.level, weights=counts.astype(np.float64), minlength=256)
+    def __init__(self, level: np.ndarray, load: np.ndarray):
+        self.cells, self.level, self.load = len(level), level, load
         self.total = float(load.sum())
-        self.before, self.load = np.r_[0, np.cumsum(load)[:-1]], load
+        self.before = np.r_[0, np.cumsum(load)[:-1]]
 
     def rank(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         level = self.level[_cell(hashes, self.cells)]
@@ -119,13 +122,14 @@ class Order:
 
 
 def _order(counted: DataFrame, cells: int) -> Order:
-    """The cells' sums; what reaches the driver is one row for each of cells / 65536 blocks."""
+    """The cells' levels; what reaches the driver is one byte for each cell."""
     parts = counted.filter("block is not null").select("block", "salt", "data")
     once = parts.repartition("block", "salt").select("block", "data").mapInArrow(_add_cells, "block int, data binary")
-    total = np.zeros(cells, np.uint64)
-    for row in once.repartition("block").mapInArrow(_add_cells, "block int, data binary").collect():
-        total[row.block * PART : (row.block + 1) * PART] = np.frombuffer(zlib.decompress(row.data), np.uint64)
-    return Order(total)
+    level, load = np.zeros(cells, np.uint8), np.zeros(256)
+    for row in once.repartition("block").mapInArrow(_level_cells, "block int, data binary, load array<double>").collect():
+        level[row.block * PART : (row.block + 1) * PART] = np.frombuffer(row.data, np.uint8)
+        load += np.array(row.load)
+    return Order(level, load)
 
 
 def _least(n: int, percent: int) -> int:
@@ -137,7 +141,7 @@ def _node(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _prefixes(order: Order, cuts: int, percent: int):
+def _prefixes(n: int, order: Order, cuts: int, percent: int):
     """Packs of prefix entries: one row for a fragment and a batch.
 
     Shingles of hot cells are dealt out by node as well, so that no task gets all their entries.
@@ -145,9 +149,10 @@ def _prefixes(order: Order, cuts: int, percent: int):
     schema = pa.schema([("route", pa.int64()), ("known", pa.bool_()), ("grams", pa.binary()), ("owner", pa.binary()), ("nodes", pa.binary()), ("facts", pa.binary())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
         for batch in batches:
             grams, owner, route, nodes, facts = [], [], [], [], []
-            for s in _sets(batch, "grams"):
+            for s in shingler.sets(batch.column("text")):
                 if not len(s):
                     continue
                 at, level = order.rank(s)
@@ -202,11 +207,12 @@ def _postings(table: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(grams, pa.int64()), "node": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(owner), [None, pa.py_buffer(nodes[owner].tobytes())]).cast(pa.binary()), "n": pa.array(facts[owner, 0].astype(np.int64)), "common": pa.array(facts[owner, 1])})
 
 
-def _segments(order: Order, cuts: int):
+def _segments(n: int, order: Order, cuts: int):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
         for batch in batches:
             rows = {"node": [], "fragment": [], "segment": []}
-            for s in _sets(batch, "grams"):
+            for s in shingler.sets(batch.column("text")):
                 node = _node(s)
                 f = order.fragment(s, order.level[_cell(s, order.cells)], cuts)
                 for k in np.unique(f):
@@ -323,11 +329,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     if not 0 < percent <= 100:
         raise ValueError("percent must be over 0 and at most 100")
     spark = docs.sparkSession
-    counted = kept(_shingled(docs, n).mapInArrow(_count(cells), "doc_id long, n long, node binary, block int, salt int, data binary"), "gram-counts")
+    counted = kept(_texts(docs).mapInArrow(_count(n, cells), "doc_id long, n long, node binary, block int, salt int, data binary"), "gram-counts")
     facts = counted.filter("block is null").select("doc_id", "n", "node")
     order = _order(counted, cells)
     cuts = max(parallelism(docs), math.ceil(order.total * (100 - percent) / 100 / ENTRIES))
-    packs = _shingled(docs.filter("doc_id is not null"), n).mapInArrow(_prefixes(order, cuts, percent), "route long, known boolean, grams binary, owner binary, nodes binary, facts binary")
+    packs = _texts(docs).filter("doc_id is not null").mapInArrow(_prefixes(n, order, cuts, percent), "route long, known boolean, grams binary, owner binary, nodes binary, facts binary")
     postings = kept(packs.groupBy("route").applyInArrow(_postings, "gram long, node binary, n long, common double"), "postings")
     shared = postings.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
     lists = postings.join(shared, "gram")
@@ -335,8 +341,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     pairs = cut(lists.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct())
     found = cut(facts.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     wanted = found.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id")
-    full = _shingled(docs.join(wanted, "doc_id", "left_semi"), n)
-    segments = kept(full.mapInArrow(_segments(order, VERIFY), "node binary, fragment int, segment binary"), "segments")
+    full = _texts(docs).join(wanted, "doc_id", "left_semi")
+    segments = kept(full.mapInArrow(_segments(n, order, VERIFY), "node binary, fragment int, segment binary"), "segments")
     links = cut(_linked(pairs, segments, VERIFY, percent))
     labels = components(links, "a", "b")
     more = cut(_rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent))
