@@ -239,13 +239,13 @@ def _linked(pairs: DataFrame, segments: DataFrame, cuts: int, percent: int) -> D
     groups = max(parallelism(pairs), pairs.count() // 2048)
     share = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("times") / 4096)))
     many = pairs.groupBy("b").agg(F.count("*").alias("times"))
-    placed = cut(pairs.join(many, "b").withColumn("g", F.pmod(F.xxhash64("b", share), F.lit(groups))))
+    placed = cut(pairs.join(many.hint("merge"), "b").withColumn("g", F.pmod(F.xxhash64("b", share), F.lit(groups))))
     needed = placed.select(F.col("a").alias("node"), "g").union(placed.select("b", "g")).distinct()
-    left = needed.join(segments, "node").select("g", "fragment", "node", "segment")
+    left = needed.join(segments.hint("merge"), "node").select("g", "fragment", "node", "segment")
     right = placed.select("a", "b", F.col("g").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"))
     counted = left.groupBy("g", "fragment").cogroup(right.groupBy("group", "cut")).applyInArrow(_partial, "a binary, b binary, overlap long")
     summed = counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return summed.join(placed, ["a", "b"]).filter(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    return summed.join(placed.hint("merge"), ["a", "b"]).filter(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
 def _forest(cuts: int, percent: int):
@@ -302,19 +302,19 @@ def _forest(cuts: int, percent: int):
 
 def _rest(postings: DataFrame, segments: DataFrame, labels: DataFrame, cuts: int, percent: int) -> DataFrame:
     """Links between sets that share a prefix shingle but are not joined yet."""
-    placed = postings.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    placed = postings.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    open_ = cut(placed.join(split, "gram").select("gram", "node", "n", "comp"))
+    open_ = cut(placed.join(split.hint("merge"), "gram").select("gram", "node", "n", "comp"))
     # Lists with common members are one cluster, so that a pair is met once and not for each shingle it shares.
-    star = open_.join(open_.groupBy("gram").agg(F.min("node").alias("hub")), "gram").select("node", "hub")
+    star = open_.join(open_.groupBy("gram").agg(F.min("node").alias("hub")).hint("merge"), "gram").select("node", "hub")
     clusters = components(star, "node", "hub")
-    members = open_.select("node", "n", "comp").distinct().join(clusters, "node")
+    members = open_.select("node", "n", "comp").distinct().join(clusters.hint("merge"), "node")
     blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members = members.join(blocks.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = members.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     sides = sides.withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == F.col("lo"), 0).otherwise(1))
-    return sides.join(segments, "node").select("root", "lo", "hi", "side", "node", "n", "comp", "fragment", "segment").groupBy("root", "lo", "hi").applyInArrow(_forest(cuts, percent), "a binary, b binary")
+    return sides.join(segments.hint("merge"), "node").select("root", "lo", "hi", "side", "node", "n", "comp", "fragment", "segment").groupBy("root", "lo", "hi").applyInArrow(_forest(cuts, percent), "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: int = CELLS) -> DataFrame:
@@ -336,21 +336,21 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     packs = _texts(docs).filter("doc_id is not null").mapInArrow(_prefixes(n, order, cuts, percent), "route long, known boolean, grams binary, owner binary, nodes binary, facts binary")
     postings = kept(packs.groupBy("route").applyInArrow(_postings, "gram long, node binary, n long, common double"), "postings")
     shared = postings.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
-    lists = postings.join(shared, "gram")
+    lists = postings.join(shared.hint("merge"), "gram")
     near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
     pairs = cut(lists.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct())
     found = cut(facts.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    wanted = found.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id")
-    full = _texts(docs).join(wanted, "doc_id", "left_semi")
+    wanted = found.join(lists.select("node").distinct().hint("merge"), "node", "left_semi").select("doc_id")
+    full = _texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi")
     segments = kept(full.mapInArrow(_segments(n, order, VERIFY), "node binary, fragment int, segment binary"), "segments")
     links = cut(_linked(pairs, segments, VERIFY, percent))
     labels = components(links, "a", "b")
     more = cut(_rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent))
     labels = components(links.union(more), "a", "b")
-    named = found.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = found.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(roots, "root").select("node", "component_id", F.col("copies").alias("n_copies"))
-    whole = facts.join(classes, "node", "left")
+    classes = named.join(roots.hint("merge"), "root").select("node", "component_id", F.col("copies").alias("n_copies"))
+    whole = facts.join(classes.hint("merge"), "node", "left")
     joined = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return whole.select(
         "doc_id",
