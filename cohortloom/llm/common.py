@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.session import cut, scratch_path
+from cohortloom.session import scratch_path
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -116,16 +116,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Smallest labels spread along the edges and then jump to their own label, so long chains
     take a number of rounds that grows with the logarithm of their length. Only labels move;
-    each round is written to the shared folder. Joins are merges,
-    as every broadcast would hold pages of the driver's memory until the end.
+    each round is written to the shared folder as a table, which
+    has its real size (a checkpoint keeps the planner's guess, and guesses multiply from round to round).
+    Joins are merges, as every broadcast would hold pages of the driver's memory until the end.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).filter("u <> v").distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    both = kept(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).filter("u <> v").distinct(), "edges")
+    labels = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.hint("merge"), both.v == labels.node).groupBy("u").agg(F.min("root").alias("m"))
         step = labels.join(near.hint("merge"), labels.node == near.u).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("j"), F.col("root").alias("far"))
-        moved = cut(step.join(jump.hint("merge"), step.root == jump.j).select("node", F.least("root", "far").alias("root"), "old"))
+        moved = kept(step.join(jump.hint("merge"), step.root == jump.j).select("node", F.least("root", "far").alias("root"), "old"), "labels")
         labels = moved.select("node", "root")
         if moved.filter("root <> old").isEmpty():
             return labels

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from cohortloom.llm.common import kept
-from cohortloom.session import cut
 
 DEPTH = 4
 """Leading tokens of a leaf."""
@@ -102,7 +101,7 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKEN
     """
     rows = docs.filter("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     lines = kept(rows.mapInArrow(_lines(depth, least, False), "doc_id long, leaf long, line long"), "lines")
-    distinct = cut(lines.groupBy("leaf", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
+    distinct = kept(lines.groupBy("leaf", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")), "distinct")
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("docs").alias("total"))
     several = distinct.join(leaves.filter("different > 1"), "leaf").select("leaf", "line", "first", "different")
     texts = rows.join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -124,7 +123,7 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKENS,
     n_dropped are replaced, all others stay.
     """
     lines, templates = line_templates(docs, depth, least, similar)
-    placed = cut(lines.join(templates.select("leaf", "line", "template"), ["leaf", "line"]).select("doc_id", "leaf", "line", "template"))
+    placed = kept(lines.join(templates.select("leaf", "line", "template"), ["leaf", "line"]).select("doc_id", "leaf", "line", "template"), "placed")
     recurring = placed.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("docs")).filter(F.col("docs") >= least_docs)
     drop = placed.join(recurring.select("leaf", "template", "first"), ["leaf", "template"]).filter("doc_id <> first")
     lists = drop.groupBy("doc_id").agg(F.collect_set("line").alias("__drop")).withColumnRenamed("doc_id", "__doc")

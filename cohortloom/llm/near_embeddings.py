@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import components
-from cohortloom.session import cut, parallelism
+from cohortloom.llm.common import components, kept
+from cohortloom.session import parallelism
 
 LEAST = 0.9
 BLOCK = 4096
@@ -129,7 +129,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_column: str = "vec
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     # Adding zero makes -0.0 and 0.0 one value.
     rows = rows.withColumn("node", F.when(good, F.xxhash64(F.size("v"), F.transform("v", lambda x: x + F.lit(0.0)))))
-    classes = cut(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("v").alias("v")))
+    classes = kept(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("v").alias("v")), "classes")
     shapes = sorted((r.size, r.n) for r in classes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).collect())
     counts = None
     for size, n in shapes:
@@ -137,7 +137,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_column: str = "vec
         counts = found if counts is None else counts.union(found)
     if counts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    counts = cut(counts)
+    counts = kept(counts, "counts")
     edges = counts.filter("other is not null").select("node", "other")
     labels = components(edges, "node", "other")
     links = counts.groupBy("node").agg(F.sum("links").alias("links"))

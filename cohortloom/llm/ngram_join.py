@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import Shingler, components, kept
-from cohortloom.session import cut, parallelism
+from cohortloom.session import parallelism
 
 CELLS = 1 << 22
 """Counting cells: 4 MB when sent to the tasks, at any size of the corpus."""
@@ -239,7 +239,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, cuts: int, percent: int) -> D
     groups = max(parallelism(pairs), pairs.count() // 2048)
     share = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("times") / 4096)))
     many = pairs.groupBy("b").agg(F.count("*").alias("times"))
-    placed = cut(pairs.join(many.hint("merge"), "b").withColumn("g", F.pmod(F.xxhash64("b", share), F.lit(groups))))
+    placed = kept(pairs.join(many.hint("merge"), "b").withColumn("g", F.pmod(F.xxhash64("b", share), F.lit(groups))), "placed")
     needed = placed.select(F.col("a").alias("node"), "g").union(placed.select("b", "g")).distinct()
     left = needed.join(segments.hint("merge"), "node").select("g", "fragment", "node", "segment")
     right = placed.select("a", "b", F.col("g").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"))
@@ -304,7 +304,7 @@ def _rest(postings: DataFrame, segments: DataFrame, labels: DataFrame, cuts: int
     """Links between sets that share a prefix shingle but are not joined yet."""
     placed = postings.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    open_ = cut(placed.join(split.hint("merge"), "gram").select("gram", "node", "n", "comp"))
+    open_ = kept(placed.join(split.hint("merge"), "gram").select("gram", "node", "n", "comp"), "open")
     # Lists with common members are one cluster, so that a pair is met once and not for each shingle it shares.
     star = open_.join(open_.groupBy("gram").agg(F.min("node").alias("hub")).hint("merge"), "gram").select("node", "hub")
     clusters = components(star, "node", "hub")
@@ -338,14 +338,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     shared = postings.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
     lists = postings.join(shared.hint("merge"), "gram")
     near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
-    pairs = cut(lists.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct())
-    found = cut(facts.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    pairs = kept(lists.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct(), "pairs")
+    found = kept(facts.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "found")
     wanted = found.join(lists.select("node").distinct().hint("merge"), "node", "left_semi").select("doc_id")
     full = _texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi")
     segments = kept(full.mapInArrow(_segments(n, order, VERIFY), "node binary, fragment int, segment binary"), "segments")
-    links = cut(_linked(pairs, segments, VERIFY, percent))
+    links = kept(_linked(pairs, segments, VERIFY, percent), "links")
     labels = components(links, "a", "b")
-    more = cut(_rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent))
+    more = kept(_rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent), "more")
     labels = components(links.union(more), "a", "b")
     named = found.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
