@@ -193,7 +193,8 @@ def train(docs: DataFrame, pieces: Pieces, learn: Column, sample_docs: int = SAM
                 k = number[lang]
                 for w in LETTERS.findall((text or "").lower()):
                     found[k, w] = found.get((k, w), 0) + 1
-            yield pd.DataFrame({"lang": [k for k, _ in found], "word": [w for _, w in found], "times": list(found.values())})
+            if found:
+                yield pd.DataFrame({"lang": [k for k, _ in found], "word": [w for _, w in found], "times": list(found.values())})
 
     words = kept(sample.mapInPandas(split, "lang int, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")), "words")
     table = np.full((pieces.count + 1, len(languages)), 1.0 / pieces.count)
@@ -206,7 +207,8 @@ def train(docs: DataFrame, pieces: Pieces, learn: Column, sample_docs: int = SAM
             for f in frames:
                 total += expected_counts(pieces, now, f["word"].tolist(), f["lang"].to_numpy(), f["times"].to_numpy(float))
             piece, lang = np.nonzero(total)
-            yield pd.DataFrame({"piece": piece, "lang": lang, "uses": total[piece, lang]})
+            if len(piece):
+                yield pd.DataFrame({"piece": piece, "lang": lang, "uses": total[piece, lang]})
 
         summed = words.mapInPandas(expect, "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.zeros(table.shape)
