@@ -25,8 +25,6 @@ AGE_BANDS = [
     (None, "late_adolescence"),
 ]
 
-LCG_M = 2147483647
-LCG_A = 48271
 
 
 def col(c) -> Column:
@@ -181,12 +179,9 @@ def number(c) -> Column:
 
 
 def key_hash(key, *salts) -> Column:
-    """Repeatable integer in [0, 2^31 - 1) from an integer key and integer salts.
+    """Repeatable integer in [0, 2^60) from an integer key and integer salts: the head of an MD5.
 
-    Plain integer arithmetic, so that any SQL engine gives the same value.
+    Any SQL engine gives the same value, and another salt gives an unrelated order of the keys.
     """
-    h = F.pmod(col(key).cast("bigint"), F.lit(LCG_M).cast("bigint"))
-    for salt in (*salts, 7):
-        s = (F.lit(salt) if isinstance(salt, int) else col(salt)).cast("bigint")
-        h = F.pmod(h * LCG_A + s * 16807 + 12345, F.lit(LCG_M).cast("bigint"))
-    return F.pmod(h * 69621, F.lit(LCG_M).cast("bigint"))
+    parts = [(F.lit(s) if isinstance(s, int) else col(s)).cast("bigint").cast("string") for s in (key, *salts)]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")

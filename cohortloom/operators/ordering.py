@@ -9,14 +9,24 @@ same answer.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.scalar import col
+from cohortloom.functions.scalar import col, finite
 
 SLICES = 4096  # ordered buckets per power of two
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a NULL key matches a NULL key; the keys appear once."""
+    right = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    joined = df.join(right, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{k}" for k in keys])
+
+
 def order_bucket(c, slices: int = SLICES) -> Column:
     """Monotone map from a finite number to a bucket number."""
     v = col(c).cast("double")
@@ -38,7 +48,7 @@ def running_totals(df: DataFrame, keys, order: str, values: dict[str, Column]) -
     """
     keys = list(keys)
     cells = (
-        df.filter(F.col(order).isNotNull())
+        df.filter(finite(order).isNotNull())
         .groupBy(*keys, order)
         .agg(*[F.sum(c).alias(n) for n, c in values.items()])
         .withColumn("_bucket", order_bucket(order))
@@ -55,9 +65,8 @@ def running_totals(df: DataFrame, keys, order: str, values: dict[str, Column]) -
     inside = (
         Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = cells.select(
-        "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in values]
-    ).join(offsets, [*keys, "_bucket"])
+    out = cells.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in values])
+    out = null_safe_join(out, offsets, [*keys, "_bucket"])
     return out.select(
         *keys,
         order,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from cohortloom.functions import tails
+from cohortloom.functions.tails import t_sf
 from cohortloom.functions.scalar import corr_or_zero, key_hash
 from cohortloom.functions.small import unpack
 from cohortloom.operators.gram import check_width, gram_wide, map_rows, sum_grams
@@ -74,7 +74,10 @@ def fold_table(rows: DataFrame, folds: DataFrame, row_id: str, layout: Layout) -
 def training_parts(cells: DataFrame) -> DataFrame:
     """Training sums of every test fold, still split by part: total of the part minus the fold's own."""
     total = sum_grams(cells, ["rep", "part"]).withColumnRenamed("_gram", "_t")
-    return cells.join(total, ["rep", "part"]).select("rep", "fold", "part", F.zip_with("_t", "_gram", lambda t, g: t - g).alias("_gram"))
+    # A fold may have no row in a part; its training rows there are all of the part.
+    every = cells.select("rep", "fold").distinct().join(total, "rep")
+    less = F.when(F.col("_gram").isNull(), F.col("_t")).otherwise(F.zip_with("_t", "_gram", lambda t, g: t - g))
+    return every.join(cells, ["rep", "fold", "part"], "left").select("rep", "fold", "part", less.alias("_gram"))
 
 
 def _select(g: np.ndarray, lay: Layout, alpha: float, tail: str) -> np.ndarray:
@@ -88,7 +91,7 @@ def _select(g: np.ndarray, lay: Layout, alpha: float, tail: str) -> np.ndarray:
     sse = np.diag(g)[feats] - (beta * xy).sum(0)
     with np.errstate(all="ignore"):
         t = beta[1] / np.sqrt(np.maximum(sse, 1e-300) / dof * inv[1, 1])
-    p = tails.t_sf(np.abs(t), dof) * (1 if tail == "one" else 2)
+    p = t_sf(np.abs(t), dof) * (1 if tail == "one" else 2)
     keep = np.zeros(len(feats), dtype=bool)
     names = np.array(lay.features)
     singles = [m for m in lay.models if not any(set(lay.models[o]) < set(lay.models[m]) for o in lay.models)]

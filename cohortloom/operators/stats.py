@@ -15,7 +15,8 @@ from cohortloom.operators.temporal import join_stats
 def _r_to_p(df: DataFrame, r: str = "r", n: str = "n", p: str = "p") -> DataFrame:
     rr, dof = F.col(r), F.col(n) - 2
     t = F.when(F.abs(rr) < 1, rr * F.sqrt(dof / (1 - rr * rr)))
-    return df.withColumn(p, F.when(F.abs(rr) >= 1, 0.0).otherwise(tails.two_sided_t(t, dof)))
+    # Two pairs always lie on a line and say nothing; fewer have no correlation.
+    return df.withColumn(p, F.when(F.col(n) == 2, F.when(rr.isNotNull(), 1.0)).when(F.col(n) < 2, None).when(F.abs(rr) >= 1, 0.0).otherwise(tails.two_sided_t(t, dof)))
 
 
 def pearson(df: DataFrame, keys, x: str, y: str) -> DataFrame:
@@ -24,7 +25,7 @@ def pearson(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     g = both.groupBy(*keys).agg(
         F.count("*").alias("n"), X.corr(x, y).alias("r")
     )
-    return _r_to_p(g.filter(F.col("n") > 2))
+    return _r_to_p(g)
 
 
 def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
@@ -138,7 +139,7 @@ def simple_regression(df: DataFrame, keys, x: str, y: str) -> DataFrame:
         X.intercept(y, x).alias("intercept"),
         X.corr(x, y).alias("r"),
     )
-    return _r_to_p(g.filter(F.col("n") > 2))
+    return _r_to_p(g)
 
 
 def paired_t(df: DataFrame, keys, a: str, b: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import col, key_hash
-from cohortloom.operators.ordering import rank_table
+from cohortloom.operators.ordering import null_safe_join, rank_table
 
 # Delays in samples, trimmed length and chunk counts of the published analysis.
 DELAYS = (3, 5, 7, 9)
@@ -23,7 +23,7 @@ def join_stats(df: DataFrame, stats: DataFrame, keys, how: str = "inner") -> Dat
     row, read as a scalar subquery."""
     keys = list(keys)
     if keys:
-        return df.join(stats, keys, how)
+        return null_safe_join(df, stats, keys, how)
     row = stats.select(F.struct(*stats.columns).alias("_row")).scalar()
     return df.select("*", row.alias("_row")).select("*", "_row.*").drop("_row")
 
@@ -94,7 +94,7 @@ def block_holdout(blocks: DataFrame, keys, block: str, n_boot: int, frac: int, s
     keys = list(keys)
     b = blocks.select(*keys, block).distinct().withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     # The block number breaks ties of the hash, so every value is distinct.
-    b = b.withColumn("_h", key_hash(block, "boot", seed) * 1000003 + F.col(block))
+    b = b.withColumn("_h", F.shiftright(key_hash(block, "boot", seed), 24) * 1000003 + F.col(block))
     if small:
         part = Window.partitionBy(*keys, "boot")
         b = b.withColumn("_r", F.row_number().over(part.orderBy("_h"))).withColumn("_n", F.count("*").over(part))

@@ -105,11 +105,6 @@ def z_tail_sql(z: str) -> str:
     return f"(0.5 * {chi2_tail_sql(f'(({z})*({z}))', '1.0')})"
 
 
-LCG = 2147483647
-
-
 def key_hash_sql(key: str, *salts: str) -> str:
-    h = f"(CAST({key} AS BIGINT) % {LCG})"
-    for s in (*salts, "7"):
-        h = f"(({h} * 48271 + CAST({s} AS BIGINT) * 16807 + 12345) % {LCG})"
-    return f"(({h} * 69621) % {LCG})"
+    parts = ", ".join(f"CAST({s} AS BIGINT)" for s in (key, *salts))
+    return f"CAST('0x' || substr(md5(concat_ws(':', {parts})), 1, 15) AS BIGINT)"

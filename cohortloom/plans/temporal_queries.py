@@ -64,7 +64,7 @@ def assign_folds(spark, sf):
     "W3",
     "WITH b AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 36000) AS INTEGER) AS block FROM events), "
     "g AS (SELECT user_id, block, CAST(unnest(range(0, 5)) AS INTEGER) AS boot FROM b), "
-    f"r AS (SELECT *, row_number() OVER (PARTITION BY user_id, boot ORDER BY {key_hash_sql('block', 'boot', '42')} * 1000003 + block) AS rn, count(*) OVER (PARTITION BY user_id, boot) AS n FROM g) "
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY user_id, boot ORDER BY ({key_hash_sql('block', 'boot', '42')} >> 24) * 1000003 + block) AS rn, count(*) OVER (PARTITION BY user_id, boot) AS n FROM g) "
     "SELECT user_id, block, boot FROM r WHERE rn <= floor(n / 4)",
 )
 def block_holdout(spark, sf):
