@@ -48,18 +48,20 @@ def parse(line: str, depth: int = DEPTH, least: int = LEAST_TOKENS) -> tuple[int
     return _hash(f"{len(tokens)} " + " ".join(tokens[:depth])), _hash(" ".join(tokens)), tokens
 
 
-def _lines(depth: int, least: int, with_tokens: bool):
-    names = ["doc_id", "leaf", "line", *(["tokens"] if with_tokens else [])]
-    types = [pa.int64(), pa.int64(), pa.int64(), *([pa.string()] if with_tokens else [])]
+def _lines(depth: int, least: int, wanted: bool = False):
+    """Different lines of each document; with ``wanted`` only those of the third column, with their tokens."""
+    names = ["doc_id", "leaf", "line", *(["tokens"] if wanted else [])]
+    types = [pa.int64(), pa.int64(), pa.int64(), *([pa.string()] if wanted else [])]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set()
+            asked = batch.column(2).to_pylist() if wanted else [None] * batch.num_rows
+            for doc, text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), asked, strict=True):
+                seen, some = set(), set(some or ())
                 for line in (text or "").split("\n"):
                     found = parse(line, depth, least)
-                    if found and found[1] not in seen:
+                    if found and found[1] not in seen and (not wanted or found[1] in some):
                         seen.add(found[1])
                         row = (doc, found[0], found[1], " ".join(found[2]))
                         for c, v in zip(columns, row, strict=False):
@@ -100,13 +102,14 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKEN
     Rows without an id are left out.
     """
     rows = docs.filter("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    lines = kept(rows.mapInArrow(_lines(depth, least, False), "doc_id long, leaf long, line long"), "lines")
+    lines = kept(rows.mapInArrow(_lines(depth, least), "doc_id long, leaf long, line long"), "lines")
     distinct = kept(lines.groupBy("leaf", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")), "distinct")
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("docs").alias("total"))
-    several = distinct.join(leaves.filter("different > 1"), "leaf").select("leaf", "line", "first", "different")
-    texts = rows.join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    several = leaves.filter("different > 1").select("leaf", "different")
+    asked = distinct.join(several, "leaf").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("line").alias("wanted"))
+    texts = rows.join(asked, "doc_id").select("doc_id", "text", "wanted")
     again = texts.mapInArrow(_lines(depth, least, True), "doc_id long, leaf long, line long, tokens string")
-    held = several.join(again, (several.leaf == again.leaf) & (several.line == again.line) & (several["first"] == again.doc_id)).select(several.leaf, several.line, "different", "tokens").dropDuplicates(["leaf", "line"])
+    held = again.dropDuplicates(["leaf", "line"]).join(several, "leaf").select("leaf", "line", "different", "tokens")
     salt = F.pmod(F.xxhash64("line"), F.ceil(F.col("different") / LEAF_LINES))
     grown = held.withColumn("salt", salt).groupBy("leaf", "salt").applyInArrow(_grow(similar), "leaf long, line long, template long, pattern string")
     single = distinct.join(leaves.filter("different = 1"), "leaf").select("leaf", "line", F.col("line").alias("template"), F.lit(None).cast("string").alias("pattern"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortloom.llm.common import Shingler, components, kept
 from cohortloom.session import parallelism
@@ -335,10 +336,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     cuts = max(parallelism(docs), math.ceil(order.total * (100 - percent) / 100 / ENTRIES))
     packs = _texts(docs).filter("doc_id is not null").mapInArrow(_prefixes(n, order, cuts, percent), "route long, known boolean, grams binary, owner binary, nodes binary, facts binary")
     postings = kept(packs.groupBy("route").applyInArrow(_postings, "gram long, node binary, n long, common double"), "postings")
-    shared = postings.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
-    lists = postings.join(shared.hint("merge"), "gram")
+    # A set stays in a list if the next smaller or next larger one there is close enough in size to link.
+    by_size = Window.partitionBy("gram").orderBy("n")
+    closest = F.coalesce(F.lag("n").over(by_size) * 100 >= percent * F.col("n"), F.lit(False)) | F.coalesce(F.col("n") * 100 >= percent * F.lead("n").over(by_size), F.lit(False))
+    lists = kept(postings.withColumn("close", closest).filter("close").drop("close"), "lists")
+    hubs = lists.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"))
+    paired = lists.join(hubs.hint("merge"), "gram")
     near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
-    pairs = kept(lists.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct(), "pairs")
+    pairs = kept(paired.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct(), "pairs")
     found = kept(facts.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "found")
     wanted = found.join(lists.select("node").distinct().hint("merge"), "node", "left_semi").select("doc_id")
     full = _texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi")
