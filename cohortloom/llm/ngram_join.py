@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 from cohortloom.llm.common import Shingler, components, kept
 from cohortloom.session import parallelism
 
-CELLS = 1 << 22
-"""Counting cells: 4 MB when sent to the tasks, at any size of the corpus."""
+CELLS = 1 << 24
+"""Counting cells: 16 MB when sent to the tasks, at any size of the corpus."""
 PART = 1 << 16
 ENTRIES = 1 << 20
 """Prefix entries meant for one fragment."""
@@ -68,10 +68,11 @@ def _count(n: int, cells: int):
             total[at] += times.astype(np.uint32)
             k = len(size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-        salt = TaskContext.get().partitionId() % 64
+        salt = TaskContext.get().partitionId() // 32  # counts of 32 tasks are added first
         for b in range(cells // PART):
             part = total[b * PART : (b + 1) * PART]
             if part.any():
+                part = part.astype(np.uint8) if part.max() < 256 else part
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
 
     return count
@@ -88,7 +89,7 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
             held.setdefault(b, np.zeros(PART, np.uint64))
             raw = zlib.decompress(data)
-            held[b] += np.frombuffer(raw, np.uint64 if len(raw) == 8 * PART else np.uint32)
+            held[b] += np.frombuffer(raw, {PART: np.uint8, 4 * PART: np.uint32, 8 * PART: np.uint64}[len(raw)])
     for b, x in held.items():
         yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "data": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
