@@ -7,15 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Gaze calibration and screen geometry.
+# Gaze calibration.
 GAZE_SCALE = 10.0
 GAZE_Y_FACTOR = 1.2925
-SCREEN_SCALE = {
-    ("RU", "TP"): (37 / 29, 20.5 / 15.5),
-    ("RU", "DM"): (37 / 29, 20.5 / 16.5),
-    ("CBIC", "TP"): (33.5 / 26.5, 26 / 15),
-    ("CBIC", "DM"): (33.5 / 26.5, 26 / 15),
-}
 
 # Age bands (upper bounds included).
 AGE_BANDS = [

@@ -10,8 +10,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+# Functions, not module-level vectorised objects: those keep a compiled part after their first call
+# on the driver that cannot be sent to a worker.
+def _lgamma(v):
+    return np.vectorize(math.lgamma, otypes=[float])(v)
+
+
+def _erfc(v):
+    return np.vectorize(math.erfc, otypes=[float])(v)
 
 
 def _beta_fraction(a, b, x, eps=1e-15, steps=20000):
@@ -129,18 +136,47 @@ def fisher_two_sided(a, b, c, d):
     for w, x, y, z in zip(*(np.asarray(v, dtype=float) for v in (a, b, c, d)), strict=True):
         r1, r2, c1 = w + x, y + z, w + y
         n = r1 + r2
-        k = np.arange(max(0.0, c1 - r2), min(r1, c1) + 1)
-        logp = (
-            _lgamma(r1 + 1) - _lgamma(k + 1) - _lgamma(r1 - k + 1)
-            + _lgamma(r2 + 1) - _lgamma(c1 - k + 1) - _lgamma(r2 - c1 + k + 1)
-            - (_lgamma(n + 1) - _lgamma(c1 + 1) - _lgamma(n - c1 + 1))
-        )
-        p = np.exp(logp)
-        seen = p[int(w - k[0])]
-        out.append(min(1.0, float(p[p <= seen * (1 + 1e-7)].sum())))
+        norm = _lgamma(r1 + 1) + _lgamma(r2 + 1) - (_lgamma(n + 1) - _lgamma(c1 + 1) - _lgamma(n - c1 + 1))
+
+        def logp(k):
+            return norm - _lgamma(k + 1) - _lgamma(r1 - k + 1) - _lgamma(c1 - k + 1) - _lgamma(r2 - c1 + k + 1)
+
+        lo, hi = int(max(0.0, c1 - r2)), int(min(r1, c1))
+        mode = min(max(int((r1 + 1) * (c1 + 1) / (n + 2)), lo), hi)
+        limit = float(logp(np.array([w]))[0]) + 1e-7
+
+        def reach(end, step):
+            """Number of tables from the mode to the first one on this side that is not likelier."""
+            near, far = 0, abs(end - mode) + 1
+            while near < far:
+                mid = (near + far) // 2
+                if float(logp(np.array([float(mode + step * mid)]))[0]) <= limit:
+                    far = mid
+                else:
+                    near = mid + 1
+            return near
+
+        below, above = reach(lo, -1), reach(hi, 1)
+        if not below or not above:
+            out.append(1.0)
+        else:
+            out.append(min(1.0, _outward(logp, mode - below, lo, -1) + _outward(logp, mode + above, hi, 1)))
     return np.array(out)
 
 
+def _outward(logp, start: int, end: int, step: int) -> float:
+    """Sum of falling probabilities from ``start`` to ``end``, in blocks, until they no longer count."""
+    total, size = 0.0, 4096
+    while (end - start) * step >= 0:
+        stop = start + step * min(size, abs(end - start) + 1)
+        part = float(np.exp(logp(np.arange(start, stop, step, dtype=float))).sum())
+        total += part
+        if part <= total * 1e-17:
+            break
+        start, size = stop, min(2 * size, 1 << 20)
+    return total
+
+
 def wilcoxon_p(wplus, n, ties, tie_sum, alternative="two-sided"):
     """Signed-rank p: exact for n <= 50 without ties, otherwise the normal approximation."""
     out = []

@@ -98,12 +98,12 @@ def corrected_t(diffs: DataFrame, keys, k: int, rho: float | None = None, value:
     return g.withColumn("p", _directed("p", "t")) if "alternative" in keys else g
 
 
-def compare_models(sharp: DataFrame, corrected: DataFrame, keys) -> DataFrame:
+def compare_models(sharp: DataFrame, corrected: DataFrame, keys, small_family: bool = False) -> DataFrame:
     """Item x pair table with both tests, each adjusted over all rows."""
     s = sharp.select(*keys, "mean_diff", "z", F.col("p").alias("sharp_p"))
     c = corrected.select(*keys, "t", F.col("p").alias("corrected_p"))
     j = s.join(c, list(keys))
-    return bh(bh(j, [], "sharp_p", "sharp_p_adj", True), [], "corrected_p", "corrected_p_adj", True)
+    return bh(bh(j, [], "sharp_p", "sharp_p_adj", small_family), [], "corrected_p", "corrected_p_adj", small_family)
 
 
 def cross_item_trend(rows: DataFrame, pair: str, value: str, pairs=PAIRS) -> DataFrame:

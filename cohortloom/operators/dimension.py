@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from cohortloom.functions.small import centred, pack, unpack
 from cohortloom.operators.axis import collapse_delays
-from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows
+from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows, sum_grams, triangle
 from cohortloom.operators.harmonize import combat
 from cohortloom.operators.hierarchy import add_ancestors, regress_frequency
 from cohortloom.operators.stats import two_sample_t
@@ -88,18 +88,16 @@ def ratio_of(sims: DataFrame, keys, metric: str, min_n: int = 0) -> DataFrame:
 def group_similarity(sims: DataFrame, keys) -> DataFrame:
     """Cell-wise mean of packed similarity matrices over subjects."""
     keys = list(keys)
-    c = sims.select(*keys, F.posexplode("sim").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.avg("_v").alias("_v"))
-    packed = F.array_sort(F.collect_list(F.struct("_i", "_v")))
-    return c.groupBy(*keys).agg(F.transform(packed, lambda s: s["_v"]).alias("sim"))
+    # A one at the end of each matrix counts them, so that sums and number come from one pass.
+    counted = sims.filter(F.size("sim") > 0).select(*keys, F.concat("sim", F.array(F.lit(1.0))).alias("sim"))
+    total = sum_grams(counted, keys, "sim")
+    return total.select(*keys, F.transform(F.slice("sim", F.lit(1), F.size("sim") - 1), lambda v: v / F.element_at("sim", -1)).alias("sim"))
 
 
 def similarity_cells(sims: DataFrame, keys, width: int) -> DataFrame:
     """Long upper triangle ``(keys, f1, f2, s)``."""
-    i, j = np.triu_indices(width)
-    ii, jj = (F.array(*[F.lit(int(v)) for v in ix]) for ix in (i, j))
-    return sims.select(*keys, F.posexplode("sim").alias("_p", "s")).select(
-        *keys, F.element_at(ii, F.col("_p") + 1).alias("f1"), F.element_at(jj, F.col("_p") + 1).alias("f2"), "s"
-    )
+    i, j = triangle("_p", width)
+    return sims.select(*keys, F.posexplode("sim").alias("_p", "s")).select(*keys, i.alias("f1"), j.alias("f2"), "s")
 
 
 def region_set_pr(sims: DataFrame, regions: DataFrame, subject: str, parcel: str, metric: str, groups: DataFrame, group: str, first, second):

@@ -65,7 +65,7 @@ def glm(df: DataFrame, keys, y: str, terms, tail: str = "two") -> DataFrame:
     )
 
 
-def glm_fdr(df: DataFrame, key: str, y: str, terms, tail: str, alpha: float, family=(), small_family: bool = True) -> DataFrame:
+def glm_fdr(df: DataFrame, key: str, y: str, terms, tail: str, alpha: float, family=(), small_family: bool = False) -> DataFrame:
     """Model per parcel, adjusted p over the tested parcels, signed significance."""
     g = glm(df, [*family, key], y, terms, tail)
     g = g.withColumn("_p", F.when(F.col("tested"), F.col("p")))
@@ -99,20 +99,3 @@ def regress_out(df: DataFrame, keys, value: str, confounds, t: str | None = None
         fit = fit + F.element_at("_b", i + 2) * F.col(c)
     mean = F.element_at("_b", len(cols) + 2) if keep_mean else F.lit(0.0)
     return join_stats(d, b, keys).withColumn("residual", F.col(value) - fit + mean).drop("_b")
-
-
-def partial_sums(df: DataFrame, keys, covariates, cols) -> DataFrame:
-    """Cross-products of ``cols`` after the covariates (and the mean) are regressed out."""
-    from pyspark.sql.types import ArrayType
-
-    given = list(range(len(covariates) + 1))
-    rest = list(range(len(covariates) + 1, len(covariates) + 1 + len(cols)))
-    g = gram(df, keys, [*covariates, *cols])
-    schema = StructType([*key_fields(g, keys), StructField("s", ArrayType(DoubleType()))])
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[list(keys)].copy()
-        out["s"] = [condition_on(unpack(v), given, rest).ravel() for v in pdf["_gram"]]
-        return out
-
-    return map_rows(g, keys, step, schema)

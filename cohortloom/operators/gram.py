@@ -12,11 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from cohortloom.functions.small import pack, packed_size
+from cohortloom.functions.small import pack
 from cohortloom.session import parallelism
 
 NARROW = 16  # up to this many columns the sums run as plain SQL aggregates
@@ -182,12 +182,14 @@ def check_width(width: int, limit: int = 4096) -> None:
         raise ValueError(f"{width} columns: a {width} x {width} matrix per key does not fit a task")
 
 
+def triangle(position: str, width: int) -> tuple[Column, Column]:
+    """Row and column of a position in a packed upper triangle of ``width`` columns."""
+    p, odd = F.col(position), 2 * width + 1
+    i = F.floor((odd - F.sqrt((odd * odd - 8 * p).cast("double"))) / 2).cast("int")
+    return i, (p - F.floor(i * (odd - i) / 2) + i).cast("int")
+
+
 def cells(grams: DataFrame, keys, width: int) -> DataFrame:
     """Long form: one row per matrix cell ``(i, j, value)`` with 0 as the intercept."""
-    i, j = np.triu_indices(width + 1)
-    assert len(i) == packed_size(width + 1)
-    pos = F.posexplode("_gram").alias("_p", "value")
-    ii, jj = (F.array(*[F.lit(int(v)) for v in ix]) for ix in (i, j))
-    return grams.select(*keys, pos).select(
-        *keys, F.element_at(ii, F.col("_p") + 1).alias("i"), F.element_at(jj, F.col("_p") + 1).alias("j"), "value"
-    )
+    i, j = triangle("_p", width + 1)
+    return grams.select(*keys, F.posexplode("_gram").alias("_p", "value")).select(*keys, i.alias("i"), j.alias("j"), "value")

@@ -20,11 +20,11 @@ def centroids(vertices: DataFrame, parcel: str, hemi: str) -> DataFrame:
 
 
 def _rotation(rng) -> np.ndarray:
-    q, r = np.linalg.qr(rng.normal(size=(3, 3)))
-    q = q * np.sign(np.diag(r))
-    if np.linalg.det(q) < 0:
-        q[:, 0] = -q[:, 0]
-    return q
+    """Uniform random rotation: four normals, scaled to length one, are a random unit quaternion."""
+    w, *v = rng.normal(size=4)
+    v = np.array(v)
+    cross = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return np.eye(3) + 2 * (w * cross + cross @ cross) / (w * w + v @ v)
 
 
 def _assign(points: np.ndarray, turned: np.ndarray) -> np.ndarray:

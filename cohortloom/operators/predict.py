@@ -20,6 +20,7 @@ from cohortloom.functions.scalar import corr_or_zero, key_hash
 from cohortloom.functions.small import unpack
 from cohortloom.operators.gram import check_width, gram_wide, map_rows, sum_grams
 from cohortloom.operators.ordering import rank_table
+from cohortloom.session import cut
 
 # Mixing grid, inner folds and path length of the published analysis.
 L1_RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9)
@@ -50,12 +51,13 @@ class Layout:
         return [order[n] for n in names]
 
 
-def repeat_folds(ids: DataFrame, row_id: str, n_rep: int, k: int, seed: int = 42, inner: int = INNER, halves: bool = False) -> DataFrame:
+def repeat_folds(ids: DataFrame, row_id: str, n_rep: int, k: int, seed: int = 42, inner: int = INNER, halves: bool = False, first: int = 0) -> DataFrame:
     """``(row_id, rep, fold, part)``: balanced shuffled folds of every repetition.
 
     With ``halves`` each repetition first splits the rows in two, and ``rep`` = 2 * repetition + half.
+    Repetitions are numbered from ``first``; a number always gives the same folds.
     """
-    h = ids.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep"))
+    h = ids.select(row_id, F.explode(F.sequence(F.lit(first), F.lit(first + n_rep - 1))).alias("rep"))
     h = h.withColumn("_h", key_hash(row_id, "rep", seed))
     pos = rank_table(h, ["rep"], "_h").select("rep", "_h", F.col("_below").alias("_p"))
     h = h.join(pos, ["rep", "_h"])
@@ -118,7 +120,8 @@ def fold_select(parts: DataFrame, layout: Layout, alpha: float = 0.025, tail: st
 
 
 def valid_repetitions(selected: DataFrame, layout: Layout, sets, min_features: int, wanted: int) -> DataFrame:
-    """First ``wanted`` repetitions in which every fold selects enough features in every set."""
+    """First ``wanted`` repetitions of one wave in which every fold selects enough features in every
+    set; fewer if the wave has fewer (see ``draw_repetitions``)."""
     counts = [
         F.size(F.array_intersect("selected", F.array(*[F.lit(f) for f in layout.models[s]]))).alias(s) for s in sets
     ]
@@ -127,7 +130,29 @@ def valid_repetitions(selected: DataFrame, layout: Layout, sets, min_features: i
     return good
 
 
-def _enet_paths(s, c, alphas, l1, tol=1e-4, sweeps=1000):
+def draw_repetitions(rows: DataFrame, row_id: str, layout: Layout, k: int, sets, min_features: int, wanted: int, alpha: float = 0.025, tail: str = "one", seed: int = 42, most: int = MAX_SPLITS) -> tuple[DataFrame, DataFrame]:
+    """Waves of new repetitions until ``wanted`` of them qualify; an error after ``most`` tries.
+
+    Returns the valid repetitions ``(rep)`` and ``(rep, fold, selected)`` of all of them. Each wave is
+    as long as what is still missing, at least a tenth of ``wanted``. Only counts reach the driver.
+    """
+    tried, have, valid, chosen = 0, 0, None, None
+    while have < wanted:
+        size = min(max(wanted - have, wanted // 10, 1), most - tried)
+        if size < 1:
+            raise RuntimeError(f"{have} of {wanted} repetitions have {min_features} features in every fold after {tried} tries")
+        folds = cut(repeat_folds(rows, row_id, size, k, seed, first=tried))
+        selected = cut(fold_select(training_parts(cut(fold_table(rows, folds, row_id, layout))), layout, alpha, tail))
+        good = cut(valid_repetitions(selected, layout, sets, min_features, wanted - have))
+        kept = selected.join(good, "rep", "left_semi")
+        valid = good if valid is None else valid.unionByName(good)
+        chosen = kept if chosen is None else chosen.unionByName(kept)
+        have += good.count()
+        tried += size
+    return valid, chosen
+
+
+def _enet_paths(s, c, alphas, l1, tol=1e-4, sweeps=10000):
     """Coordinate descent for a stack of problems, warm-started along descending penalties.
 
     ``s`` (m, p, p) and ``c`` (m, p) are cross-products divided by n; ``alphas`` (m, A), ``l1`` (m,).

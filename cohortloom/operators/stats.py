@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import scalar as X
 from cohortloom.functions import tails
-from cohortloom.operators.ordering import _by, rank_table, running_totals
+from cohortloom.operators.ordering import _by, null_safe_join, rank_table, running_totals
 from cohortloom.operators.temporal import join_stats
 
 
@@ -203,17 +203,20 @@ def chi_square(df: DataFrame, keys, a: str, b: str, yates: bool = False) -> Data
     keys = list(keys)
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count("*").alias("o"))
     # The chi-square sum over empty cells adds their expected counts, i.e. n minus the seen ones.
-    ra = Window.partitionBy(*keys, a)
-    rb = Window.partitionBy(*keys, b)
-    rk = Window.partitionBy(*_by(keys))
-    c = cells.select("*", F.sum("o").over(ra).alias("_a"), F.sum("o").over(rb).alias("_b"), F.sum("o").over(rk).alias("_n"))
+    # Margins are grouped and joined: no window holds a whole margin or table.
+    ma = cells.groupBy(*keys, a).agg(F.sum("o").alias("_a"))
+    mb = cells.groupBy(*keys, b).agg(F.sum("o").alias("_b"))
+    whole = ma.groupBy(*keys).agg(F.sum("_a").alias("_n"), F.count("*").alias("_ra"))
+    columns = mb.groupBy(*keys).agg(F.count("*").alias("_rb"))
+    c = null_safe_join(null_safe_join(cells, ma, [*keys, a]), mb, [*keys, b])
+    c = join_stats(join_stats(c, whole, keys), columns, keys)
     e = F.col("_a") * F.col("_b") / F.col("_n")
     dev = F.abs(F.col("o") - e)
     small = dev - F.least(F.lit(0.5), dev)
     g = c.groupBy(*keys).agg(
         F.max("_n").alias("n"),
-        F.count_distinct(a).alias("_ra"),
-        F.count_distinct(b).alias("_rb"),
+        F.max("_ra").alias("_ra"),
+        F.max("_rb").alias("_rb"),
         F.sum(dev * dev / e).alias("_x"),
         F.sum(small * small / e).alias("_xy"),
         F.sum(e).alias("_seen"),
@@ -297,6 +300,6 @@ def bh(df: DataFrame, family, p: str, out: str = "p_adj", small_family: bool = F
     after = Window.partitionBy(*_by(family)).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = t.groupBy(*family, "_bucket").agg(F.min("_raw").alias("_low"))
     later = later.select(*family, "_bucket", F.min("_low").over(after).alias("_later"))
-    adj = t.withColumn("_here", F.min("_raw").over(inside)).join(later, [*family, "_bucket"])
+    adj = null_safe_join(t.withColumn("_here", F.min("_raw").over(inside)), later, [*family, "_bucket"])
     adj = adj.select(*family, p, F.least("_here", "_later", F.lit(1.0)).alias(out))
-    return df.join(adj, [*family, p], "left")
+    return null_safe_join(df, adj, [*family, p], "left")

@@ -23,8 +23,14 @@ def characterise(df: DataFrame, cluster: str, age: str, male: str) -> DataFrame:
     )
 
 
-def demographic_tests(df: DataFrame, cluster: str, age: str, male: str) -> DataFrame:
-    """Analysis of variance on age and chi-square (Yates for two clusters) on sex."""
+def demographic_tests(df: DataFrame, cluster: str, age: str, male: str, pair=None) -> DataFrame:
+    """Analysis of variance on age and chi-square on sex. With ``pair``, the names of two clusters,
+    the pooled t of age and the exact test of sex (statistic: odds ratio) between those two."""
+    if pair is not None:
+        first, second = pair
+        two = df.filter(F.col(cluster).isin(first, second)).withColumn("_first", F.col(cluster) == F.lit(first))
+        a = two_sample_t(two, [], cluster, first, second, age).select(F.lit("age").alias("test"), F.col("t").alias("stat"), "p")
+        return a.unionByName(fisher_exact(two, [], "_first", male).select(F.lit("sex").alias("test"), F.col("odds").alias("stat"), "p"))
     a = anova(df, [], cluster, age).select(F.lit("age").alias("test"), F.col("f").alias("stat"), "p")
     c = chi_square(df, [], cluster, male, yates=True).select(F.lit("sex").alias("test"), F.col("chi2").alias("stat"), "p")
     return a.unionByName(c)
@@ -45,13 +51,13 @@ def _domains(domains: dict) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("item"))
 
 
-def item_tests(df: DataFrame, cluster: str, domains: dict) -> DataFrame:
+def item_tests(df: DataFrame, cluster: str, domains: dict, small_family: bool = False) -> DataFrame:
     """Analysis of variance per item (equal to the squared pooled t for two clusters), adjusted
     within each domain."""
     items = [i for v in domains.values() for i in v]
     long = df.unpivot([cluster], items, "item", "value")
     t = anova(long, ["item"], cluster, "value").withColumn("domain", _domains(domains))
-    return bh(t, ["domain"], "p", "p_adj", small_family=True)
+    return bh(t, ["domain"], "p", "p_adj", small_family)
 
 
 def manova(df: DataFrame, keys, cluster: str, items) -> DataFrame:
@@ -84,7 +90,7 @@ def manova(df: DataFrame, keys, cluster: str, items) -> DataFrame:
     return map_rows(rows, keys, step, schema, spread=False).withColumn("p", tails.f_tail("f", "df1", "df2"))
 
 
-def category_tests(df: DataFrame, cluster: str, categories: dict, first=None) -> DataFrame:
+def category_tests(df: DataFrame, cluster: str, categories: dict, first=None, small_family: bool = False) -> DataFrame:
     """Cluster against each diagnosis category: exact test for two clusters, chi-square for more;
     adjusted over categories. ``first`` names one of exactly two clusters."""
     flags = df.select(cluster, *[c.alias(n) for n, c in categories.items()])
@@ -94,7 +100,7 @@ def category_tests(df: DataFrame, cluster: str, categories: dict, first=None) ->
         t = t.select("category", F.col("odds").alias("stat"), "p")
     else:
         t = chi_square(long, ["category"], cluster, "flag").select("category", F.col("chi2").alias("stat"), "p")
-    return bh(t, [], "p", "p_adj", small_family=True)
+    return bh(t, [], "p", "p_adj", small_family)
 
 
 def trend_direction(df: DataFrame, keys, group: str, case, control, z: str, alpha: float = 0.05) -> DataFrame:
@@ -115,7 +121,7 @@ def adherence(cases: DataFrame, trajectories: DataFrame, directions: DataFrame,
     )
 
 
-def interaction_anova(df: DataFrame, keys, cluster: str, x: str, y: str, small_family: bool = True) -> DataFrame:
+def interaction_anova(df: DataFrame, keys, cluster: str, x: str, y: str, small_family: bool = False) -> DataFrame:
     """``y ~ x * cluster``: type-II F of x, cluster and their interaction, adjusted over keys.
 
     Needs only per-cluster sums, from which the error of each nested model follows.

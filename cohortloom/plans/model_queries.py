@@ -50,7 +50,7 @@ def group_glm(spark, sf):
     f"WITH {_GLM}, pv AS (SELECT *, {t_tail_sql('t', 'df')} AS p FROM t), {_BH.format(f='PARTITION BY 1')} SELECT parcel, {R('t', 4)} AS t, {R('p', 5)} AS p, {R('adj', 5)} AS p_adj, CAST(CASE WHEN adj < 0.025 THEN sign(t) ELSE 0 END AS INTEGER) AS sig FROM a",
 )
 def group_glm_fdr(spark, sf):
-    g = G.glm_fdr(design(spark, sf), "parcel", "value", ["grp", "cov"], "one", 0.025)
+    g = G.glm_fdr(design(spark, sf), "parcel", "value", ["grp", "cov"], "one", 0.025, small_family=True)  # one row per cell of the vector
     return rounded(g.select("parcel", "t", "p", "p_adj", "sig"), 5, t=4)
 
 
@@ -67,7 +67,7 @@ def group_axis(spark, sf):
     bad = table(spark, sf, "labels").filter("toxic = 1 AND quality = 0").select(F.col("doc_id").alias("vec_id"))
     e = design(spark, sf).join(bad, "vec_id", "left_anti")
     z = zscore(e, ["vec_id"], "value")
-    g = G.glm_fdr(z, "parcel", "z", ["grp", "cov"], "one", 0.025)
+    g = G.glm_fdr(z, "parcel", "z", ["grp", "cov"], "one", 0.025, small_family=True)  # one row per cell of the vector
     nets = networks(spark, sf)
     signs = A.signed_rollup(g, nets, "parcel", "network", "sig")
     means = nets.join(g, "parcel").groupBy("network").agg(F.count("*").alias("n"), F.avg("t").alias("mean_t"))

@@ -60,8 +60,22 @@ def fold_select(spark, sf):
 
 @query("valid_repetitions", "Q2")
 def valid_repetitions(spark, sf):
-    _, _, p = parts(spark, sf, 3, 4)
-    return P.valid_repetitions(P.fold_select(p, LAYOUT, alpha=0.6), LAYOUT, ["a", "b"], 1, 2)
+    """Two repetitions of four folds, drawn in waves until both select a feature of each set everywhere."""
+    valid, _ = P.draw_repetitions(subjects(spark, sf), "vec_id", LAYOUT, 4, ["a", "b"], 1, 2, alpha=0.6)
+    return valid
+
+
+@query("selected_enet", "Q2 Q3 Q4 Q5")
+def selected_enet(spark, sf):
+    """Elastic net on the features that each fold selected, in valid repetitions only."""
+    rows = subjects(spark, sf)
+    valid, selected = P.draw_repetitions(rows, "vec_id", LAYOUT, 4, ["a", "b"], 1, 2, alpha=0.6)
+    last = valid.agg(F.max("rep")).first()[0]
+    folds = cut(P.repeat_folds(rows, "vec_id", last + 1, 4).join(valid, "rep", "left_semi"))
+    p = cut(P.training_parts(cut(P.fold_table(rows, folds, "vec_id", LAYOUT))))
+    fits = cut(P.enet_cv(p, LAYOUT, selected, n_alphas=30))
+    m = P.cv_metrics(P.cv_predictions(rows, folds, fits, "vec_id"), ["item", "model", "rep"])
+    return rounded(P.summarise(m, ["item", "model"]), 4)
 
 
 def predictions(spark, sf, n_rep=2, k=4, halves=False, alphas=30):

@@ -232,6 +232,28 @@ def demographic_tests(spark, sf):
     return rounded(B.demographic_tests(ages(spark, sf).withColumn("male", dummy("sex", 0)), "cluster", "age", "male"), 5)
 
 
+_FISHER = (
+    "fk AS (SELECT *, n11 + n10 AS r1, n01 + n00 AS r2, n11 + n01 AS c1, unnest(range(greatest(0, n11 - n00), least(n11 + n10, n11 + n01) + 1)) AS k FROM ft), "
+    "fl AS (SELECT *, lgamma(r1+1.0) - lgamma(k+1.0) - lgamma(r1-k+1.0) + lgamma(r2+1.0) - lgamma(c1-k+1.0) - lgamma(r2-c1+k+1.0) - lgamma(r1+r2+1.0) + lgamma(c1+1.0) + lgamma(r1+r2-c1+1.0) AS lp FROM fk), "
+    "fo AS (SELECT category, max(lp) FILTER (k = n11) AS seen FROM fl GROUP BY 1), "
+    "pv AS (SELECT category, CASE WHEN any_value(n10 * n01) > 0 THEN any_value(CAST(n11 AS DOUBLE) * n00 / (n10 * n01)) END AS odds, least(1.0, sum(exp(lp)) FILTER (lp <= seen + 1e-7)) AS p FROM fl JOIN fo USING (category) GROUP BY 1)"
+)
+
+
+@query(
+    "demographic_tests_two",
+    "B5 H6 H8",
+    f"WITH {AG}, g AS (SELECT count(*) FILTER (label % 2 = 0) AS n1, count(*) FILTER (label % 2 = 1) AS n2, avg(age) FILTER (label % 2 = 0) AS m1, avg(age) FILTER (label % 2 = 1) AS m2, var_samp(age) FILTER (label % 2 = 0) AS v1, var_samp(age) FILTER (label % 2 = 1) AS v2 FROM ag), "
+    "t AS (SELECT CAST(n1 + n2 - 2 AS DOUBLE) AS df, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t FROM g), "
+    "ft AS (SELECT 'sex' AS category, count(*) FILTER (label % 2 = 0 AND sex = 0) AS n11, count(*) FILTER (label % 2 = 0 AND sex = 1) AS n10, count(*) FILTER (label % 2 = 1 AND sex = 0) AS n01, count(*) FILTER (label % 2 = 1 AND sex = 1) AS n00 FROM ag), "
+    f"{_FISHER} SELECT 'age' AS test, {R('t', 5)} AS stat, {R('2 * ' + t_tail_sql('t', 'df'), 5)} AS p FROM t UNION ALL SELECT category, {R('odds', 5)}, {R('p', 5)} FROM pv",
+)
+def demographic_tests_two(spark, sf):
+    """Two clusters: pooled t of age and the exact test of sex."""
+    a = ages(spark, sf).withColumn("male", dummy("sex", 0)).withColumn("two", (F.col("label") % 2).cast("int"))
+    return rounded(B.demographic_tests(a, "two", "age", "male", pair=(0, 1)), 5)
+
+
 @query("cluster_features", "B6 B2", f"WITH {AG} SELECT cluster, " + ", ".join(f"{R(f'avg(CASE WHEN abs(v{i}) > 1 THEN 1.0 ELSE 0.0 END)')} AS v{i}" for i in range(6)) + " FROM ag GROUP BY 1")
 def cluster_features(spark, sf):
     from cohortloom.operators.cluster import outlier_flags
@@ -250,7 +272,7 @@ _ITEMS = f"{AG}, {_LONG}, {ANOVA.format(key='variable', g='cluster', v='y', t='l
 
 @query("item_tests", "B7 H7 H11", f"WITH {_ITEMS}, {_BH.format(f='PARTITION BY domain')} SELECT variable AS item, domain, {R('f', 5)} AS f, {R('p', 5)} AS p, {R('adj', 5)} AS p_adj FROM a")
 def item_tests(spark, sf):
-    t = B.item_tests(ages(spark, sf), "cluster", {"social": ["v0", "v1", "v2"], "cognition": ["v3", "v4", "v5"]})
+    t = B.item_tests(ages(spark, sf), "cluster", {"social": ["v0", "v1", "v2"], "cognition": ["v3", "v4", "v5"]}, small_family=True)
     return rounded(t.select("item", "domain", "f", "p", "p_adj"), 5)
 
 
@@ -279,10 +301,25 @@ def manova_two(spark, sf):
 )
 def category_tests(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
-    t = B.category_tests(d, "lang", {"any_flag": any_of(["quality", "toxic"]), "toxic_flag": any_of(["toxic"])})
+    t = B.category_tests(d, "lang", {"any_flag": any_of(["quality", "toxic"]), "toxic_flag": any_of(["toxic"])}, small_family=True)
     return rounded(t.select("category", "stat", "p"), 5)
 
 
+@query(
+    "category_tests_two",
+    "B9 A10 H8 H11",
+    "WITH d AS (SELECT quality, toxic = 1 AS toxic_flag, n_chars > 500 AS long_text FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), "
+    "u AS (SELECT quality, 'toxic_flag' AS category, toxic_flag AS flag FROM d UNION ALL SELECT quality, 'long_text', long_text FROM d), "
+    "ft AS (SELECT category, count(*) FILTER (quality = 1 AND flag) AS n11, count(*) FILTER (quality = 1 AND NOT flag) AS n10, count(*) FILTER (quality = 0 AND flag) AS n01, count(*) FILTER (quality = 0 AND NOT flag) AS n00 FROM u GROUP BY 1), "
+    f"{_FISHER}, {_BH.format(f='PARTITION BY 1')} SELECT category, {R('odds', 5)} AS stat, {R('p', 5)} AS p, {R('adj', 5)} AS p_adj FROM a",
+)
+def category_tests_two(spark, sf):
+    """Two clusters (quality 1 and 0) against each category: exact tests, adjusted over categories."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id").filter("quality is not null")
+    t = B.category_tests(d, "quality", {"toxic_flag": F.col("toxic") == 1, "long_text": F.col("n_chars") > 500}, first=1, small_family=True)
+    return rounded(t.select("category", "stat", "p", "p_adj"), 5)
+
+
 @query(
     "interaction_anova",
     "B12",
@@ -293,7 +330,7 @@ def category_tests(spark, sf):
 )
 def interaction_anova(spark, sf):
     long = ages(spark, sf).unpivot(["vec_id", "age", "cluster"], PROFILE, "variable", "y")
-    t = B.interaction_anova(long, ["variable"], "cluster", "age", "y")
+    t = B.interaction_anova(long, ["variable"], "cluster", "age", "y", small_family=True)
     return rounded(t.select("variable", "n_total", "k", "age_f", "cluster_f", "interaction_f", "interaction_p"), 5)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str, schema=None, key: str | None = None, fmt: str | None = None) -> DataFrame:
-    """Parquet or delimited table with an explicit schema; rows without a key are an error of the
-    source and are dropped."""
+    """Parquet or delimited table with an explicit schema. With ``key``, a row without one stops the
+    job; without it such rows are kept."""
     fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".tsv", ".txt")) else "parquet")
     reader = spark.read.format(fmt)
     if schema is not None:
@@ -19,7 +19,10 @@ def read_table(spark: SparkSession, path: str, schema=None, key: str | None = No
     if fmt == "csv":
         reader = reader.option("header", True).option("sep", "\t" if path.endswith(".tsv") else ",")
     df = reader.load(path)
-    return df.filter(F.col(key).isNotNull()) if key else df
+    if not key:
+        return df
+    there = F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(F.lit(f"{path}: a row without {key}")))
+    return df.withColumn(key, there)
 
 
 def read_cube(spark: SparkSession, path: str, cohort: DataFrame, key: str, schema=None) -> DataFrame:
