@@ -26,7 +26,8 @@ DEPTH = 4
 """Leading tokens of a leaf."""
 LEAST_TOKENS = 5
 """Shorter lines are never dropped: they recur by chance."""
-LEAST_DOCS = 3
+LEAST_DOCS = 2
+"""Documents from which on a template recurs, whatever the length of its lines or the size of the corpus."""
 SIMILAR = 0.8
 """Share of positions that must agree for a line to join a template."""
 LEAF_LINES = 4000

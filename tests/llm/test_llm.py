@@ -242,6 +242,14 @@ def test_line_templates(spark):
     assert got[11].text == rows[7][1] and got[12].text == "" and got[13].text == ""
 
 
+def test_a_line_of_two_documents_recurs(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "stuvwxy")
+    rows = [(1, f"{passage}\none of its own lines here"), (2, f"another line of its own\n{passage}"), (3, "five tokens in one line"), (4, "five tokens in one line"), (5, passage + " more")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.n_dropped for d, r in got.items()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+    assert got[1].text == rows[0][1] and got[2].text == "another line of its own"
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 64))
