@@ -2,7 +2,8 @@
 
 A line's leaf is its token count and its first tokens, after tokens with digits have become variable
 fields. Lines of one leaf that agree in most positions share a template; positions that differ become
-fields too. A template that recurs in several documents stays only in the first of them.
+fields too. A template that recurs in several documents stays only in the first of them. A line of fewer
+than LEAST_TOKENS tokens has a leaf of its own, and must recur in more documents.
 
 Equal lines are counted before anything else, so a line in a third of all documents is one row of its
 leaf. Only lines of leaves with several different lines are compared.
@@ -25,9 +26,10 @@ from cohortloom.llm.common import kept
 DEPTH = 4
 """Leading tokens of a leaf."""
 LEAST_TOKENS = 5
-"""Shorter lines are never dropped: they recur by chance."""
+"""Shorter lines also recur by chance: for them SHORT_DOCS holds instead of LEAST_DOCS."""
 LEAST_DOCS = 2
 """Documents from which on a template recurs, whatever the length of its lines or the size of the corpus."""
+SHORT_DOCS = 10
 SIMILAR = 0.8
 """Share of positions that must agree for a line to join a template."""
 LEAF_LINES = 4000
@@ -42,11 +44,19 @@ def _hash(text: str) -> int:
 
 
 def parse(line: str, depth: int = DEPTH, least: int = LEAST_TOKENS) -> tuple[int, int, list[str]] | None:
-    """Leaf, line hash and tokens of a line, with fields for tokens that hold a digit; None for a short line."""
+    """Leaf, line hash and tokens of a line, with fields for tokens that hold a digit; None for a blank line.
+
+    The leaf of a line of fewer than ``least`` tokens is made of all of them and is odd, other leaves are
+    even. A short line of nothing but fields keeps its digits: numbers alone are no template.
+    """
     tokens = (VARIABLE.sub(FIELD, line) if DIGIT.search(line) else line).split()
-    if len(tokens) < least:
+    if not tokens:
         return None
-    return _hash(f"{len(tokens)} " + " ".join(tokens[:depth])), _hash(" ".join(tokens)), tokens
+    short = len(tokens) < least
+    if short and all(t == FIELD for t in tokens):
+        tokens = line.split()
+    leaf = _hash(f"{len(tokens)} " + " ".join(tokens if short else tokens[:depth]))
+    return leaf & ~1 | short, _hash(" ".join(tokens)), tokens
 
 
 def _lines(depth: int, least: int, wanted: bool = False):
@@ -117,18 +127,18 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKEN
     return lines, single.union(grown)
 
 
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKENS, similar: float = SIMILAR, least_docs: int = LEAST_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKENS, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """``docs`` with text cut to the lines that stay, and n_lines, n_dropped.
 
     Lines end at a line feed. A line is dropped if its template occurs in at least ``least_docs``
     documents and this is not the one of them with the smallest id; repetition within a document does
-    not count. Lines of fewer than ``least`` tokens stay. A null text stays null with no lines. Rows
+    not count. Lines of fewer than ``least`` tokens need ``short_docs`` documents; blank lines stay. A null text stays null with no lines. Rows
     without an id stay as they are; rows that repeat an id are one document. Columns named n_lines or
     n_dropped are replaced, all others stay.
     """
     lines, templates = line_templates(docs, depth, least, similar)
     placed = kept(lines.join(templates.select("leaf", "line", "template"), ["leaf", "line"]).select("doc_id", "leaf", "line", "template"), "placed")
-    recurring = placed.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("docs")).filter(F.col("docs") >= least_docs)
+    recurring = placed.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("docs")).filter(F.col("docs") >= F.when(F.col("leaf").bitwiseAND(1) == 1, short_docs).otherwise(least_docs))
     drop = placed.join(recurring.select("leaf", "template", "first"), ["leaf", "template"]).filter("doc_id <> first")
     lists = drop.groupBy("doc_id").agg(F.collect_set("line").alias("__drop")).withColumnRenamed("doc_id", "__doc")
     base = docs.drop("n_lines", "n_dropped")

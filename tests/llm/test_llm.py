@@ -250,6 +250,14 @@ def test_a_line_of_two_documents_recurs(spark):
     assert got[1].text == rows[0][1] and got[2].text == "another line of its own"
 
 
+def test_short_lines_recur_too(spark):
+    rows = [(i, f"All rights reserved.\nPage {i} of 9\n{100 + i}\n\n7\n{'Nine of us.' if i < 9 else 'Ten.'}") for i in range(10)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_dropped == 0
+    for i in range(1, 10):
+        assert got[i].text == f"{100 + i}\n\n{'Nine of us.' if i < 9 else 'Ten.'}" and got[i].n_dropped == 3
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 64))
