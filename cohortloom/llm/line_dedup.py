@@ -5,6 +5,9 @@ fields. Lines of one leaf that agree in most positions share a template; positio
 fields too. A template that recurs in several documents stays only in the first of them. A line of fewer
 than LEAST_TOKENS tokens has a leaf of its own, and must recur in more documents.
 
+Lines that agree are linked, and a template is what links reach. So templates depend neither on the order
+of lines nor on how a large leaf is dealt out to tasks.
+
 Equal lines are counted before anything else, so a line in a third of all documents is one row of its
 leaf. Only lines of leaves with several different lines are compared.
 """
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from cohortloom.llm.common import kept
+from cohortloom.llm.common import components, kept
 
 DEPTH = 4
 """Leading tokens of a leaf."""
@@ -31,9 +34,9 @@ LEAST_DOCS = 2
 """Documents from which on a template recurs, whatever the length of its lines or the size of the corpus."""
 SHORT_DOCS = 10
 SIMILAR = 0.8
-"""Share of positions that must agree for a line to join a template."""
+"""Share of positions that must agree for two lines to be linked; a field agrees with a field."""
 LEAF_LINES = 4000
-"""Different lines of a leaf that are compared at once; larger leaves are dealt out by a hash first."""
+"""Different lines of a leaf that a task compares; of larger leaves, each pair of blocks is a task. Results do not depend on it."""
 FIELD = "<*>"
 VARIABLE = re.compile(r"\S*\d\S*")
 DIGIT = re.compile(r"\d")
@@ -82,31 +85,68 @@ def _lines(depth: int, least: int, wanted: bool = False):
     return lines
 
 
+def _linked(table: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Order of rows by their hash, the first row in that order that links reach from each, and the rows' tokens."""
+    order = np.argsort(table.column("line").to_numpy())
+    lines = [table.column("tokens")[int(i)].as_py().split(" ") for i in order]
+    number: dict[str, int] = {}
+    codes = np.array([[number.setdefault(t, len(number)) for t in x] for x in lines], np.int32)
+    of = np.arange(len(codes))
+    for i in range(1, len(codes)):
+        near = np.unique(of[:i][(codes[:i] == codes[i]).mean(axis=1) >= similar])
+        if len(near):
+            of[i] = near[0]
+            if len(near) > 1:
+                of[: i + 1][np.isin(of[: i + 1], near)] = near[0]
+    return order, of, lines
+
+
 def _grow(similar: float):
     def grow(table: pa.Table) -> pa.Table:
-        """Templates of one leaf: lines join, in the order of their hash, the template they agree with most."""
-        order = np.argsort(table.column("line").to_numpy())
-        lines = [table.column("tokens")[int(i)].as_py().split(" ") for i in order]
-        number: dict[str, int] = {FIELD: 0}
-        codes = np.array([[number.setdefault(t, len(number)) for t in x] for x in lines], np.int32)
-        made, count, of = np.zeros((16, codes.shape[1]), np.int32), 0, np.zeros(len(codes), np.int64)
-        for i, row in enumerate(codes):
-            agree = ((made[:count] == row) | (made[:count] == 0)).mean(axis=1) if count else np.zeros(0)
-            if count and agree.max() >= similar:
-                t = int(agree.argmax())
-                made[t][made[t] != row] = 0
-            else:
-                if count == len(made):
-                    made = np.concatenate([made, np.zeros_like(made)])
-                made[count], t, count = row, count, count + 1
-            of[i] = t
-        words = list(number)
-        text = [" ".join(words[c] for c in made[t]) for t in range(count)]
-        return pa.table({"leaf": table.column("leaf").take(order), "line": table.column("line").take(order), "template": pa.array([_hash(text[t]) for t in of], pa.int64()), "pattern": pa.array([text[t] for t in of], pa.string())})
+        """Templates of all lines of one leaf: the smallest hash of a linked line, and fields where lines differ."""
+        order, of, lines = _linked(table, similar)
+        text: dict[int, list[str]] = {}
+        for t, words in zip(of.tolist(), lines, strict=True):
+            text[t] = [a if a == b else FIELD for a, b in zip(text[t], words, strict=True)] if t in text else words
+        line = table.column("line").to_numpy()[order]
+        return pa.table({"leaf": table.column("leaf").take(order), "line": pa.array(line), "template": pa.array(line[of]), "pattern": pa.array([" ".join(text[t]) for t in of.tolist()], pa.string())})
 
     return grow
 
 
+def _link(similar: float):
+    def link(table: pa.Table) -> pa.Table:
+        """Lines of two blocks of a leaf that are linked to one with a smaller hash."""
+        order, of, _ = _linked(table, similar)
+        line = table.column("line").to_numpy()[order]
+        moved = np.flatnonzero(of != np.arange(len(of)))
+        return pa.table({"leaf": table.column("leaf").take(order[moved]), "line": pa.array(line[moved]), "to": pa.array(line[of[moved]])})
+
+    return link
+
+
+GROWN = "leaf long, line long, template long, pattern string"
+
+
+def _met(rows: DataFrame, similar: float) -> DataFrame:
+    """``GROWN`` for large leaves (leaf, line, different, tokens), the same as ``_grow`` over all lines of a leaf.
+
+    Each pair of blocks of a leaf is a task, so any two lines meet; work is quadratic in the lines of a leaf.
+    """
+    blocks = F.ceil(2 * F.col("different") / LEAF_LINES).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).filter("block <> other")
+    pairs = dealt.select("leaf", "line", "tokens", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    links = kept(pairs.groupBy("leaf", "a", "b").applyInArrow(_link(similar), "leaf long, line long, to long"), "links")
+    roots = components(links, "line", "to")
+    of = kept(rows.join(roots, rows.line == roots.node, "left").select("leaf", "line", "root", "tokens"), "roots")
+    words = of.filter("root is not null").select("leaf", "root", F.posexplode(F.split("tokens", " ")).alias("pos", "word"))
+    words = words.groupBy("leaf", "root", "pos").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    words = words.withColumn("word", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(FIELD))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    merged = words.groupBy("leaf", "root").agg(text.alias("pattern"))
+    return of.join(merged, ["leaf", "root"], "left").select("leaf", "line", F.coalesce("root", "line").alias("template"), F.coalesce("pattern", "tokens").alias("pattern"))
+
+
 def line_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKENS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Lines of documents (doc_id, leaf, line), and a template for each different line of a leaf (leaf, line, template).
 
@@ -121,8 +161,12 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_TOKEN
     texts = rows.join(asked, "doc_id").select("doc_id", "text", "wanted")
     again = texts.mapInArrow(_lines(depth, least, True), "doc_id long, leaf long, line long, tokens string")
     held = again.dropDuplicates(["leaf", "line"]).join(several, "leaf").select("leaf", "line", "different", "tokens")
-    salt = F.pmod(F.xxhash64("line"), F.ceil(F.col("different") / LEAF_LINES))
-    grown = held.withColumn("salt", salt).groupBy("leaf", "salt").applyInArrow(_grow(similar), "leaf long, line long, template long, pattern string")
+    large = F.col("different") > LEAF_LINES
+    some = not several.filter(large).isEmpty()
+    held = kept(held, "held") if some else held
+    grown = held.filter(~large).groupBy("leaf").applyInArrow(_grow(similar), GROWN)
+    if some:
+        grown = grown.union(_met(held.filter(large), similar))
     single = distinct.join(leaves.filter("different = 1"), "leaf").select("leaf", "line", F.col("line").alias("template"), F.lit(None).cast("string").alias("pattern"))
     return lines, single.union(grown)
 

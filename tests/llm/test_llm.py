@@ -258,6 +258,27 @@ def test_short_lines_recur_too(spark):
         assert got[i].text == f"{100 + i}\n\n{'Nine of us.' if i < 9 else 'Ten.'}" and got[i].n_dropped == 3
 
 
+def test_large_leaves_have_the_templates_of_small_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = []
+    for family in range(60):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)]
+        for _ in range(5 if family < 40 else 1):
+            own = [rng.choice("ABCDEFGH") if i in rng.sample(range(20), 2) else w for i, w in enumerate(base)]
+            lines.append(" ".join(["one", "two", "three", "four", *own]))
+    at = len(lines)
+    lines += [f"one two three four {'is a line with few words' + ' of the same kind' * 3} {w} in" for w in "mnopqrstuvwxyzABCDEF"]
+    lines += [f"here is one more leaf {a} {b} and no more" for a in "abc" for b in "abcdef"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = []
+    for most in (4000, 30):
+        monkeypatch.setattr(line_dedup, "LEAF_LINES", most)
+        templates = line_dedup.line_templates(docs)[1].collect()
+        found.append({(r.leaf, r.line): (r.template, r.pattern) for r in templates})
+        assert sum(r.n_dropped for r in line_dedup.dedup_lines(docs.filter(f"doc_id >= {at} and doc_id < {at + 20}")).collect()) == 19
+    assert found[0] == found[1] and 40 < len(set(found[0].values())) < 200
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 64))
