@@ -37,15 +37,17 @@ class Encoder:
     The tokenizer drops white space and never joins two runs, so a text's ids are those of its runs in
     order. A word with sentence marks behind it is two runs of different kinds, which are remembered
     apart. Latin words need neither normalisation nor a pattern to be split; many of them are encoded in
-    one call and told apart by the mark that the last id of a word carries.
+    one call and told apart by the mark that the last id of a word carries. With ``special`` the names of
+    special tokens in a text are their ids, as in the library's plain call; else they are ordinary text.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, special: bool = False):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.latin = Tokenizer.from_file(file)
         self.latin.normalizer = normalizers.Sequence([])
         self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -56,6 +58,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _named(self, run: str) -> bool:
+        """Whether lower case could make the name of a special token of this run."""
+        return any(name in run.lower() for name in self.special)
+
     def _learn(self, parts: list[str]) -> None:
         for run, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
             self.parts[run] = np.asarray(e.ids, "<u2").tobytes()
@@ -89,7 +95,7 @@ class Encoder:
         cut, parts = {}, set()
         for run in fresh:
             m = PLAIN.fullmatch(run)
-            cut[run] = ps = ((m[1].lower() if m[1].isascii() else m[1]), m[2]) if m else ((run.lower() if run.isascii() else run),) if run else ()
+            cut[run] = ps = ((m[1].lower() if m[1].isascii() else m[1]), m[2]) if m else ((run.lower() if run.isascii() and not self._named(run) else run),) if run else ()
             parts.update(p for p in ps if p not in self.parts)
         latin = [p for p in parts if p.isalpha() and p == p.lower() and max(p) < LATIN]
         self._learn_latin(latin)
@@ -104,12 +110,12 @@ def padded_length(length: int, window: int = WINDOW) -> int:
     return length if length and length & (length - 1) == 0 else window
 
 
-def tokenised(docs: DataFrame, file: str | None = None, end: int = END) -> DataFrame:
+def tokenised(docs: DataFrame, file: str | None = None, end: int = END, special: bool = False) -> DataFrame:
     """(doc_id, part, start, n, ids): ids as 16-bit little-endian numbers, with the end id; written once."""
     file = file or public_tokenizers.path("word_bpe_49k.json")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = Encoder(file), TaskContext.get().partitionId(), 0
+        encoder, part, start = Encoder(file, special), TaskContext.get().partitionId(), 0
         stop = np.array([end], "<u2").tobytes()
         for batch in batches:
             docs_, texts = batch.column(0), batch.column(1).to_pylist()
@@ -123,15 +129,16 @@ def tokenised(docs: DataFrame, file: str | None = None, end: int = END) -> DataF
     return kept(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(encode, "doc_id long, part int, start long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, file: str | None = None, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, file: str | None = None, end: int = END, special: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of ``window`` ids without gaps; only the last one may be short.
 
     Returns doc_id, start (ids of the document before the piece), length, ids_crc32, doc_tokens,
     sequence_id, offset and padded (length of the sequence with its padding). A null or blank text is
     the end id alone; a null or repeated doc_id is packed like any other row; other columns are ignored;
     an empty table gives no rows. The vocabulary must hold fewer than 65536 ids.
+    ``special`` gives names of special tokens in a text their own ids, as the library does by default.
     """
-    tokens = tokenised(docs, file, end)
+    tokens = tokenised(docs, file, end, special)
     # One number for each partition of the input.
     totals = sorted((r.part, r.n) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before = dict(zip((p for p, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))

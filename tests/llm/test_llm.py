@@ -193,6 +193,18 @@ def test_packing_tiles_all_ids(docs):
     assert packing.padded_length(4096) == 4096 and packing.padded_length(1024) == 1024 and packing.padded_length(1000) == 4096
 
 
+def test_packing_query_reads_special_tokens_as_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["foo <|endoftext|> bar", "Foo<|endoftext|>Bar.", "<|ENDOFTEXT|> a<|StartOfText|>b", "<|startoftext|><|endoftext|>!", "X<|ENDOFTEXT|><|endoftext|>Y", "\u0130<|endoftext|>\u00e9", "<|endo ftext|> plain Words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in enumerate(texts)}
+    for got in (queries.op4_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.ids_crc32 for r in got.collect()} == want
+
+
 def test_quality_held_out(spark):
     got = queries.op5_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.95 and got.score.between(0, 1).all()
