@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, chat, divergence, fingerprints, language_id, line_dedup, near_embeddings, ngram_join, packing, quality, warc
+from cohortloom.llm import bpe, chat, divergence, fingerprints, language_id, line_dedup, mixing, near_embeddings, ngram_join, packing, quality, warc
 from cohortloom.llm.common import kept
 
 ACCEPTED = 0.3
@@ -87,6 +87,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_near_vectors,
         op10_warc,
         op11_source_divergence,
+        op12_mixing,
     )
 }
 
@@ -159,4 +164,28 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.valu
       UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p > q)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM r QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_mixing": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
+      (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+b AS (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM b),
+o AS (SELECT *, sum(source_size) OVER () AS total, row_number() OVER f AS k, coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+      sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w WINDOW f AS (ORDER BY CAST(cap AS DOUBLE) / weight, source)),
+e AS (SELECT k, total - held AS room, open FROM o WHERE cap * open >= (total - held) * weight ORDER BY k LIMIT 1),
+s AS (SELECT source, source_size, CASE WHEN o.k < e.k THEN CAST(cap AS DOUBLE) ELSE CAST(room * weight AS DOUBLE) / CAST(e.open AS DOUBLE) END AS target FROM o, e),
+h AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / CAST(source_size AS DOUBLE)), 3) END AS whole FROM s),
+g0 AS (SELECT *, target - whole * CAST(source_size AS DOUBLE) AS gap FROM h),
+y AS (SELECT d.*, g0.source_size, target, whole, gap, gap / CAST(g0.source_size AS DOUBLE) AS pi FROM d JOIN g0 ON d.source IS NOT DISTINCT FROM g0.source),
+q AS (SELECT *, (u / (1 - u)) / (pi / (1 - pi)) AS q FROM y WHERE size > 0 AND pi > 0),
+r AS (SELECT rid, source, size, key, gap, q / (1 + q) AS t FROM q),
+c1 AS (SELECT rid, source, size FROM r WHERE size <= gap QUALIFY sum(size) OVER (PARTITION BY source ORDER BY t, key, size ROWS UNBOUNDED PRECEDING) <= gap),
+r1 AS (SELECT * REPLACE (gap - coalesce((SELECT CAST(sum(size) AS DOUBLE) FROM c1 WHERE c1.source IS NOT DISTINCT FROM r.source), 0) AS gap) FROM r WHERE rid NOT IN (SELECT rid FROM c1)),
+c2 AS (SELECT rid, source, size FROM r1 WHERE size <= gap QUALIFY sum(size) OVER (PARTITION BY source ORDER BY t, key, size ROWS UNBOUNDED PRECEDING) <= gap),
+r2 AS (SELECT * REPLACE (gap - coalesce((SELECT CAST(sum(size) AS DOUBLE) FROM c2 WHERE c2.source IS NOT DISTINCT FROM r1.source), 0) AS gap) FROM r1 WHERE rid NOT IN (SELECT rid FROM c2)),
+c3 AS (SELECT rid, source, size FROM r2 WHERE size <= gap QUALIFY sum(size) OVER (PARTITION BY source ORDER BY t, key, size ROWS UNBOUNDED PRECEDING) <= gap),
+r3 AS (SELECT * REPLACE (gap - coalesce((SELECT CAST(sum(size) AS DOUBLE) FROM c3 WHERE c3.source IS NOT DISTINCT FROM r2.source), 0) AS gap) FROM r2 WHERE rid NOT IN (SELECT rid FROM c3)),
+c4 AS (SELECT rid FROM r3 WHERE abs(size - gap) < gap QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), size, t, key) = 1),
+c AS (SELECT rid FROM c1 UNION ALL SELECT rid FROM c2 UNION ALL SELECT rid FROM c3 UNION ALL SELECT rid FROM c4),
+n AS (SELECT *, CAST(whole AS BIGINT) + CASE WHEN rid IN (SELECT rid FROM c) THEN 1 ELSE 0 END AS copies FROM y)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM n""",
 }
