@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, chat, divergence, fingerprints, language_id, line_dedup, mixing, near_embeddings, ngram_join, packing, quality, warc
+from cohortloom.llm import bpe, chat, divergence, fingerprints, language_id, line_dedup, mixing, near_embeddings, ngram_join, packing, quality, repair, warc
 from cohortloom.llm.common import kept
 
 ACCEPTED = 0.3
@@ -91,6 +91,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_warc,
         op11_source_divergence,
         op12_mixing,
+        op13_repair,
     )
 }
 
