@@ -32,6 +32,15 @@ def centred(g: np.ndarray):
     return n, mean, s
 
 
+def about(n: np.ndarray, mean: np.ndarray, g: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Augmented cross-products around ``point`` of matrices ``g`` that lie around their own ``mean``."""
+    d = mean - point
+    out = g.copy()
+    out[..., 0, 1:] = out[..., 1:, 0] = n[..., None] * d
+    out[..., 1:, 1:] += n[..., None, None] * d[..., :, None] * d[..., None, :]
+    return out
+
+
 def condition_on(g: np.ndarray, given, rest) -> np.ndarray:
     """Cross-products of the ``rest`` columns after regressing out the ``given`` columns."""
     a = g[np.ix_(given, given)]
@@ -45,27 +54,3 @@ def symmetric_eigen(s: np.ndarray):
     w, v = w[..., ::-1], v[..., ::-1]
     top = np.take_along_axis(v, np.abs(v).argmax(axis=-2, keepdims=True), axis=-2)
     return w, v * np.where(top < 0, -1.0, 1.0)
-
-
-def elastic_net(s: np.ndarray, c: np.ndarray, alpha: float, l1: float, start=None, tol=1e-7, sweeps=10000):
-    """Coordinate descent on ``1/2 w'Sw - c'w + alpha (l1 |w|_1 + (1-l1)/2 |w|^2)``.
-
-    ``s`` and ``c`` are cross-products divided by n.
-    """
-    w = np.zeros(len(c)) if start is None else start.copy()
-    r = c - s @ w
-    d = np.diag(s)
-    thr, ridge = alpha * l1, alpha * (1 - l1)
-    for _ in range(sweeps):
-        move = 0.0
-        for j in np.flatnonzero(d > 0):
-            old = w[j]
-            z = r[j] + d[j] * old
-            new = np.sign(z) * max(abs(z) - thr, 0.0) / (d[j] + ridge)
-            if new != old:
-                r -= s[:, j] * (new - old)
-                w[j] = new
-                move = max(move, abs(new - old))
-        if move <= tol * max(1.0, np.abs(w).max()):
-            break
-    return w

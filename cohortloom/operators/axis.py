@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from cohortloom.functions.scalar import corr
 from cohortloom.functions.small import centred, symmetric_eigen, unpack
 from cohortloom.operators.atlas import rollup
-from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows
+from cohortloom.operators.gram import check_width, key_fields, map_rows, moments_wide
 from cohortloom.operators.stats import _r_to_p, bh
 from cohortloom.operators.temporal import join_stats
 from cohortloom.session import cut
@@ -69,6 +69,7 @@ def eigen_table(grams: DataFrame, keys, k: int, scale: str = "cov") -> DataFrame
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         n, mean, s = centred(unpack(np.vstack(pdf["_gram"].to_numpy())))
+        mean = np.vstack(pdf["_mean"].to_numpy()) if "_mean" in pdf else mean
         w, v = symmetric_eigen(s / (n - 1)[:, None, None])
         total = np.maximum(np.trace(s, axis1=1, axis2=2) / (n - 1), 1e-300)
         top = min(k, w.shape[1])
@@ -89,7 +90,7 @@ def eigen_table(grams: DataFrame, keys, k: int, scale: str = "cov") -> DataFrame
 def pca(df: DataFrame, keys, vec: str, width: int, k: int) -> DataFrame:
     """Centred principal components per key of the rows' array column."""
     check_width(width)
-    return eigen_table(gram_wide(df, keys, vec, width), keys, k)
+    return eigen_table(moments_wide(df, keys, vec, width), keys, k)
 
 
 def pca_scores(df: DataFrame, components: DataFrame, keys, row, vec: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from cohortloom.functions.small import centred, pack, unpack
 from cohortloom.operators.axis import collapse_delays
-from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows, sum_grams, triangle
+from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows, moments_wide, sum_grams, triangle
 from cohortloom.operators.harmonize import combat
 from cohortloom.operators.hierarchy import add_ancestors, regress_frequency
 from cohortloom.operators.stats import two_sample_t
@@ -54,7 +54,8 @@ def _ratio(sim: np.ndarray, metric: str) -> np.ndarray:
 def similarity(df: DataFrame, keys, vec: str, width: int, metric: str) -> DataFrame:
     """Packed feature x feature similarity per key: ``(keys, n, sim)``."""
     check_width(width)
-    g = gram_wide(df, keys, vec, width)
+    # Covariances and correlations are products around the mean; the others need the raw ones.
+    g = (moments_wide if metric in ("cov", "corr") else gram_wide)(df, keys, vec, width)
     schema = StructType([*key_fields(g, keys), StructField("n", LongType()), StructField("sim", ArrayType(DoubleType()))])
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from cohortloom.functions import tails
-from cohortloom.functions.small import condition_on, unpack
-from cohortloom.operators.gram import gram, key_fields, map_rows
+from cohortloom.functions.small import unpack
+from cohortloom.operators.gram import moments
 from cohortloom.operators.stats import bh
 from cohortloom.operators.temporal import join_stats
 
@@ -25,26 +25,32 @@ _FIT = StructType(
 )
 
 
+FLAT = 1e-13
+"""Spread of a response, as a share of its mean, that counts as none."""
+
+
 def contrast_of(which: int):
-    """Batch solver for the coefficient of design column ``which`` (0 is the intercept); y is last."""
+    """Batch solver for the slope of design column ``which`` (from 1) from moments; y is the last column."""
 
     @F.pandas_udf(_FIT)
-    def solve(g: pd.Series) -> pd.DataFrame:
+    def solve(g: pd.Series, mean: pd.Series) -> pd.DataFrame:
         m = unpack(np.vstack(g.to_numpy()))
-        x, xy, yy = m[:, :-1, :-1], m[:, :-1, -1], m[:, -1, -1]
-        inv = np.linalg.pinv(x, hermitian=True)
+        n, x, xy, yy = m[:, 0, 0], m[:, 1:-1, 1:-1], m[:, 1:-1, -1], m[:, -1, -1]
+        # Columns of unit length, so that terms of very different size do not decide the rank.
+        size = np.sqrt(np.einsum("kii->ki", x))
+        size = np.where(size > FLAT * np.abs(np.vstack(mean.to_numpy()))[:, :-1] * np.sqrt(n)[:, None], size, np.inf)
+        unit = x / size[:, :, None] / size[:, None, :]
+        inv = np.linalg.pinv(unit, hermitian=True) / size[:, :, None] / size[:, None, :]
         beta = np.einsum("kij,kj->ki", inv, xy)
-        n = m[:, 0, 0]
-        rank = np.linalg.matrix_rank(x, hermitian=True)
-        dof = n - rank
+        dof = n - 1 - np.linalg.matrix_rank(unit, hermitian=True)
         sse = yy - np.einsum("ki,ki->k", beta, xy)
-        spread = yy - xy[:, 0] ** 2 / n
-        flat = sse <= 1e-12 * np.maximum(yy, 1e-300)
+        none = yy <= n * (FLAT * np.stack(mean.to_numpy())[:, -1]) ** 2
+        flat = none | (sse <= 1e-12 * np.maximum(yy, 1e-300))
         with np.errstate(all="ignore"):
-            se = np.sqrt(np.where(flat, np.nan, sse) / dof * inv[:, which, which])
-            t = beta[:, which] / se
-        t = np.where(spread <= 1e-12 * np.maximum(yy, 1e-300), 0.0, t)
-        return pd.DataFrame({"n": n.astype("int64"), "beta": beta[:, which], "se": se, "t": t, "df": dof.astype(float)})
+            se = np.sqrt(np.where(flat, np.nan, sse) / dof * inv[:, which - 1, which - 1])
+            t = beta[:, which - 1] / se
+        t = np.where(none, 0.0, t)
+        return pd.DataFrame({"n": n.astype("int64"), "beta": beta[:, which - 1], "se": se, "t": t, "df": dof.astype(float)})
 
     return solve
 
@@ -55,7 +61,7 @@ def glm(df: DataFrame, keys, y: str, terms, tail: str = "two") -> DataFrame:
     ``tail='one'`` gives the upper tail of |t|, ``'two'`` twice that. A response without variance
     gets t = 0 and p = 1 and ``tested = false``.
     """
-    g = gram(df, keys, [*terms, y]).withColumn("_f", contrast_of(1)("_gram"))
+    g = moments(df, keys, [*terms, y]).withColumn("_f", contrast_of(1)("_gram", "_mean"))
     out = g.select(*keys, "_f.*")
     p1 = tails.t_tail(F.abs("t"), F.col("df"))
     out = out.withColumn("p", p1 if tail == "one" else 2 * p1)
@@ -77,25 +83,21 @@ def regress_out(df: DataFrame, keys, value: str, confounds, t: str | None = None
     """Residual of ``value`` on z-scored confounds per key, with its mean put back.
 
     With an intercept in the design the z-scoring of confounds changes nothing in the residual, so
-    the coefficients are solved on the raw cross-products. A confound that is all NULL counts as 0.
+    the slopes are solved on the products around the means. A confound that is all NULL counts as 0.
     ``t`` adds a linear trend.
     """
     keys = list(keys)
     d = df.fillna(0.0, list(confounds))
     cols = [*confounds, *([t] if t else [])]
 
-    from pyspark.sql.types import ArrayType
-
     @F.pandas_udf(ArrayType(DoubleType()))
-    def solve(g: pd.Series) -> pd.Series:
+    def slopes(g: pd.Series) -> pd.Series:
         m = unpack(np.vstack(g.to_numpy()))
-        beta = np.einsum("kij,kj->ki", np.linalg.pinv(m[:, :-1, :-1], hermitian=True), m[:, :-1, -1])
-        mean = m[:, 0, -1] / m[:, 0, 0]
-        return pd.Series(list(np.column_stack([beta, mean])))
+        return pd.Series(list(np.einsum("kij,kj->ki", np.linalg.pinv(m[:, 1:-1, 1:-1], hermitian=True), m[:, 1:-1, -1])))
 
-    b = gram(d, keys, [*cols, value]).select(*keys, solve("_gram").alias("_b"))
-    fit = F.element_at("_b", 1)
+    b = moments(d, keys, [*cols, value]).select(*keys, slopes("_gram").alias("_b"), F.col("_mean").alias("_m"))
+    mean = F.element_at("_m", len(cols) + 1)
+    fit = F.lit(0.0) if keep_mean else mean
     for i, c in enumerate(cols):
-        fit = fit + F.element_at("_b", i + 2) * F.col(c)
-    mean = F.element_at("_b", len(cols) + 2) if keep_mean else F.lit(0.0)
-    return join_stats(d, b, keys).withColumn("residual", F.col(value) - fit + mean).drop("_b")
+        fit = fit + F.element_at("_b", i + 1) * (F.col(c) - F.element_at("_m", i + 1))
+    return join_stats(d, b, keys).withColumn("residual", F.col(value) - fit).drop("_b", "_m")

@@ -4,6 +4,10 @@ Row format of every table made here: the keys and ``_gram``, the packed upper tr
 ``sum([1, x] [1, x]')``. It is additive, so folds, complements, pooling and bootstraps are sums and
 differences of ``_gram``, and rows are read once. Its size depends on the number of columns
 only, never on the number of rows.
+
+Sums of raw products lose a small spread around a large mean. ``moments`` keeps (n, mean, products
+around the mean) instead and merges them pairwise; its ``_gram`` lies around the key's own mean, which
+is all that slopes, covariances and components need.
 """
 
 from __future__ import annotations
@@ -151,6 +155,119 @@ def sum_grams(df: DataFrame, keys, name: str = "_gram") -> DataFrame:
     return out.select(*keys, name)
 
 
+def moments_narrow(df: DataFrame, keys, cols) -> DataFrame:
+    """``moments`` of a few columns by the built-in covariances, whose buffers merge around their means."""
+    x = [F.col(c).cast("double") for c in cols]
+    names = [f"_c{i}_{j}" for i in range(len(x)) for j in range(i, len(x))]
+    pairs = [(F.var_pop(x[i]) if i == j else F.covar_pop(x[i], x[j])) for i in range(len(x)) for j in range(i, len(x))]
+    n = F.col("_n")
+    sums = df.dropna(subset=list(cols)).groupBy(*keys).agg(
+        F.count("*").cast("double").alias("_n"), F.array(*map(F.avg, x)).alias("_mean"), *[c.alias(a) for c, a in zip(pairs, names, strict=True)]
+    )
+    sums = sums.filter(n > 0)
+    return sums.select(*keys, "_n", "_mean", F.array(n, *[F.lit(0.0)] * len(x), *[F.col(a) * n for a in names]).alias("_gram"))
+
+
+def pool(n: np.ndarray, mean: np.ndarray, m2: np.ndarray, starts: np.ndarray, cell: tuple[np.ndarray, np.ndarray]):
+    """Merge of every run of (n, mean, products around the mean); ``cell`` holds row and column of the products."""
+    total = np.add.reduceat(n, starts)
+    whole = np.add.reduceat(n[:, None] * (mean - mean[np.repeat(starts, np.diff(np.append(starts, len(n))))]), starts, axis=0)
+    centre = mean[starts] + whole / total[:, None]
+    d = np.sqrt(n)[:, None] * (mean - np.repeat(centre, np.diff(np.append(starts, len(n))), axis=0))
+    return total, centre, np.add.reduceat(m2 + d[:, cell[0]] * d[:, cell[1]], starts, axis=0)
+
+
+def moments_wide(df: DataFrame, keys, vec: str, width: int) -> DataFrame:
+    """``moments`` of an array column: partial moments per task and key, then merged per key and segment."""
+    keys = list(keys)
+    cell = np.triu_indices(width)
+    array = ArrayType(DoubleType())
+    fields = [StructField("_n", DoubleType()), StructField("_mean", array), StructField("_m2", array)]
+    schema = StructType([*[df.schema[k] for k in keys], *fields])
+
+    def partial(batches):
+        held: dict = {}
+
+        def flush():
+            out = pd.DataFrame(list(held), columns=keys) if keys else pd.DataFrame(index=range(1))
+            for i, name in enumerate(("_n", "_mean", "_m2")):
+                out[name] = [v[i] for v in held.values()]
+            held.clear()
+            return out
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if keys:
+                pdf = pdf.sort_values(keys, kind="stable", ignore_index=True)
+            x = np.vstack(pdf[vec].to_numpy()).astype(float)
+            starts = _runs(pdf, keys) if keys else np.array([0])
+            names = pdf[keys].iloc[starts].itertuples(index=False, name=None) if keys else [()]
+            for key, a, b in zip(names, starts, np.append(starts[1:], len(x)), strict=True):
+                mean = x[a:b].mean(axis=0)
+                d = x[a:b] - mean
+                new = (float(b - a), mean, pack(d.T @ d))
+                if key in held:
+                    both = [np.stack([np.asarray(u), np.asarray(v)]) for u, v in zip(held[key], new, strict=True)]
+                    new = tuple(v[0] for v in pool(*both, np.array([0]), cell))
+                held[key] = new
+            if len(held) * len(cell[0]) > FLUSH_FLOATS:
+                yield flush()
+        if held:
+            yield flush()
+
+    return merge_moments(df.filter(F.col(vec).isNotNull()).select(*keys, vec).mapInPandas(partial, schema), keys, width)
+
+
+def merge_moments(parts: DataFrame, keys, width: int) -> DataFrame:
+    """``moments`` per key of parts (``_n``, ``_mean``, ``_m2``); products are cut into segments for several tasks."""
+    keys = list(keys)
+    one = [] if keys else [F.lit(0).alias("_one")]
+    by = keys or ["_one"]
+    order = [*by, "_seg"]
+    count = F.ceil(F.size("_m2") / SEGMENT).cast("int")
+    cut_up = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("_m2", i * SEGMENT + 1, F.lit(SEGMENT)))
+    seg = parts.select(*keys, *one, "_n", "_mean", F.posexplode(cut_up).alias("_seg", "_v"))
+    rows, cols = np.triu_indices(width)
+
+    def add(batches):
+        last = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+            starts = _runs(pdf, order)
+            out = []
+            for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+                at = int(pdf["_seg"].iloc[a]) * SEGMENT
+                cell = (rows[at : at + SEGMENT], cols[at : at + SEGMENT])
+                run = pdf.iloc[a:b]
+                out.append([v[0] for v in pool(run["_n"].to_numpy(), np.vstack(run["_mean"]), np.vstack(run["_v"]), np.array([0]), cell)])
+            made = pdf[order].iloc[starts].reset_index(drop=True)
+            for i, name in enumerate(("_n", "_mean", "_v")):
+                made[name] = [v[i] for v in out]
+            last = made.iloc[-1:].reset_index(drop=True)
+            if len(made) > 1:
+                yield made.iloc[:-1]
+        if last is not None:
+            yield last
+
+    merged = seg.repartition(*order).sortWithinPartitions(*order).mapInPandas(add, seg.select(*order, "_n", "_mean", "_v").schema)
+    packed = F.array_sort(F.collect_list(F.struct("_seg", "_v")))
+    whole = merged.groupBy(*by).agg(F.min_by("_n", "_seg").alias("_n"), F.min_by("_mean", "_seg").alias("_mean"), F.flatten(F.transform(packed, lambda s: s["_v"])).alias("_m2"))
+    head = F.concat(F.array("_n"), F.array_repeat(F.lit(0.0), width))
+    return whole.select(*keys, "_n", "_mean", F.concat(head, "_m2").alias("_gram"))
+
+
+def moments(df: DataFrame, keys, cols) -> DataFrame:
+    """``(keys, _n, _mean, _gram)``: augmented cross-products around the key's own mean, of complete rows."""
+    cols = list(cols)
+    if len(cols) <= NARROW:
+        return moments_narrow(df, keys, cols)
+    vec = F.array(*[F.col(c).cast("double") for c in cols])
+    return moments_wide(df.dropna(subset=cols).select(*keys, vec.alias("_x")), keys, "_x", len(cols))
+
+
 def complement(grams: DataFrame, keys, part: str) -> DataFrame:
     """Total minus part: the training sums of every held-out part."""
     from cohortloom.operators.temporal import join_stats

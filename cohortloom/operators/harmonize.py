@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from cohortloom.functions.small import unpack
-from cohortloom.operators.gram import gram, key_fields
+from cohortloom.functions.small import about, unpack
+from cohortloom.operators.gram import key_fields, moments
 
 
 def _eb(gamma_hat, delta_hat, n, ss, sx, tol=1e-4, rounds=1000):
@@ -39,17 +39,21 @@ def site_coefficients(df: DataFrame, feature: str, parcel: str, batch: str, valu
     """Per (feature, parcel, batch): ``coef`` = (slope, intercept, one slope per covariate), such
     that the harmonised value is ``slope * y + intercept + sum(coef * covariate)``."""
     q = len(covariates)
-    g = gram(df, [feature, parcel, batch], [*covariates, value])
+    g = moments(df, [feature, parcel, batch], [*covariates, value])
     schema = StructType([*key_fields(g, [feature, parcel, batch]), StructField("coef", ArrayType(DoubleType()))])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         # One feature: parcels x batches of cross-products, however many subjects there are.
         pdf = pdf.sort_values([parcel, batch]).reset_index(drop=True)
-        m = unpack(np.vstack(pdf["_gram"].to_numpy()))
+        m, mean = unpack(np.vstack(pdf["_gram"].to_numpy())), np.vstack(pdf["_mean"].to_numpy())
         batches = pdf[batch].unique()
         code = pdf[batch].map({b: i for i, b in enumerate(batches)}).to_numpy()
         parcels, inv = np.unique(pdf[parcel].to_numpy(), return_inverse=True)
         k, p = len(batches), len(parcels)
+        # Sums around one point of the parcel, which is put back into the intercept.
+        size = m[:, 0, 0]
+        point = np.column_stack([np.bincount(inv, size * c) for c in mean.T]) / np.bincount(inv, size)[:, None]
+        m = about(size, mean, m, point[inv])
         nb, ny, yy = (np.zeros((p, k)) for _ in range(3))
         xb, xyb, xxb = np.zeros((p, k, q)), np.zeros((p, k, q)), np.zeros((p, k, q, q))
         nb[inv, code], ny[inv, code], yy[inv, code] = m[:, 0, 0], m[:, 0, -1], m[:, -1, -1]
@@ -83,7 +87,7 @@ def site_coefficients(df: DataFrame, feature: str, parcel: str, batch: str, valu
             slope[:, b] = 1 / np.sqrt(ds)
             shift[:, b] = gs / np.sqrt(ds)
         s, h = slope[inv, code], shift[inv, code]
-        base = grand[inv] * (1 - s) - h * sd[inv]
+        base = (grand + point[:, -1] - (cov * point[:, :-1]).sum(axis=1))[inv] * (1 - s) - h * sd[inv]
         out = pdf[[feature, parcel, batch]].copy()
         out["coef"] = list(np.column_stack([s, base, cov[inv] * (1 - s)[:, None]]))
         return out

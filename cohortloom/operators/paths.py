@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 
 from cohortloom.functions import tails
 from cohortloom.functions.small import centred, condition_on, unpack
-from cohortloom.operators.gram import gram, key_fields, map_rows
+from cohortloom.operators.gram import key_fields, map_rows, moments
 from cohortloom.operators.temporal import join_stats
 
 
@@ -50,8 +50,8 @@ VARIABLES = ("sal", "cen", "dmn", "cog", "srs")
 
 
 def covariance(df: DataFrame, keys, cols) -> DataFrame:
-    """Cross-products per key of complete rows; the input of every fit."""
-    return gram(df.dropna(subset=list(cols)), keys, cols)
+    """Cross-products around the mean, per key, of complete rows; the input of every fit."""
+    return moments(df.dropna(subset=list(cols)), keys, cols)
 
 
 def _equations(s: np.ndarray, st: Structure, cols) -> list:

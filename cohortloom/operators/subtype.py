@@ -10,8 +10,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from cohortloom.functions import tails
 from cohortloom.functions.scalar import intercept, slope
-from cohortloom.functions.small import unpack
-from cohortloom.operators.gram import gram, key_fields, map_rows
+from cohortloom.functions.small import about, unpack
+from cohortloom.operators.gram import key_fields, map_rows, moments
 from cohortloom.operators.normative import interp_join
 from cohortloom.operators.stats import anova, bh, chi_square, fisher_exact, group_moments, two_sample_t
 
@@ -62,9 +62,9 @@ def item_tests(df: DataFrame, cluster: str, domains: dict, small_family: bool =
 
 def manova(df: DataFrame, keys, cluster: str, items) -> DataFrame:
     """Wilks' lambda of the items between clusters with its F approximation (Rao)."""
-    g = gram(df.dropna(subset=list(items)), [*keys, cluster], items)
+    g = moments(df.dropna(subset=list(items)), [*keys, cluster], items)
     keys = list(keys)
-    rows = g.groupBy(*keys).agg(F.collect_list("_gram").alias("gs"))  # one matrix per cluster
+    rows = g.groupBy(*keys).agg(F.collect_list("_gram").alias("gs"), F.collect_list("_mean").alias("ms"))  # one matrix per cluster
     cols = ("wilks", "f", "df1", "df2")
     schema = StructType([*key_fields(g, keys), StructField("n", LongType()), *[StructField(c, DoubleType()) for c in cols]])
     p = len(items)
@@ -72,8 +72,9 @@ def manova(df: DataFrame, keys, cluster: str, items) -> DataFrame:
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[keys].reset_index(drop=True)
         rec = []
-        for gs in pdf["gs"]:
-            m = unpack(np.vstack(list(gs)))
+        for gs, ms in zip(pdf["gs"], pdf["ms"], strict=True):
+            m, mean = unpack(np.vstack(list(gs))), np.vstack(list(ms))
+            m = about(m[:, 0, 0], mean, m, mean[0])
             inside = lambda q: q[1:, 1:] - np.outer(q[0, 1:], q[0, 1:]) / q[0, 0]
             within, total = sum(inside(q) for q in m), inside(m.sum(0))
             n, k = m[:, 0, 0].sum(), len(m)
