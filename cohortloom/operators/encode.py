@@ -7,6 +7,8 @@ trains and once per bootstrap that holds it out, and never travels to a solver i
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import math
 
 import numpy as np
@@ -17,12 +19,12 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from cohortloom.functions import tails
 from cohortloom.functions.scalar import corr, corr_or_zero, safe_divide, spearman_brown
-from cohortloom.functions.small import unpack
+from cohortloom.functions.small import pack, unpack
 from cohortloom.operators.axis import dense
-from cohortloom.operators.gram import check_width, gram_wide, key_fields, map_rows
+from cohortloom.operators.gram import check_width, gram_shared, gram_wide, key_fields, map_rows
 from cohortloom.operators.ordering import argmax_by
 from cohortloom.operators.stats import bh, bonferroni
-from cohortloom.operators.temporal import ab_split, assign_folds, block_holdout, chunk_starts, join_stats, zscore
+from cohortloom.operators.temporal import ab_split, assign_folds, chunk_starts, join_stats, zscore
 
 # Penalty grid, bootstrap layout and block lengths of the published analysis.
 ALPHAS = tuple(np.logspace(1, 4, 20))
@@ -30,6 +32,14 @@ BOOT_BLOCK = 10
 BOOT_FRACTION = 4
 N_BOOT = 30
 SPLIT_BLOCK = 25
+# The cells (bias, verb weight) of the published configuration grid.
+CONFIGURATIONS = (
+    (0.1, 0.5), (0.1, 0.55), (0.1, 0.1), (0.1, 1.0),
+    (0.3, 0.5), (0.3, 0.65), (0.3, 0.3), (0.3, 1.0),
+    (0.5, 0.5), (0.5, 0.75), (0.5, 1.0),
+    (0.7, 0.5), (0.7, 0.85), (0.7, 0.7), (0.7, 1.0),
+    (0.9, 0.5), (0.9, 0.95), (0.9, 0.9), (0.9, 1.0),
+)
 EIGEN_CUT = 1e-10**2
 STACK = 2_000_000  # matrix cells solved in one stack
 SPAN = 1024  # time points of a subject that stay in one task
@@ -54,44 +64,83 @@ def design(regressors: DataFrame, signal: DataFrame, subject: str, t: str, featu
     return g.filter(F.col("_top") >= nf * nd).select(subject, t, dense("_e", nf * nd + npar).alias("row"))
 
 
-def train_position(t: str, fold, n_points: int, n_chunks: int) -> Column:
-    """Position of a training point when the points of ``fold`` are left out."""
-    side = math.isqrt(n_chunks)
-    starts = [*chunk_starts(n_points, n_chunks), n_points]
-    skipped = F.lit(0)
-    for c in range(n_chunks):
-        before = F.greatest(F.least(F.col(t) - starts[c], F.lit(starts[c + 1] - starts[c])), F.lit(0))
-        skipped = skipped + F.when(F.col(fold) == c % side, before).otherwise(0)
-    return F.col(t) - skipped
+def configured(bias: float, verb: float, nouns: int, verbs: int, delays: int, targets: int) -> np.ndarray:
+    """Linear map from ``[1, (scaled nouns, nouns, verbs) of each delay, targets]`` to the row of one configuration:
+    ``(1 - bias) scaled + bias noun`` and ``verb * verb value``."""
+    noun = np.hstack([(1 - bias) * np.eye(nouns), bias * np.eye(nouns), np.zeros((nouns, verbs))])
+    one = np.vstack([noun, np.hstack([np.zeros((verbs, 2 * nouns)), verb * np.eye(verbs)])])
+    out = np.zeros((1 + delays * (nouns + verbs) + targets, 1 + delays * (2 * nouns + verbs) + targets))
+    out[0, 0] = 1
+    out[1 : out.shape[0] - targets, 1 : out.shape[1] - targets] = np.kron(np.eye(delays), one)
+    out[out.shape[0] - targets :, out.shape[1] - targets :] = np.eye(targets)
+    return out
 
 
-def holdout_table(spark: SparkSession, n_points: int, n_chunks: int, length: int, frac: int, n_boot: int, seed: int) -> DataFrame:
-    """Bootstraps that hold out each training block: ``(test_fold, block, boots)``."""
-    side = math.isqrt(n_chunks)
-    starts = [*chunk_starts(n_points, n_chunks), n_points]
-    whole = [
-        (n_points - sum(starts[c + 1] - starts[c] for c in range(f, n_chunks, side))) // length for f in range(side)
-    ]
-    sizes = F.array(*[F.lit(w) for w in whole])
-    blocks = spark.range(side).select(F.col("id").cast("int").alias("test_fold")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.element_at(sizes, F.col("test_fold") + 1) - 1))
+def config_grams(grams: DataFrame, keys, nouns: int, verbs: int, delays: int, targets: int, configs=CONFIGURATIONS) -> DataFrame:
+    """``(keys, config_id, bias, verb_weight, _gram)``: the sums of every configuration from the sums of the parts that
+    they are made of. Features are linear in bias and verb weight, so the rows are read once for all configurations."""
+    keys = list(keys)
+    maps = [configured(b, v, nouns, verbs, delays, targets) for b, v in configs]
+    schema = StructType(
+        [
+            *key_fields(grams, keys),
+            StructField("config_id", IntegerType()),
+            StructField("bias", DoubleType()),
+            StructField("verb_weight", DoubleType()),
+            StructField("_gram", ArrayType(DoubleType())),
+        ]
     )
-    held = block_holdout(blocks, ["test_fold"], "block", n_boot, frac, seed, small=True)
-    return held.groupBy("test_fold", "block").agg(F.array_sort(F.collect_list("boot")).alias("boots"))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = unpack(np.vstack(pdf["_gram"].to_numpy()))
+        parts = []
+        for i, ((bias, verb), m) in enumerate(zip(configs, maps, strict=True)):
+            out = pdf[keys].reset_index(drop=True)
+            out["config_id"], out["bias"], out["verb_weight"] = np.int32(i), float(bias), float(verb)
+            out["_gram"] = list(pack(m @ g @ m.T))
+            parts.append(out)
+        return pd.concat(parts)
+
+    return map_rows(grams, keys, step, schema)
+
+
+def time_layout(n_points: int, n_chunks: int, length: int = BOOT_BLOCK, frac: int = BOOT_FRACTION, n_boot: int = N_BOOT, seed: int = 42) -> list[tuple[int, int, list[int]]]:
+    """(t, fold, codes) of every point of the time grid: the training sets of the other folds that it belongs to, as
+    ``test_fold * (n_boot + 1)``, and the bootstraps that hold it out there, counted up from that.
+
+    A bootstrap holds out the whole blocks of training points of lowest hash, as ``block_holdout`` draws them. This is
+    the layout of an experiment, fixed by its arguments; it does not depend on any data.
+    """
+    side = math.isqrt(n_chunks)
+    starts = chunk_starts(n_points, n_chunks)
+    folds = [(bisect.bisect_right(starts, t) - 1) % side for t in range(n_points)]
+    codes: list[list[int]] = [[] for _ in folds]
+    for fold in range(side):
+        train = [t for t in range(n_points) if folds[t] != fold]
+        blocks = len(train) // length
+        held: list[list[int]] = [[] for _ in range(blocks)]
+        for boot in range(n_boot):
+            draw = lambda k: ((int(hashlib.md5(f"{k}:{boot}:{seed}".encode()).hexdigest()[:15], 16) >> 24) * 1000003 + k)  # noqa: B023
+            for k in sorted(range(blocks), key=draw)[: blocks // frac]:
+                held[k].append(boot)
+        for i, t in enumerate(train):
+            boots = held[i // length] if i // length < blocks else []
+            codes[t] += [fold * (n_boot + 1) + 1 + b for b in (-1, *boots)]
+    return list(zip(range(n_points), folds, codes, strict=True))
+
+
+def hold_codes(spark: SparkSession, t: str, n_points: int, n_chunks: int, length: int = BOOT_BLOCK, frac: int = BOOT_FRACTION, n_boot: int = N_BOOT, seed: int = 42) -> DataFrame:
+    """``time_layout`` as a table: ``(t, fold, codes)``, one row for each point of the time grid."""
+    return spark.createDataFrame(time_layout(n_points, n_chunks, length, frac, n_boot, seed), f"{t} int, fold int, codes array<int>")
 
 
 def boot_grams(rows: DataFrame, subject: str, t: str, width: int, n_points: int, n_chunks: int, length: int = BOOT_BLOCK, frac: int = BOOT_FRACTION, n_boot: int = N_BOOT, seed: int = 42) -> DataFrame:
     """``(subject, test_fold, boot, g)``: sums over the rows each bootstrap holds out; boot -1 is the
-    whole training set."""
-    side = math.isqrt(n_chunks)
-    r = assign_folds(rows, t, n_points, n_chunks)
-    r = r.withColumn("test_fold", F.explode(F.array_except(F.array(*[F.lit(i) for i in range(side)]), F.array("fold"))))
-    r = r.withColumn("block", F.floor(train_position(t, "test_fold", n_points, n_chunks) / length).cast("int"))
-    held = holdout_table(rows.sparkSession, n_points, n_chunks, length, frac, n_boot, seed)
-    r = r.join(held, ["test_fold", "block"], "left")
-    boots = F.concat(F.array(F.lit(-1)), F.coalesce("boots", F.array().cast("array<int>")))
-    r = r.select(subject, "test_fold", F.explode(boots).alias("boot"), "row")
-    return gram_wide(r, [subject, "test_fold", "boot"], "row", width)
+    whole training set. A row is sent once and added to all sums that it belongs to."""
+    codes = hold_codes(rows.sparkSession, t, n_points, n_chunks, length, frac, n_boot, seed)
+    grams = gram_shared(rows.join(F.broadcast(codes), t), [subject], "codes", "row", width)
+    each = n_boot + 1
+    return grams.select(subject, F.floor(F.col("code") / each).cast("int").alias("test_fold"), (F.col("code") % each - 1).alias("boot"), "_gram")
 
 
 def _standard(g: np.ndarray) -> np.ndarray:
@@ -292,14 +341,30 @@ def fold_average(df: DataFrame, keys, value: str, fold: str = "fold", zscore_ove
 
 
 def predict(rows: DataFrame, fit: DataFrame, subject: str, t: str, nx: int, n_targets: int, n_points: int, n_chunks: int) -> DataFrame:
-    """Predictions of every row from the fit that held its fold out: ``(subject, t, target, y, y_hat)``."""
-    r = assign_folds(rows, t, n_points, n_chunks).join(fit.select(subject, "fold", "map"), [subject, "fold"])
-    raw = F.concat(F.array(F.lit(1.0)), F.col("row"))
-    step = nx + n_targets + 1
-    r = r.select(subject, t, "fold", "row", "map", F.explode(F.sequence(F.lit(0), F.lit(n_targets - 1))).alias("target"))
-    coef = F.slice("map", F.col("target") * step + 1, F.lit(step))
-    hat = F.aggregate(F.zip_with(raw, coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return r.select(subject, t, "fold", "target", F.element_at("row", F.col("target") + nx + 1).alias("y"), hat.alias("y_hat"))
+    """Predictions of every row from the fit that held its fold out: ``(subject, t, fold, target, y, y_hat)``.
+
+    A subject's rows of a span meet its fits once; one product of matrices predicts all their targets.
+    """
+    r = assign_folds(rows, t, n_points, n_chunks).select(subject, t, "fold", "row", F.floor(F.col(t) / SPAN).cast("int").alias("_span"))
+    spans = r.select(F.col(subject).alias("_s"), F.col("_span").alias("_part")).distinct()
+    maps = fit.select(F.col(subject).alias("_s"), F.col("fold").alias("_fold"), "map").join(spans, "_s")
+    out = StructType([*key_fields(r, [subject, t, "fold"]), StructField("_y", ArrayType(DoubleType())), StructField("_hat", ArrayType(DoubleType()))])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame(columns=[f.name for f in out])]
+        for fold, m in zip(right["_fold"], right["map"], strict=True):
+            part = left[left["fold"] == fold]
+            if len(part):
+                x = np.vstack(part["row"].to_numpy())
+                m = np.asarray(m).reshape(n_targets, -1)
+                made = part[[subject, t, "fold"]].copy()
+                made["_y"], made["_hat"] = list(x[:, nx:]), list(m[:, 0] + x @ m[:, 1:].T)
+                parts.append(made)
+        return pd.concat(parts[1:] or parts)
+
+    met = r.groupBy(subject, "_span").cogroup(maps.groupBy("_s", "_part")).applyInPandas(run, out)
+    long = met.select(subject, t, "fold", F.posexplode(F.arrays_zip("_y", "_hat")).alias("target", "_v"))
+    return long.select(subject, t, "fold", "target", F.col("_v._y").alias("y"), F.col("_v._hat").alias("y_hat"))
 
 
 def prediction_scores(pred: DataFrame, keys) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from cohortloom.functions.small import pack
 from cohortloom.session import parallelism
@@ -101,6 +101,50 @@ def gram_wide(df: DataFrame, keys, vec: str, width: int) -> DataFrame:
     return sum_grams(parts, keys)
 
 
+def gram_shared(df: DataFrame, keys, codes: str, vec: str, width: int) -> DataFrame:
+    """``(keys, code, _gram)`` of rows that count under several codes each (``codes``, an array of numbers).
+
+    A row travels once, whatever the number of its codes. Keys are few in a batch where rows are clustered by them.
+    """
+    keys = list(keys)
+    schema = StructType([*[df.schema[k] for k in keys], StructField("code", IntegerType()), StructField("_gram", ArrayType(DoubleType()))])
+
+    def partial(batches):
+        held: dict = {}
+
+        def flush():
+            out = pd.DataFrame(list(held), columns=[*keys, "code"])
+            out["_gram"] = list(held.values())
+            held.clear()
+            return out
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.sort_values(keys, kind="stable", ignore_index=True) if keys else pdf
+            x = np.ones((len(pdf), width + 1))
+            x[:, 1:] = np.vstack(pdf[vec].to_numpy())
+            starts = _runs(pdf, keys) if keys else np.array([0])
+            names = pdf[keys].iloc[starts].itertuples(index=False, name=None) if keys else [()]
+            lists = pdf[codes].to_numpy()
+            for key, a, b in zip(names, starts, np.append(starts[1:], len(pdf)), strict=True):
+                code = np.concatenate(lists[a:b]).astype(int)
+                row = np.repeat(np.arange(a, b), [len(c) for c in lists[a:b]])
+                order = np.argsort(code, kind="stable")
+                found, at = np.unique(code[order], return_index=True)
+                for c, rows in zip(found.tolist(), np.split(row[order], at[1:]), strict=True):
+                    g = pack(x[rows].T @ x[rows])
+                    name = (*key, c)
+                    held[name] = held[name] + g if name in held else g
+            if len(held) * (width + 1) * (width + 2) // 2 > FLUSH_FLOATS:
+                yield flush()
+        if held:
+            yield flush()
+
+    parts = df.filter(F.col(vec).isNotNull() & (F.size(codes) > 0)).select(*keys, codes, vec).mapInPandas(partial, schema)
+    return sum_grams(parts, [*keys, "code"])
+
+
 def gram(df: DataFrame, keys, cols) -> DataFrame:
     cols = list(cols)
     if len(cols) <= NARROW:

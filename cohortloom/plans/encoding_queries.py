@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import corr
+from cohortloom.operators import blocks as BL
 from cohortloom.operators import encode as E
 from cohortloom.operators import nulls as N
 from cohortloom.operators import srm as SR
-from cohortloom.operators.temporal import assign_folds, chunk_starts
+from cohortloom.operators.gram import cells, gram_wide
+from cohortloom.operators.ordering import argmax_by
+from cohortloom.operators.temporal import assign_folds, chunk_starts, minmax_bias
 from cohortloom.plans.catalog import R, emb_long, key_hash_sql, query, rounded, t_tail_sql, table
 from cohortloom.session import cut
 
@@ -23,7 +26,7 @@ BOOT = dict(length=4, frac=4, n_boot=8, seed=42)
 
 
 def monthly(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber")
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linenumber")
     return li.withColumn("t", (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).withColumnRenamed("l_suppkey", "subject")
 
 
@@ -54,7 +57,7 @@ _LAGS = ", ".join(f"coalesce(lag({f}, {d}) OVER w, 0) AS {f}{d}" for d in DELAYS
 
 @query(
     "encoding_design",
-    "W1 E10 S3",
+    "W1 S3",
     f"WITH {_GRID}, x AS (SELECT *, {_LAGS} FROM rx WINDOW w AS (PARTITION BY subject ORDER BY t)) SELECT subject, t, {R(' + '.join(f'{f}{d} * {i + 1}' for i, (d, f) in enumerate((d, f) for d in DELAYS for f in FEATURES)))} AS features, "
     f"{R(' + '.join(f'y{p} * {i + 1}' for i, p in enumerate(PARCELS)), 6)} AS signals FROM x",
 )
@@ -246,3 +249,143 @@ def chunk_sizes(spark, sf):
     return assign_folds(pts, "t", MONTHS, CHUNKS).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
+NOUNS, VERBS = ["noun_A", "noun_R"], ["verb"]
+GRID_NX = len(DELAYS) * (len(NOUNS) + len(VERBS))
+
+
+def parts_of_grid(spark, sf):
+    """Rows of scaled nouns, nouns and verbs at every delay, then the signals: what every configuration is made of."""
+    m = monthly(spark, sf)
+    label = F.when(F.col("l_returnflag") == "N", "verb").otherwise(F.concat(F.lit("noun_"), "l_returnflag"))
+    grid = m.select("subject").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1))))
+    dense = grid.select("subject", F.explode(F.array(*[F.lit(f) for f in [*NOUNS, *VERBS]])).alias("label"), "t", F.lit(0.0).alias("x"), F.lit(0.0).alias("mask"))
+    seen = m.select("subject", label.alias("label"), "t", F.col("l_quantity").alias("x"), F.col("l_discount").alias("mask"))
+    both = seen.unionByName(dense).groupBy("subject", "label", "t").agg(F.sum("x").alias("x"), F.sum("mask").alias("mask"))
+    scaled = minmax_bias(both.filter(F.col("label").isin(*NOUNS)), ["subject", "t"], "mask", 0.0)
+    reg = scaled.select("subject", F.concat(F.lit("scaled_"), "label").alias("feature"), "t", F.col("scaled").alias("x"))
+    reg = reg.unionByName(both.select("subject", F.col("label").alias("feature"), "t", "x"))
+    names = [*[f"scaled_{n}" for n in NOUNS], *NOUNS, *VERBS]
+    return E.design(reg, series(spark, sf)[1], "subject", "t", names, DELAYS, PARCELS), len(DELAYS) * len(names) + len(PARCELS)
+
+
+_CHUNK = " + ".join(f"(CASE WHEN t >= {s} THEN 1 ELSE 0 END)" for s in chunk_starts(MONTHS, CHUNKS)[1:])
+_CONFIGS = ", ".join(f"({i}, {b}, {v})" for i, (b, v) in enumerate(E.CONFIGURATIONS))
+_UNIT = "CASE WHEN greatest(mA, mR) > least(mA, mR) THEN ({} - least(mA, mR)) / (greatest(mA, mR) - least(mA, mR)) ELSE 0 END"
+
+
+@query(
+    "encoding_grid",
+    "E10 A17 L5 W6",
+    f"WITH {_GRID}, mk AS (SELECT g.subject, g.t, coalesce(sum(l_discount) FILTER (l_returnflag = 'A'), 0) AS mA, coalesce(sum(l_discount) FILTER (l_returnflag = 'R'), 0) AS mR FROM g LEFT JOIN "
+    "(SELECT l_suppkey AS subject, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t, l_returnflag, l_discount FROM lineitem) d ON d.subject = g.subject AND d.t = g.t GROUP BY 1, 2), "
+    f"c(config_id, bias, verb) AS (VALUES {_CONFIGS}), "
+    f"v AS (SELECT config_id, bias, verb, rx.*, (1 - bias) * {_UNIT.format('mA')} + bias * A AS fa, (1 - bias) * {_UNIT.format('mR')} + bias * R AS fr, verb * N AS fn FROM rx JOIN mk USING (subject, t), c), "
+    "l AS (SELECT *, " + ", ".join(f"coalesce(lag({f}, {d}) OVER w, 0) AS {f}{d}" for d in DELAYS for f in ("fa", "fr", "fn")) + f", ({_CHUNK}) % 3 AS fold FROM v WINDOW w AS (PARTITION BY config_id, subject ORDER BY t)), "
+    "z AS (SELECT config_id, bias, verb, fold, [1.0::DOUBLE, " + ", ".join(f"{f}{d}" for d in DELAYS for f in ("fa", "fr", "fn")) + ", " + ", ".join(f"y{p}" for p in PARCELS) + "]::DOUBLE[] AS z FROM l), "
+    f"ij AS (SELECT i, j FROM range(0, {GRID_NX + len(PARCELS) + 1}) a(i), range(0, {GRID_NX + len(PARCELS) + 1}) b(j) WHERE i <= j) "
+    f"SELECT CAST(config_id AS INTEGER) AS config_id, CAST(bias AS DOUBLE) AS bias, CAST(verb AS DOUBLE) AS verb_weight, CAST(fold AS INTEGER) AS fold, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('sum(z[i + 1] * z[j + 1]) / sqrt(sum(z[i + 1] * z[i + 1]) * sum(z[j + 1] * z[j + 1]))', 6)} AS value FROM z, ij GROUP BY ALL",
+)
+def encoding_grid(spark, sf):
+    """Cosines of the columns of all 19 configurations by fold, from one scan of the rows."""
+    d, width = parts_of_grid(spark, sf)
+    sums = gram_wide(assign_folds(d, "t", MONTHS, CHUNKS).select("fold", "row"), ["fold"], "row", width)
+    made = E.config_grams(sums, ["fold"], len(NOUNS), len(VERBS), len(DELAYS), len(PARCELS))
+    keys = ["config_id", "bias", "verb_weight", "fold"]
+    long = cells(made, keys, GRID_NX + len(PARCELS))
+    size = long.filter("i = j").select(*keys, F.col("i").alias("k"), F.sqrt("value").alias("size"))
+    for side in ("i", "j"):
+        named = size.withColumnRenamed("k", side).withColumnRenamed("size", f"size_{side}")
+        long = long.join(named, [*keys, side])
+    return rounded(long.select(*keys, "i", "j", (F.col("value") / (F.col("size_i") * F.col("size_j"))).alias("value")), 6)
+
+
+@query("encoding_grid_scores", "E10 E4 O4")
+def encoding_grid_scores(spark, sf):
+    """Mean held-out correlation of every configuration over subjects, folds and targets, and the first best one."""
+    d, width = parts_of_grid(spark, sf)
+    sums = E.fold_grams(d, "subject", "t", width, MONTHS, CHUNKS, length=7)
+    made = E.config_grams(sums, ["subject", "fold", "half"], len(NOUNS), len(VERBS), len(DELAYS), len(PARCELS))
+    made = made.withColumn("unit", F.concat_ws("/", "config_id", "subject"))
+    fit = E.ridge_fit(made.select("unit", "fold", "half", "_gram"), spark.range(1).select(F.lit(100.0).alias("alpha")), "unit", GRID_NX)
+    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")
+    scores = fit.groupBy(F.substring_index("unit", "/", 1).cast("int").alias("config_id")).agg(F.count("*").alias("n"), F.avg(mean).alias("score"))
+    best = argmax_by(scores, [], "score", "config_id", "config_id").select(F.col("config_id").alias("best"))
+    return rounded(scores.crossJoin(F.broadcast(best)).select("config_id", "n", "score", (F.col("config_id") == F.col("best")).alias("selected")), 5)
+
+
+BLOCKS = 4
+WIDE_ALPHA = 100.0
+
+
+def wide(spark, sf):
+    """All parts as targets: (features, signal, targets in blocks, number of blocks). The feature is the total quantity
+    of a return flag two months before."""
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("subject"), "l_shipdate", "l_quantity", "l_extendedprice", "l_partkey")
+    li = li.withColumn("t", (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1)
+    grid = li.select("subject").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1))))
+    reg = li.select("subject", "t", F.col("l_quantity").alias("x")).unionByName(grid.withColumn("x", F.lit(0.0))).groupBy("subject", "t").agg(F.sum("x").alias("x"))
+    x = BL.feature_rows(reg.withColumn("feature", F.lit("q")), "subject", "t", ["q"], [2])
+    signal = li.groupBy("subject", "l_partkey", "t").agg((F.sum("l_extendedprice") / 1000).alias("y"))
+    n_blocks = max(BLOCKS, BL.block_count(signal, "l_partkey", MONTHS))
+    return x, signal, BL.place_targets(signal, "l_partkey", n_blocks), n_blocks
+
+
+_WIDE = (
+    "m AS (SELECT l_returnflag AS subject, l_partkey, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t, l_quantity, l_extendedprice / 1000 AS y FROM lineitem), "
+    f"p AS (SELECT t, ({_CHUNK}) % 3 AS fold FROM (SELECT CAST(unnest(range(0, {MONTHS})) AS INTEGER) AS t)), "
+    "q AS (SELECT subject, t, sum(l_quantity) AS q FROM m GROUP BY 1, 2), "
+    "x AS (SELECT s.subject, p.t, p.fold, coalesce(q.q, 0) AS x FROM (SELECT DISTINCT subject FROM m) s CROSS JOIN p LEFT JOIN q ON q.subject = s.subject AND q.t = p.t - 2), "
+    "y AS (SELECT subject, l_partkey, t, sum(y) AS y FROM m GROUP BY 1, 2, 3), "
+    "v AS (SELECT y.*, x.x, x.fold FROM y JOIN x USING (subject, t)), "
+    "f AS (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS f), k AS (SELECT s.subject, d.l_partkey FROM (SELECT DISTINCT subject FROM m) s CROSS JOIN (SELECT DISTINCT l_partkey FROM m) d), "
+    "tx AS (SELECT subject, f, count(*) AS n, avg(x) AS mx, var_pop(x) AS vx FROM x, f WHERE fold <> f GROUP BY 1, 2), "
+    "ty AS (SELECT subject, l_partkey, f, sum(y) AS sy, sum(y * y) AS syy, sum(x * y) AS sxy FROM v, f WHERE fold <> f GROUP BY 1, 2, 3)"
+)
+
+
+@query(
+    "encoding_blocks",
+    "E4 E5 E6 A17",
+    f"WITH {_WIDE}, hx AS (SELECT subject, fold AS f, count(*) AS n, avg(x) AS mx, var_pop(x) AS vx FROM x GROUP BY 1, 2), "
+    "hy AS (SELECT subject, l_partkey, fold AS f, sum(y) AS sy, sum(y * y) AS syy, sum(x * y) AS sxy FROM v GROUP BY 1, 2, 3), "
+    "a AS (SELECT k.subject, k.l_partkey, f.f, tx.n, coalesce(ty.sxy, 0) / tx.n - mx * coalesce(ty.sy, 0) / tx.n AS c, vx, coalesce(ty.syy, 0) / tx.n - pow(coalesce(ty.sy, 0) / tx.n, 2) AS vy "
+    "FROM k CROSS JOIN f JOIN tx ON tx.subject = k.subject AND tx.f = f.f LEFT JOIN ty ON ty.subject = k.subject AND ty.l_partkey = k.l_partkey AND ty.f = f.f), "
+    f"w AS (SELECT subject, l_partkey, f, CASE WHEN vy > 1e-15 AND vx > 0 THEN n * c / sqrt(vx * vy) / (n + {WIDE_ALPHA}) ELSE 0 END AS w FROM a), "
+    "h AS (SELECT w.subject, w.l_partkey, w.f, w, coalesce(hy.sxy, 0) / hx.n - mx * coalesce(hy.sy, 0) / hx.n AS c, vx, coalesce(hy.syy, 0) / hx.n - pow(coalesce(hy.sy, 0) / hx.n, 2) AS vy "
+    "FROM w JOIN hx ON hx.subject = w.subject AND hx.f = w.f LEFT JOIN hy ON hy.subject = w.subject AND hy.l_partkey = w.l_partkey AND hy.f = w.f), "
+    "r AS (SELECT *, CASE WHEN vy > 1e-15 AND vx > 0 AND abs(w) > 1e-9 THEN sign(w) * c / sqrt(vx * vy) ELSE 0 END AS r FROM h) "
+    f"SELECT subject, l_partkey, count(*) AS n, {R('avg(w)', 5)} AS weight, {R('avg(r)', 5)} AS r FROM r GROUP BY 1, 2",
+)
+def encoding_blocks(spark, sf):
+    """Refit and held-out correlation of every part as a target, in blocks."""
+    x, signal, places, n = wide(spark, sf)
+    spectra = BL.factors(x, "subject", "t", 1, MONTHS, CHUNKS, length=4, n_boot=1)
+    alpha = spark.range(1).select(F.lit(WIDE_ALPHA).alias("alpha"))
+    fit = BL.blocked_fit(x, signal, places, spectra, alpha, "subject", "t", "l_partkey", n, MONTHS, CHUNKS)
+    long = BL.by_target(fit, places, "l_partkey", ["subject", "fold"], weight="weights", r="r")
+    return rounded(long.groupBy("subject", "l_partkey").agg(F.count("*").alias("n"), F.avg("weight").alias("weight"), F.avg("r").alias("r")), 5)
+
+
+@query(
+    "encoding_blocks_path",
+    "E1 W3",
+    f"WITH {_WIDE}, tr AS (SELECT f, t, (row_number() OVER (PARTITION BY f ORDER BY t) - 1) // 4 AS block FROM p, f WHERE fold <> f), "
+    "nb AS (SELECT f, count(*) // 4 AS n FROM tr GROUP BY 1), bl AS (SELECT f, n, unnest(range(0, n)) AS block FROM nb), bo AS (SELECT *, CAST(unnest(range(0, 30)) AS INTEGER) AS boot FROM bl), "
+    f"rk AS (SELECT *, row_number() OVER (PARTITION BY f, boot ORDER BY ({key_hash_sql('block', 'boot', '42')} >> 24) * 1000003 + block) AS k FROM bo), "
+    "h AS (SELECT rk.f, boot, t FROM rk JOIN tr ON tr.f = rk.f AND tr.block = rk.block WHERE k <= n // 4), "
+    "hx AS (SELECT subject, f, boot, count(*) AS n, avg(x) AS mx, var_pop(x) AS vx, sum(x) AS sx FROM x JOIN h USING (t) GROUP BY 1, 2, 3), "
+    "hy AS (SELECT subject, l_partkey, f, boot, sum(y) AS sy, sum(y * y) AS syy, sum(x * y) AS sxy FROM v JOIN h USING (t) GROUP BY 1, 2, 3, 4), "
+    "b AS (SELECT hy.subject, hy.l_partkey, hy.f, hy.boot, hy.sxy / hx.n - hx.mx * hy.sy / hx.n AS c, hx.vx, hy.syy / hx.n - pow(hy.sy / hx.n, 2) AS vy, "
+    "(ty.sxy - hy.sxy) - tx.mx * (ty.sy - hy.sy) - ty.sy / tx.n * (tx.n * tx.mx - hx.sx) + (tx.n - hx.n) * tx.mx * ty.sy / tx.n AS left_over, ty.syy / tx.n - pow(ty.sy / tx.n, 2) AS ay "
+    "FROM hy JOIN hx USING (subject, f, boot) JOIN tx ON tx.subject = hy.subject AND tx.f = hy.f JOIN ty ON ty.subject = hy.subject AND ty.l_partkey = hy.l_partkey AND ty.f = hy.f), "
+    "s AS (SELECT subject, l_partkey, sum(CASE WHEN vy > 1e-15 AND ay > 1e-15 AND abs(left_over) > 1e-9 THEN sign(left_over) * c / sqrt(vx * vy) ELSE 0 END) / 90 AS s FROM b GROUP BY 1, 2) "
+    f"SELECT k.subject, k.l_partkey, {R('coalesce(s.s, 0)', 5)} AS score FROM k LEFT JOIN s USING (subject, l_partkey)",
+)
+def encoding_blocks_path(spark, sf):
+    """Mean held-out correlation of a penalty over 30 bootstraps and all folds, for every part as a target; with one
+    feature it does not depend on the penalty."""
+    x, signal, places, n = wide(spark, sf)
+    spectra = cut(BL.factors(x, "subject", "t", 1, MONTHS, CHUNKS, length=4))
+    path = BL.blocked_path(x, signal, places, spectra, "subject", "t", "l_partkey", n, MONTHS, CHUNKS, length=4, alphas=(10.0,))
+    long = BL.by_target(path, places, "l_partkey", ["subject", "test_fold"], score="scores")
+    return rounded(long.groupBy("subject", "l_partkey").agg(F.avg("score").alias("score")), 5)

@@ -55,13 +55,13 @@ def test_ridge_path_matches_rows(series):
     kw = dict(length=5, frac=4, n_boot=3, seed=1)
     grams = E.boot_grams(df, "subject", "t", NX + NY, NT, NC, **kw)
     got = {(r.subject, r.test_fold, r.boot, r.alpha_id): r.scores for r in E.ridge_path(grams, "subject", NX, alphas).collect()}
-    held = {(r.test_fold, r.block): set(r.boots) for r in E.holdout_table(df.sparkSession, NT, NC, 5, 4, 3, 1).collect()}
+    held = {t: {(c // 4, c % 4 - 1) for c in codes} for t, _, codes in E.time_layout(NT, NC, 5, 4, 3, 1)}
     assert len(got) == 2 * 3 * 3 * 2
     for (s, f, b, a), scores in got.items():
         x, y = data[s]
         train = np.flatnonzero(fold != f)
         xz, yz = z(x[train]), z(y[train])
-        out = np.array([b in held.get((f, i // 5), ()) for i in range(len(train))])
+        out = np.array([(f, b) in held[t] for t in train])
         assert 0 < out.sum() < len(train)
         w = ridge(xz[~out], yz[~out], alphas[a])
         want = [np.corrcoef(xz[out] @ w[:, v], yz[out, v])[0, 1] for v in range(NY)]
