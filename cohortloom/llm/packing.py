@@ -12,6 +12,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +50,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = not special
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.marks = {name[:1] for name in self.special if not name[:1].isalpha()}
+        self.lettered = [name for name in self.special if name[:1] not in self.marks]
         self.latin = Tokenizer.from_file(file)
         self.latin.normalizer = normalizers.Sequence([])
         self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -59,7 +63,9 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _named(self, run: str) -> bool:
-        """Whether lower case could make the name of a special token of this run."""
+        """Whether lower case could make the name of a special token of this run. Most runs lack the first mark of one."""
+        if not self.lettered and self.marks.isdisjoint(run):
+            return False
         return any(name in run.lower() for name in self.special)
 
     def _learn(self, parts: list[str]) -> None:
@@ -91,12 +97,19 @@ class Encoder:
         if len(self.known) > CACHE or len(self.parts) > CACHE:
             self.known, self.parts = {}, {}
         known = self.known
-        fresh = {run for runs in split for run in runs if run not in known}
-        cut, parts = {}, set()
+        fresh = set().union(*split).difference(known)
+        cut = {}
         for run in fresh:
-            m = PLAIN.fullmatch(run)
-            cut[run] = ps = ((m[1].lower() if m[1].isascii() else m[1]), m[2]) if m else ((run.lower() if run.isascii() and not self._named(run) else run),) if run else ()
-            parts.update(p for p in ps if p not in self.parts)
+            if run.isalpha() and not self.lettered:
+                cut[run] = (run.lower() if run.isascii() else run,)
+            elif m := PLAIN.fullmatch(run):
+                word, end = m.groups()
+                # Letters that normalisation turns into letters and marks are not cut off from marks behind them.
+                whole = not word.isascii() and not normalize("NFC", word).lower().isalpha()
+                cut[run] = (run,) if whole else (word.lower() if word.isascii() else word, end)
+            else:
+                cut[run] = (run.lower() if run.isascii() and not self._named(run) else run,) if run else ()
+        parts = set(chain.from_iterable(cut.values())).difference(self.parts)
         latin = [p for p in parts if p.isalpha() and p == p.lower() and max(p) < LATIN]
         self._learn_latin(latin)
         self._learn(list(parts.difference(latin)))
