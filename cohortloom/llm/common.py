@@ -19,7 +19,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of ``kept`` tables that nothing unfinished reads."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -127,6 +137,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         step = labels.join(near.hint("merge"), labels.node == near.u).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("j"), F.col("root").alias("far"))
         moved = kept(step.join(jump.hint("merge"), step.root == jump.j).select("node", F.least("root", "far").alias("root"), "old"), "labels")
+        discard(labels)
         labels = moved.select("node", "root")
+        labels.kept_at = moved.kept_at
         if moved.filter("root <> old").isEmpty():
+            discard(both)
             return labels

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortloom.llm.common import Shingler, components, kept
+from cohortloom.llm.common import Shingler, components, discard, kept
 from cohortloom.session import parallelism
 
 CELLS = 1 << 24
@@ -247,7 +247,10 @@ def _linked(pairs: DataFrame, segments: DataFrame, cuts: int, percent: int) -> D
     right = placed.select("a", "b", F.col("g").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"))
     counted = left.groupBy("g", "fragment").cogroup(right.groupBy("group", "cut")).applyInArrow(_partial, "a binary, b binary, overlap long")
     summed = counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return summed.join(placed.hint("merge"), ["a", "b"]).filter(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    links = summed.join(placed.hint("merge"), ["a", "b"]).filter(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    links = kept(links, "links")
+    discard(placed)
+    return links
 
 
 def _forest(cuts: int, percent: int):
@@ -316,7 +319,10 @@ def _rest(postings: DataFrame, segments: DataFrame, labels: DataFrame, cuts: int
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = members.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     sides = sides.withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == F.col("lo"), 0).otherwise(1))
-    return sides.join(segments.hint("merge"), "node").select("root", "lo", "hi", "side", "node", "n", "comp", "fragment", "segment").groupBy("root", "lo", "hi").applyInArrow(_forest(cuts, percent), "a binary, b binary")
+    met = sides.join(segments.hint("merge"), "node").select("root", "lo", "hi", "side", "node", "n", "comp", "fragment", "segment")
+    more = kept(met.groupBy("root", "lo", "hi").applyInArrow(_forest(cuts, percent), "a binary, b binary"), "more")
+    discard(open_, clusters)
+    return more
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: int = CELLS) -> DataFrame:
@@ -341,6 +347,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     by_size = Window.partitionBy("gram").orderBy("n")
     closest = F.coalesce(F.lag("n").over(by_size) * 100 >= percent * F.col("n"), F.lit(False)) | F.coalesce(F.col("n") * 100 >= percent * F.lead("n").over(by_size), F.lit(False))
     lists = kept(postings.withColumn("close", closest).filter("close").drop("close"), "lists")
+    discard(postings)
     hubs = lists.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"))
     paired = lists.join(hubs.hint("merge"), "gram")
     near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
@@ -349,10 +356,17 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     wanted = found.join(lists.select("node").distinct().hint("merge"), "node", "left_semi").select("doc_id")
     full = _texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi")
     segments = kept(full.mapInArrow(_segments(n, order, VERIFY), "node binary, fragment int, segment binary"), "segments")
-    links = kept(_linked(pairs, segments, VERIFY, percent), "links")
+    links = _linked(pairs, segments, VERIFY, percent)
+    discard(pairs)
     labels = components(links, "a", "b")
-    more = kept(_rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent), "more")
-    labels = components(links.union(more), "a", "b")
+    more = _rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent)
+    discard(lists, segments, labels)
+    # Different texts under one id are joined by it.
+    owned = facts.filter("n > 0 and doc_id is not null").select("doc_id", "node")
+    shared = owned.groupBy("doc_id").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
+    repeats = owned.join(shared.hint("merge"), "doc_id").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b")
+    labels = components(links.union(more).union(repeats), "a", "b")
+    discard(links, more)
     named = found.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(roots.hint("merge"), "root").select("node", "component_id", F.col("copies").alias("n_copies"))
