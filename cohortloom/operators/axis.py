@@ -38,13 +38,16 @@ def pack_rows(df: DataFrame, keys, feature: str, value: str, vocab, out: str = "
 def dense(entries: str, width: int) -> Column:
     """Array of ``width`` values from (position, value) entries; absent positions are 0.
 
-    Complete rows only need sorting; the lookup is for rows with gaps. A repeated position is an error.
+    Complete rows only need sorting; the lookup is for rows with gaps. A repeated position is an error that says so.
     """
+    places = F.transform(entries, lambda e: e["_i"])
+    repeated = F.size(F.array_distinct(places)) < F.size(places)
     ordered = F.transform(F.array_sort(entries), lambda e: e["_v"])
     m = F.map_from_entries(entries)
     gaps = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
     complete = F.transform(F.array_sort(entries), lambda e: e["_i"].cast("int")) == F.sequence(F.lit(0), F.lit(width - 1))
-    return F.when(complete, ordered).otherwise(gaps)
+    twice = F.raise_error(F.lit("a position of a packed row has two values; aggregate them first")).cast("array<double>")
+    return F.when(complete, ordered).when(repeated, twice).otherwise(gaps)
 
 
 def dot(a, b) -> Column:

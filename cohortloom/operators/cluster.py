@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from cohortloom.functions.small import unpack
-from cohortloom.operators.gram import check_width, key_fields, map_rows
+from cohortloom.operators.gram import check_width, key_fields, map_rows, triangle
 from cohortloom.session import cut
 
 
@@ -26,32 +24,125 @@ def outlier_flags(df: DataFrame, cols, threshold: float) -> DataFrame:
     return df.withColumns({c: (F.abs(c) > threshold).cast("int") for c in cols})
 
 
-def kmeans_scan(df: DataFrame, row_id: str, cols, ks=(2, 3, 4, 5), restarts: int = 50, seed: int = 42):
-    """K-means for several k, best of ``restarts`` by cost.
-
+class Models:
+    """Centroids of many k-means models: for each k an array (start, cluster, column)."""
+
+    def __init__(self, ks, restarts: int, width: int):
+        self.ks, self.restarts = tuple(ks), restarts
+        self.centres = {k: np.zeros((restarts, k, width)) for k in self.ks}
+
+    def nearest(self, x: np.ndarray, k: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest cluster of every row in every live start, and the squared distance."""
+        c = self.centres[k][live]
+        flat = c.reshape(-1, x.shape[1])
+        d = (flat * flat).sum(axis=1) - 2 * x @ flat.T
+        d = d.reshape(len(x), -1, k)
+        at = d.argmin(axis=2)
+        return at, np.maximum(np.take_along_axis(d, at[:, :, None], axis=2)[:, :, 0] + (x * x).sum(axis=1)[:, None], 0)
+
+
+def _model_seeds(data: DataFrame, row_id: str, ks, restarts: int, seed: int, width: int) -> Models:
+    """Distinct rows of lowest hash as the first centroids of every model; a task keeps the k lowest of each."""
+    tops = [(k, r) for k in ks for r in range(restarts)]
+    schema = StructType([StructField("m", IntegerType()), StructField("h", LongType()), StructField("v", ArrayType(DoubleType()))])
+
+    def lowest(batches):
+        best: dict = {}
+        for pdf in batches:
+            h = pdf["h"].to_numpy().astype(np.uint64)
+            v = pdf["v"].to_numpy()
+            for m, (k, r) in enumerate(tops):
+                with np.errstate(over="ignore"):
+                    z = (h ^ np.uint64((seed + 1) * 1000003 + k * 7919 + r)) * np.uint64(0x9E3779B97F4A7C15)
+                    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = ((z ^ (z >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+                at = np.argsort(z, kind="stable")[:k] if len(z) <= k else np.argpartition(z, k - 1)[:k]
+                best[m] = sorted([*best.get(m, []), *((int(z[i]), tuple(v[i])) for i in at)])[:k]
+        rows = [(m, z, list(v)) for m, found in best.items() for z, v in found]
+        if rows:
+            yield pd.DataFrame(rows, columns=["m", "h", "v"])
+
+    found = data.select(F.xxhash64(row_id).alias("h"), "v").mapInPandas(lowest, schema)
+    ranked = found.withColumn("p", F.row_number().over(Window.partitionBy("m").orderBy("h", "v")))
+    models = Models(ks, restarts, width)
+    k_of = F.element_at(F.array(*[F.lit(k) for k, _ in tops]), F.col("m") + 1)
+    for row in ranked.filter(F.col("p") <= k_of).collect():  # one row for each centroid
+        k, r = tops[row.m]
+        models.centres[k][r, row.p - 1 :] = row.v
+    return models
+
+
+def kmeans_scan(df: DataFrame, row_id: str, cols, ks=(2, 3, 4, 5), restarts: int = 50, seed: int = 42, most: int = 300, tol: float = 1e-4):
+    """K-means for several k, best of ``restarts`` by cost; all models move in the same jobs.
+
+    The centroids of all (k, start) are one small table. A job assigns every row under all models that still move and
+    returns their sums, so its number does not depend on how many models there are. Rows with a null are left out.
     Returns (labels ``(k, row_id, cluster)``, inertia ``(k, inertia)``). Clusters are numbered by
     their sorted centroids, so the labels do not depend on the start.
     """
     spark = df.sparkSession
-    data = df.select(row_id, array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])).alias("features")).persist()
-    labels, costs = None, []
-    for k in ks:
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, maxIter=300, tol=1e-4).fit(data)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
-        centres = [c.tolist() for c in best.clusterCenters()]
-        rank = {int(i): p for p, i in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
-        order = F.array(*[F.lit(rank[i]) for i in range(len(centres))])
-        out = best.transform(data).select(
-            F.lit(k).alias("k"), row_id, F.element_at(order, F.col("prediction") + 1).alias("cluster")
-        )
-        labels = out if labels is None else labels.unionByName(out)
-        costs.append((k, float(best.summary.trainingCost)))
-    labels = cut(labels)
+    width = len(cols)
+    data = df.dropna(subset=list(cols)).select(row_id, F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).persist()
+    models = _model_seeds(data, row_id, ks, restarts, seed, width)
+    moving = {k: np.ones(restarts, bool) for k in models.ks}
+    schema = StructType([StructField("k", IntegerType()), StructField("start", IntegerType()), StructField("c", IntegerType()), StructField("s", ArrayType(DoubleType()))])
+
+    def assign(moving: dict) -> dict:
+        """(k, start, cluster): sums of the columns, number of rows, squared distances."""
+        shared = spark.sparkContext.broadcast((models, moving))
+
+        def sums(batches):
+            now, live = shared.value
+            total = {k: np.zeros((on.sum(), k, width + 2)) for k, on in live.items() if on.any()}
+            for pdf in batches:
+                if len(pdf):
+                    x = np.vstack(pdf["v"].to_numpy())
+                    full = np.column_stack([x, np.ones(len(x))])
+                    for k in total:
+                        at, d = now.nearest(x, k, live[k])
+                        for c in range(k):
+                            inside = at == c
+                            total[k][:, c, : width + 1] += inside.T @ full
+                            total[k][:, c, -1] += (inside * d).sum(axis=0)
+            rows = [(k, int(r), c, t[i, c].tolist()) for k, t in total.items() for i, r in enumerate(np.flatnonzero(live[k])) for c in range(k)]
+            yield pd.DataFrame(rows, columns=["k", "start", "c", "s"])
+
+        parts = data.select("v").mapInPandas(sums, schema)
+        added = parts.groupBy("k", "start", "c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width + 2)]).alias("s"))
+        out = {(r.k, r.start, r.c): np.array(r.s) for r in added.collect()}  # one row for each centroid
+        shared.unpersist()
+        return out
+
+    for _ in range(most):
+        if not any(on.any() for on in moving.values()):
+            break
+        shift = {k: np.zeros(restarts) for k in models.ks}
+        for (k, r, c), s in assign(moving).items():
+            if s[width] > 0:
+                new = s[:width] / s[width]
+                shift[k][r] = max(shift[k][r], np.sqrt(((new - models.centres[k][r, c]) ** 2).sum()))
+                models.centres[k][r, c] = new
+        moving = {k: on & (shift[k] > tol) for k, on in moving.items()}
+    cost = {k: np.zeros(restarts) for k in models.ks}
+    for (k, r, _), s in assign({k: np.ones(restarts, bool) for k in models.ks}).items():
+        cost[k][r] += s[-1]
+    best = Models(models.ks, 1, width)
+    for k in models.ks:
+        centres = models.centres[k][int(cost[k].argmin())]
+        best.centres[k][0] = centres[sorted(range(k), key=lambda c: tuple(centres[c]))]
+    one = np.ones(1, bool)
+    labelled = StructType([StructField("k", IntegerType()), df.schema[row_id], StructField("cluster", IntegerType())])
+
+    def label(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf["v"].to_numpy())
+                for k in best.ks:
+                    yield pd.DataFrame({"k": np.int32(k), row_id: pdf[row_id], "cluster": best.nearest(x, k, one)[0][:, 0].astype("int32")})
+
+    labels = cut(data.mapInPandas(label, labelled))
     data.unpersist()
-    return labels, spark.createDataFrame(costs, "k int, inertia double")
+    return labels, spark.createDataFrame([(k, float(cost[k].min())) for k in models.ks], "k int, inertia double")
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,28 +240,98 @@ def consensus_k(votes: DataFrame, k: str, min_k: int) -> DataFrame:
     return votes.agg(F.greatest(F.lit(min_k), F.bround(F.avg(k)).cast("int")).alias("k"))
 
 
-def _ward(d: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by minimum-variance merging of a distance matrix."""
+def _merges(d: np.ndarray) -> np.ndarray:
+    """Minimum-variance merges of a distance matrix in order: (a, b, height, size).
+
+    Leaves are 0 to n - 1, merge i makes node n + i. The nearest neighbour of every cluster is kept, so a merge reads
+    one row and not the matrix.
+    """
     n = len(d)
     d = d.astype(float) ** 2
     np.fill_diagonal(d, np.inf)
-    size, live = np.ones(n), np.ones(n, dtype=bool)
-    member = np.arange(n)
-    for _ in range(n - k):
-        i, j = divmod(int(d.argmin()), n)
+    size, live, node = np.ones(n), np.ones(n, dtype=bool), np.arange(n)
+    near = d.argmin(axis=1)
+    least = d[np.arange(n), near]
+    out = np.zeros((n - 1, 4))
+    for step in range(n - 1):
+        i = int(least.argmin())
+        j = int(near[i])
         i, j = min(i, j), max(i, j)
-        s = size[i] + size[j] + size
-        row = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / s
+        out[step] = (*sorted((node[i], node[j])), np.sqrt(d[i, j]), size[i] + size[j])
+        row = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        live[j] = False
         row[~live] = np.inf
-        row[[i, j]] = np.inf
+        row[i] = np.inf
         d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
+        d[j], d[:, j], least[j] = np.inf, np.inf, np.inf
         size[i] += size[j]
-        live[j] = False
-        member[member == j] = i
-    _, first = np.unique(member, return_index=True)
-    order = {member[f]: c for c, f in enumerate(sorted(first))}
-    return np.array([order[m] for m in member])
+        node[i] = n + step
+        again = np.flatnonzero(live & ((near == i) | (near == j)))
+        again = np.union1d(again, [i])
+        near[again] = d[again].argmin(axis=1)
+        least[again] = d[again, near[again]]
+        closer = live & (row < least)
+        near[closer], least[closer] = i, row[closer]
+    return out
+
+
+def _cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Labels of k clusters, numbered by their first member."""
+    parent = np.arange(2 * n - 1)
+    for step, (a, b, *_) in enumerate(merges[: n - k]):
+        parent[int(a)] = parent[int(b)] = n + step
+    top = np.arange(n)
+    while (parent[top] != top).any():
+        top = parent[top]
+    order: dict = {}
+    return np.array([order.setdefault(t, len(order)) for t in top.tolist()])
+
+
+def _distances(v, distance: bool) -> np.ndarray:
+    """Distances ``1 - minmax`` of packed similarities, unless they are distances already."""
+    s = unpack(v)
+    if not distance:
+        lo, hi = s.min(), s.max()
+        s = 1 - (s - lo) / (hi - lo) if hi > lo else 1 - s
+        np.fill_diagonal(s, 0)
+    return s
+
+
+def ward_tree(sims: DataFrame, keys, width: int, distance: bool = False) -> DataFrame:
+    """The dendrogram of each key's packed matrix, made once: ``(keys, step, a, b, height, size)``."""
+    check_width(width)
+    fields = [StructField(c, IntegerType()) for c in ("step", "a", "b")] + [StructField("height", DoubleType()), StructField("size", IntegerType())]
+    schema = StructType([*key_fields(sims, keys), *fields])
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        trees = [_merges(_distances(v, distance)) for v in pdf["sim"]]
+        out = pdf[list(keys)].iloc[np.repeat(np.arange(len(pdf)), width - 1)].reset_index(drop=True)
+        out["step"] = np.tile(np.arange(width - 1), len(pdf)).astype("int32")
+        all_ = np.vstack(trees) if trees else np.zeros((0, 4))
+        for i, c in enumerate(("a", "b", "height", "size")):
+            out[c] = all_[:, i] if c == "height" else all_[:, i].astype("int32")
+        return out
+
+    return map_rows(sims, keys, step, schema)
+
+
+def ward_scan(tree: DataFrame, keys, width: int, ks) -> DataFrame:
+    """Labels ``(keys, k, f, cluster)`` of every k from the stored merges."""
+    packed = tree.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "a", "b"))).alias("_m"))
+    schema = StructType([*key_fields(tree, keys), *[StructField(c, IntegerType()) for c in ("k", "f", "cluster")]])
+    ks = tuple(ks)
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for i, m in enumerate(pdf["_m"]):
+            merges = np.array([(r["a"], r["b"]) for r in m])
+            for k in ks:
+                out = pdf[list(keys)].iloc[np.full(width, i)].reset_index(drop=True)
+                out["k"], out["f"], out["cluster"] = np.int32(k), np.arange(width, dtype="int32"), _cut_tree(merges, width, k).astype("int32")
+                parts.append(out)
+        return pd.concat(parts)
+
+    return map_rows(packed, keys, step, schema)
 
 
 def ward(sims: DataFrame, keys, width: int, k: int, distance: bool = False) -> DataFrame:
@@ -178,24 +339,30 @@ def ward(sims: DataFrame, keys, width: int, k: int, distance: bool = False) -> D
 
     Similarities become distances ``1 - minmax`` first, unless they are distances already.
     """
-    check_width(width)
-    schema = StructType([*key_fields(sims, keys), StructField("f", IntegerType()), StructField("cluster", IntegerType())])
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = []
-        for v in pdf["sim"]:
-            s = unpack(v)
-            if not distance:
-                lo, hi = s.min(), s.max()
-                s = 1 - (s - lo) / (hi - lo) if hi > lo else 1 - s
-                np.fill_diagonal(s, 0)
-            labels.append(_ward(s, k))
-        out = pdf[list(keys)].iloc[np.repeat(np.arange(len(pdf)), width)].reset_index(drop=True)
-        out["f"] = np.tile(np.arange(width), len(pdf)).astype("int32")
-        out["cluster"] = np.concatenate(labels).astype("int32")
-        return out
-
-    return map_rows(sims, keys, step, schema)
+    return ward_scan(ward_tree(sims, keys, width, distance), keys, width, [k]).drop("k")
+
+
+def distance_cells(sims: DataFrame, keys, width: int, distance: bool = False) -> DataFrame:
+    """Stored distances in long form, both ways: ``(keys, f1, f2, d)`` without the diagonal."""
+    i, j = triangle("_p", width)
+    cells = sims.select(*keys, F.posexplode("sim").alias("_p", "s"), *([] if distance else [F.array_min("sim").alias("_lo"), F.array_max("sim").alias("_hi")]))
+    d = F.col("s") if distance else F.when(F.col("_hi") > F.col("_lo"), 1 - (F.col("s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1 - F.col("s"))
+    upper = cells.select(*keys, i.alias("f1"), j.alias("f2"), d.alias("d")).filter("f1 <> f2")
+    return upper.unionByName(upper.select(*keys, F.col("f2").alias("f1"), F.col("f1").alias("f2"), "d"))
+
+
+def stored_silhouette(distances: DataFrame, labels: DataFrame, keys) -> DataFrame:
+    """Silhouette ``(keys, k, f, cluster, silhouette)`` of every k from stored distances."""
+    keys = list(keys)
+    one = labels.select(*keys, "k", F.col("f").alias("f1"), F.col("cluster").alias("c1"))
+    two = labels.select(*keys, "k", F.col("f").alias("f2"), F.col("cluster").alias("c2"))
+    sums = distances.join(two, [*keys, "f2"]).groupBy(*keys, "k", "f1", "c2").agg(F.sum("d").alias("s"), F.count("*").alias("m"))
+    mean = F.col("s") / F.col("m")
+    own = F.col("c1") == F.col("c2")
+    each = sums.join(one, [*keys, "k", "f1"]).groupBy(*keys, "k", "f1", "c1").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
+    big = F.greatest("a", "b")
+    value = F.when(F.col("a").isNotNull() & (big > 0), (F.col("b") - F.col("a")) / big).otherwise(0.0)
+    return each.select(*keys, "k", F.col("f1").alias("f"), F.col("c1").alias("cluster"), value.alias("silhouette"))
 
 
 def cluster_members(labels: DataFrame, keys, member: str, cluster: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from cohortloom.operators.axis import dense
 from cohortloom.operators.gram import check_width, gram_shared, gram_wide, key_fields, map_rows
 from cohortloom.operators.ordering import argmax_by
 from cohortloom.operators.stats import bh, bonferroni
-from cohortloom.operators.temporal import ab_split, assign_folds, chunk_starts, join_stats, zscore
+from cohortloom.operators.temporal import ab_split, assign_folds, chunk_starts, fold_count, join_stats, zscore
 
 # Penalty grid, bootstrap layout and block lengths of the published analysis.
 ALPHAS = tuple(np.logspace(1, 4, 20))
@@ -111,7 +110,7 @@ def time_layout(n_points: int, n_chunks: int, length: int = BOOT_BLOCK, frac: in
     A bootstrap holds out the whole blocks of training points of lowest hash, as ``block_holdout`` draws them. This is
     the layout of an experiment, fixed by its arguments; it does not depend on any data.
     """
-    side = math.isqrt(n_chunks)
+    side = fold_count(n_chunks)
     starts = chunk_starts(n_points, n_chunks)
     folds = [(bisect.bisect_right(starts, t) - 1) % side for t in range(n_points)]
     codes: list[list[int]] = [[] for _ in folds]
@@ -251,7 +250,7 @@ def pooled_alpha(path: DataFrame, subject: str) -> DataFrame:
 
 def fold_grams(rows: DataFrame, subject: str, t: str, width: int, n_points: int, n_chunks: int, length: int = SPLIT_BLOCK) -> DataFrame:
     """``(subject, fold, half, g)``: sums per test fold and alternating half of it."""
-    r = ab_split(assign_folds(rows, t, n_points, n_chunks), "pos", length, F.lit(n_points // math.isqrt(n_chunks)))
+    r = ab_split(assign_folds(rows, t, n_points, n_chunks), "pos", length, F.lit(n_points // fold_count(n_chunks)))
     return gram_wide(r.select(subject, "fold", "half", "row"), [subject, "fold", "half"], "row", width)
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from cohortloom.functions.scalar import metric_average
+from cohortloom.functions.scalar import finite, metric_average
 from cohortloom.functions.small import condition_on, unpack
 from cohortloom.operators.cohort import complete_cases
 from cohortloom.operators.gram import gram_narrow, map_rows
-from cohortloom.operators.ordering import percentiles
+from cohortloom.operators.ordering import null_safe_join, order_bucket, percentiles
 from cohortloom.operators.temporal import join_stats
 
 # Gain in AIC that the smooth must bring, prediction and confidence multipliers, grid.
@@ -20,7 +20,6 @@ DELTA_AIC = 2.0
 PREDICTION = 1.645
 CONFIDENCE = 1.96
 GRID = 100
-MAX_GRID = 100_000  # points of one lookup grid; a longer one is an error
 
 
 def wiggle(x: Column, lo: Column, mid: Column, hi: Column) -> Column:
@@ -144,24 +143,39 @@ def trajectory(model: DataFrame, sex_value: float = 0.0, n: int = GRID) -> DataF
 
 
 def interp_join(df: DataFrame, grid: DataFrame, keys, x: str, gx: str, gy: str, buffer: float, out: str = "y_grid") -> DataFrame:
-    """Piecewise-linear lookup on a short grid, clamped at its ends; rows farther than ``buffer``
-    outside are dropped.
+    """Piecewise-linear lookup on a grid of any length, clamped at its ends; rows farther than ``buffer``
+    outside are dropped, as are rows without a number in ``x`` or without a grid.
 
-    The grid of a key (100 points) travels as one sorted array, so the lookup is an equi-join and a
-    search inside the array instead of a range join.
+    A sorted merge in ordered buckets of the value: inside a bucket a window carries the last and the next grid point to
+    every row, and the last point of earlier and the first of later buckets come by a join of one row for each bucket.
+    Of grid points with one ``gx`` the first by ``gy`` stands for what is above it and the last for what is below.
     """
     keys = list(keys)
-    pts = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(gx).alias("x"), F.col(gy).alias("y")))).alias("_g"))
-    size = F.size("_g")
-    pts = pts.withColumn("_g", F.when(size <= MAX_GRID, F.col("_g")).otherwise(F.raise_error(F.lit("the grid of a key is too long"))))
-    j = join_stats(df, pts, keys)
-    lo, hi = F.element_at("_g", 1)["x"], F.element_at("_g", -1)["x"]
-    v = F.col(x).cast("double")
-    at = F.size(F.filter("_g", lambda p: p["x"] <= v))
-    a, b = F.element_at("_g", F.greatest(at, F.lit(1))), F.element_at("_g", F.least(at + 1, F.size("_g")))
-    inside = F.when(b["x"] > a["x"], a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])).otherwise(a["y"])
-    y = F.when(v <= lo, F.element_at("_g", 1)["y"]).when(v >= hi, F.element_at("_g", -1)["y"]).otherwise(inside)
-    return j.filter((v >= lo - buffer) & (v <= hi + buffer)).withColumn(out, y).drop("_g")
+    value = F.col(x).cast("double")
+    point = F.struct(F.col(gx).cast("double").alias("x"), F.col(gy).cast("double").alias("y"))
+    points = grid.filter(finite(gx).isNotNull()).select(*keys, F.col(gx).cast("double").alias("_x"), point.alias("_p"), order_bucket(gx).alias("_bucket"))
+    rows = df.filter(finite(x).isNotNull()).select(*keys, value.alias("_x"), F.struct(*df.columns).alias("_row"), order_bucket(x).alias("_bucket"))
+    both = points.unionByName(rows, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_x", F.col("_p.x"), F.col("_p.y"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = both.withColumns({"_a": F.last("_p", True).over(upto), "_b": F.first("_p", True).over(onward)}).filter("_row is not null")
+    edges = points.groupBy(*keys, "_bucket").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    edges = edges.unionByName(rows.select(*keys, "_bucket").distinct(), allowMissingColumns=True).groupBy(*keys, "_bucket").agg(F.first("_first", True).alias("_first"), F.first("_last", True).alias("_last"))
+    chain = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
+    edges = edges.select(
+        *keys,
+        "_bucket",
+        F.last("_last", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(chain.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    j = null_safe_join(met, edges, [*keys, "_bucket"])
+    a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_after")
+    v = F.col("_x")
+    slope = F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
+    y = F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(a["y"] + F.coalesce(slope, F.lit(0.0)) * (v - a["x"]))
+    near = F.when(a.isNull(), v >= b["x"] - buffer).when(b.isNull(), v <= a["x"] + buffer).otherwise(True)
+    return j.filter((a.isNotNull() | b.isNotNull()) & near).select("_row.*", y.alias(out))
 
 
 def build_analysis_table(z: DataFrame, row_id: str, pairs: dict, items, group: str) -> DataFrame:

@@ -15,6 +15,10 @@ from cohortloom.operators.temporal import join_stats
 from cohortloom.session import parallelism
 
 
+CELLS = 1 << 22
+"""Distances held at a time."""
+
+
 def centroids(vertices: DataFrame, parcel: str, hemi: str) -> DataFrame:
     return vertices.groupBy(hemi, parcel).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")])
 
@@ -27,52 +31,69 @@ def _rotation(rng) -> np.ndarray:
     return np.eye(3) + 2 * (w * cross + cross @ cross) / (w * w + v @ v)
 
 
+def _nearest(points: np.ndarray, turned: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest free turned point of every point, and the squared distance; some rows of the distances at a time."""
+    at, far = np.empty(len(points), int), np.empty(len(points))
+    open_ = np.flatnonzero(free)
+    for lo in range(0, len(points), step := max(1, CELLS // max(len(open_), 1))):
+        part = slice(lo, lo + step)
+        d = sum((points[part, c, None] - turned[None, open_, c]) ** 2 for c in range(points.shape[1]))
+        hit = d.argmin(axis=1)
+        at[part], far[part] = open_[hit], d[np.arange(len(hit)), hit]
+    return at, far
+
+
 def _assign(points: np.ndarray, turned: np.ndarray) -> np.ndarray:
-    """Source index per parcel: the parcel whose nearest free point is farthest goes first."""
-    d = np.linalg.norm(points[:, None, :] - turned[None, :, :], axis=2)
-    out = np.full(len(points), -1)
+    """Source index per parcel: the parcel whose nearest free point is farthest goes first.
+
+    Every parcel remembers its nearest free point; only those that lose it to another look again, so no matrix of all
+    distances is held and the work is quadratic in the parcels.
+    """
+    out, free = np.full(len(points), -1), np.ones(len(points), bool)
+    at, far = _nearest(points, turned, free)
     for _ in range(len(points)):
-        near = np.where(out < 0, d.min(axis=1), -np.inf)
-        row = int(near.argmax())
-        hit = int(d[row].argmin())
-        out[row] = hit
-        d[:, hit] = np.inf
+        row = int(np.where(out < 0, far, -np.inf).argmax())
+        hit = int(at[row])
+        out[row], free[hit] = hit, False
+        lost = np.flatnonzero((out < 0) & (at == hit))
+        if len(lost):
+            at[lost], far[lost] = _nearest(points[lost], turned, free)
     return out
 
 
-def spin_permutations(cents: DataFrame, parcel: str, hemi: str, left, right, n: int, seed: int = 0, max_parcels: int = 20000) -> DataFrame:
+def spin_permutations(cents: DataFrame, parcel: str, hemi: str, left, right, n: int, seed: int = 0) -> DataFrame:
     """``(rot, parcel, src)`` for ``n`` random rotations, mirrored for the right hemisphere.
 
-    The atlas fixes the number of parcels; its centroids travel packed in one row, and every
+    The atlas fixes the number of parcels; its centroids travel packed in one row for each task, and every
     rotation is one unit of work with its own seed.
     """
     spark = cents.sparkSession
     packed = cents.select(parcel, hemi, F.array("x", "y", "z").alias("c"))
     packed = packed.groupBy().agg(F.array_sort(F.collect_list(F.struct(parcel, hemi, "c"))).alias("_all"))
-    rots = spark.range(n).repartition(min(n, parallelism(cents)), "id").select(F.col("id").cast("int").alias("rot"))
+    tasks = max(1, min(n, parallelism(cents)))
+    rots = spark.range(tasks).repartition(tasks, "id").select(F.sequence(F.col("id").cast("int"), F.lit(n - 1), F.lit(tasks)).alias("rots"))
     work = join_stats(rots, packed, [])
     schema = StructType([StructField("rot", IntegerType()), cents.schema[parcel], StructField("src", cents.schema[parcel].dataType)])
     mirror = np.diag([-1.0, 1.0, 1.0])
 
     def run(batches):
         for pdf in batches:
-            for rot, cells in zip(pdf["rot"], pdf["_all"], strict=True):
-                if len(cells) > max_parcels:
-                    raise ValueError("too many parcels for one distance matrix")
+            for numbers, cells in zip(pdf["rots"], pdf["_all"], strict=True):
                 ids = np.array([c[parcel] for c in cells])
                 side = np.array([c[hemi] for c in cells])
                 xyz = np.array([c["c"] for c in cells], dtype=float)
-                rng = np.random.default_rng([seed, int(rot)])
-                while True:
-                    q = _rotation(rng)
-                    src = ids.copy()
-                    for which, m in ((left, q), (right, mirror @ q @ mirror)):
-                        at = np.flatnonzero(side == which)
-                        if len(at):
-                            src[at] = ids[at][_assign(xyz[at], xyz[at] @ m)]
-                    if len(ids) < 2 or not (src == ids).all():
-                        break
-                yield pd.DataFrame({"rot": np.int32(rot), parcel: ids, "src": src})
+                for rot in numbers:
+                    rng = np.random.default_rng([seed, int(rot)])
+                    while True:
+                        q = _rotation(rng)
+                        src = ids.copy()
+                        for which, m in ((left, q), (right, mirror @ q @ mirror)):
+                            at = np.flatnonzero(side == which)
+                            if len(at):
+                                src[at] = ids[at][_assign(xyz[at], xyz[at] @ m)]
+                        if len(ids) < 2 or not (src == ids).all():
+                            break
+                    yield pd.DataFrame({"rot": np.int32(rot), parcel: ids, "src": src})
 
     return work.mapInPandas(run, schema)
 

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from cohortloom.functions.tails import t_sf
+from cohortloom.functions import tails
 from cohortloom.functions.scalar import corr_or_zero, key_hash
 from cohortloom.functions.small import unpack
+from cohortloom.functions.tails import t_sf
 from cohortloom.operators.gram import check_width, gram_wide, map_rows, sum_grams
 from cohortloom.operators.ordering import rank_table
+from cohortloom.operators.stats import bh
 from cohortloom.session import cut
 
 # Mixing grid, inner folds and path length of the published analysis.
@@ -281,6 +283,134 @@ def enet_cv(parts: DataFrame, layout: Layout, selected: DataFrame | None = None,
     return map_rows(work, ["rep", "fold", "item", "model"], step, schema)
 
 
+def outcome_blocks(rows: DataFrame, shuffled: DataFrame, row_id: str, block: int = 64) -> DataFrame:
+    """``(row_id, block, perms, ys)``: outcomes of numbered permutations, an array for each row and block of them."""
+    at = F.floor(F.col("perm") / block).cast("int").alias("block")
+    packed = shuffled.groupBy(row_id, at).agg(F.array_sort(F.collect_list(F.struct("perm", "y"))).alias("_e"))
+    return packed.select(row_id, "block", F.transform("_e", lambda e: e["perm"]).alias("perms"), F.transform("_e", lambda e: e["y"]).alias("ys"))
+
+
+def outcome_sums(rows: DataFrame, folds: DataFrame, outcomes: DataFrame, row_id: str, layout: Layout) -> DataFrame:
+    """``(fold, part, block, perms, xy)``: products of ``[1, x]`` with the outcomes of a block, column by column, and
+    each outcome's square at the end. Outcomes never meet each other."""
+    used = 1 + len(layout.covariates) + len(layout.features)
+    joined = outcomes.join(rows.select(row_id, F.slice("vec", 1, used - 1).alias("x")), row_id).join(folds, row_id).select("fold", "part", "block", "perms", "x", "ys")
+    keys = ["fold", "part", "block"]
+    perms = joined.schema["perms"]
+    schema = StructType([*[joined.schema[k] for k in keys], perms, StructField("xy", ArrayType(DoubleType()))])
+
+    def partial(batches):
+        held: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False):
+                x = np.ones((len(part), used))
+                x[:, 1:] = np.vstack(part["x"].to_numpy())
+                y = np.vstack(part["ys"].to_numpy())
+                sums = np.vstack([x.T @ y, (y * y).sum(axis=0)]).ravel()
+                held[key] = (part["perms"].iloc[0], held[key][1] + sums if key in held else sums)
+        if held:
+            out = pd.DataFrame(list(held), columns=keys)
+            out["perms"], out["xy"] = [list(v[0]) for v in held.values()], [v[1] for v in held.values()]
+            yield out
+
+    parts = joined.mapInPandas(partial, schema)
+    named = parts.groupBy("block").agg(F.first("perms").alias("perms"))
+    return sum_grams(parts.select(*keys, "xy"), keys, "xy").join(named, "block")
+
+
+def enet_many(train: list[np.ndarray], xy: list[np.ndarray], lay: Layout, l1_ratios=L1_RATIOS, n_alphas: int = N_ALPHAS):
+    """``enet_fit`` for many outcomes at once over one set of features.
+
+    ``train`` are the sums of ``[1, x]`` of each inner part, ``xy`` those with the outcomes (squares in the last row).
+    Returns the linear maps of ``[1, x]`` for the predictions and for the covariates' share of the outcomes.
+    """
+    g, c = sum(train), sum(xy)
+    n, size, many = g[0, 0], len(g), c.shape[1]
+    given, feats = [0, *lay.at(lay.adjust)], lay.at(lay.features)
+    inv = np.linalg.pinv(g[np.ix_(given, given)], hermitian=True)
+    share = np.zeros((size, many))
+    share[given] = inv @ c[given]
+    maps = np.zeros((len(feats), size))
+    maps[np.arange(len(feats)), feats] = 1.0
+    maps[:, given] -= (inv @ g[np.ix_(given, feats)]).T
+    sd = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", maps, g, maps) / n, 0))
+    maps *= np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 1e-10)[:, None]
+    lift = np.vstack([np.eye(1, size), maps])
+    zx = [lift @ q @ lift.T for q in train]
+    zy = [lift @ (v[:-1] - q @ share) for q, v in zip(train, xy, strict=True)]
+    yy = [v[-1] - 2 * (share * v[:-1]).sum(axis=0) + (share * (q @ share)).sum(axis=0) for q, v in zip(train, xy, strict=True)]
+    wx, wy = sum(zx), sum(zy)
+
+    def centre(x, y):
+        k, m = x[0, 0], x[0, 1:] / x[0, 0]
+        return x[1:, 1:] / k - np.outer(m, m), (y[1:] / k - np.outer(m, y[0] / k)).T
+
+    l1 = np.asarray(l1_ratios)
+    s_all, c_all = centre(wx, wy)
+    top = np.maximum(np.abs(c_all).max(axis=1)[:, None] / l1, 1e-12)
+    grid = top[:, :, None] * np.logspace(0, np.log10(PATH_DEPTH), n_alphas)
+    loss = np.zeros((many, len(l1), n_alphas))
+    for x, y, square in zip(zx, zy, yy, strict=True):
+        k = x[0, 0]
+        if k <= 0:
+            continue
+        s, cs = centre(wx - x, wy - y)
+        for j, ratio in enumerate(l1):
+            w = _enet_paths(np.broadcast_to(s, (many, *s.shape)), cs, grid[:, j], np.full(many, ratio))
+            b0 = ((wy - y)[0][:, None] - w @ (wx - x)[0, 1:]) / (wx - x)[0, 0]
+            full = np.concatenate([b0[:, :, None], w], axis=2)
+            loss[:, j] += (square[:, None] - 2 * np.einsum("map,pm->ma", full, y) + np.einsum("map,pq,maq->ma", full, x, full)) / k
+    pick = loss.reshape(many, -1).argmin(axis=1)
+    at = np.arange(many)
+    paths = np.empty((many, len(s_all)))
+    for j, ratio in enumerate(l1):
+        mine = np.flatnonzero(pick // n_alphas == j)
+        if len(mine):
+            w = _enet_paths(np.broadcast_to(s_all, (len(mine), *s_all.shape)), c_all[mine], grid[mine, j], np.full(len(mine), ratio))
+            paths[mine] = w[np.arange(len(mine)), pick[mine] % n_alphas]
+    hat = paths @ maps
+    hat[at, 0] += (wy[0] - paths @ wx[0, 1:]) / wx[0, 0]
+    return hat.T, share
+
+
+def permuted_scores(cells: DataFrame, sums: DataFrame, layout: Layout, l1_ratios=L1_RATIOS, n_alphas: int = N_ALPHAS) -> DataFrame:
+    """``(perm, r)``: pooled held-out correlation of every permuted outcome, from sums only.
+
+    ``cells`` are the sums of the rows by fold and part (one repetition), made once; ``sums`` come from
+    ``outcome_sums``. A task fits one fold and one block of outcomes.
+    """
+    used = 1 + len(layout.covariates) + len(layout.features)
+    packed = cells.groupBy().agg(F.collect_list(F.struct("fold", "part", "_gram")).alias("_cells"))  # folds x parts matrices
+    mine = sums.groupBy("block").agg(F.first("perms").alias("perms"), F.collect_list(F.struct("fold", "part", "xy")).alias("_xy"))
+    fold = cells.select(F.col("fold").alias("test_fold")).distinct()
+    work = mine.crossJoin(F.broadcast(fold)).crossJoin(F.broadcast(packed))
+    schema = StructType([StructField("perm", IntegerType()), *[StructField(n, DoubleType()) for n in ("n", "sy", "sh", "syy", "shh", "syh")]])
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for test, perms, given, products in zip(pdf["test_fold"], pdf["perms"], pdf["_cells"], pdf["_xy"], strict=True):
+            x = {(c["fold"], c["part"]): unpack(c["_gram"])[:used, :used] for c in given}
+            y = {(c["fold"], c["part"]): np.reshape(c["xy"], (used + 1, -1)) for c in products}
+            parts = sorted({p for _, p in x})
+            inner = [[k for k in x if k[1] == p and k[0] != test] for p in parts]
+            inner = [ks for ks in inner if ks]
+            hat, share = enet_many([sum(x[k] for k in ks) for ks in inner], [sum(y[k] for k in ks) for ks in inner], layout, l1_ratios, n_alphas)
+            held = [k for k in x if k[0] == test]
+            q, v = sum(x[k] for k in held), sum(y[k] for k in held)
+            sy, sh = v[0] - q[0] @ share, q[0] @ hat
+            syy = v[-1] - 2 * (share * v[:-1]).sum(axis=0) + (share * (q @ share)).sum(axis=0)
+            syh = (hat * (v[:-1] - q @ share)).sum(axis=0)
+            values = [np.full(len(perms), q[0, 0]), sy, sh, syy, (hat * (q @ hat)).sum(axis=0), syh]
+            out.append(pd.DataFrame({"perm": np.asarray(perms, "int32"), **dict(zip(schema.names[1:], values, strict=True))}))
+        return pd.concat(out)
+
+    by_fold = map_rows(work, ["block", "test_fold"], step, schema)
+    total = by_fold.groupBy("perm").agg(*[F.sum(c).alias(c) for c in schema.names[1:]])
+    norm = (F.col("syy") - F.col("sy") ** 2 / F.col("n")) * (F.col("shh") - F.col("sh") ** 2 / F.col("n"))
+    r = F.when(norm > 1e-20, (F.col("syh") - F.col("sy") * F.col("sh") / F.col("n")) / F.sqrt(norm)).otherwise(0.0)
+    return total.select("perm", r.alias("r"))
+
+
 def cv_predictions(rows: DataFrame, folds: DataFrame, fits: DataFrame, row_id: str) -> DataFrame:
     """Held-out predictions ``(row_id, rep, fold, item, model, y, y_hat)``, computed in the JVM."""
     j = rows.join(folds.select(row_id, "rep", "fold"), row_id).join(fits, ["rep", "fold"])
@@ -300,6 +430,16 @@ def cv_metrics(pred: DataFrame, keys) -> DataFrame:
     )
 
 
+def item_p(pred: DataFrame, model, item: str) -> DataFrame:
+    """Correlation of pooled predictions per model and item, its one-sided p, and p adjusted over the items of a model."""
+    model = list(model)
+    r = pred.groupBy(*model, item).agg(F.count("*").alias("n"), corr_or_zero("y", "y_hat").alias("r"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    upper = tails.t_tail(F.abs("t"), F.col("n") - 2.0)
+    r = r.withColumn("t", t).withColumn("p", F.when(F.col("t") >= 0, upper).otherwise(1 - upper))
+    return bh(r, model, "p", "p_adj", small_family=True)  # the items of a questionnaire
+
+
 def summarise(metrics: DataFrame, keys) -> DataFrame:
     return metrics.groupBy(*keys).agg(
         *[f(c).alias(f"{n}_{c}") for c in ("r", "r2", "mae") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from cohortloom.operators.axis import pca, pca_scores
 from cohortloom.operators.gram import check_width, key_fields, map_rows, sum_grams
 from cohortloom.session import cut
 
@@ -79,13 +80,15 @@ def _mean_vector(df: DataFrame, t: str, vec: str, out: str) -> DataFrame:
 def shared_response(signal: DataFrame, subject: str, t: str, v: int, k: int, n_iter: int = 10):
     """Deterministic shared response of packed signals ``(subject, t, vec)``.
 
-    Starts from the cohort mean of the first ``k`` parcels, then alternates: each subject's basis is
-    the orthogonal Procrustes fit of its signal to the shared course, the shared course the mean of
+    Starts from the first ``k`` principal courses of the cohort mean, which do not depend on the order of
+    the parcels, then alternates: each subject's basis is the orthogonal Procrustes fit of its signal to the shared course, the shared course the mean of
     the subjects seen through their bases. Returns (bases, shared, fitted signals).
     """
     check_width(v)
-    start = signal.select(t, F.slice("vec", 1, k).alias("p"))
-    shared = cut(_mean_vector(start, t, "p", "s"))
+    mean = cut(_mean_vector(signal, t, "vec", "m"))
+    courses = pca_scores(mean, pca(mean, [], "m", v, k), [], [t], "m")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("comp", "score"))), lambda c: c["score"])
+    shared = cut(courses.groupBy(t).agg(in_order.alias("s")))
     spans = cut(signal.select(subject, _span(t)).distinct())
     bases = None
     for _ in range(n_iter):

@@ -24,8 +24,11 @@ def characterise(df: DataFrame, cluster: str, age: str, male: str) -> DataFrame:
 
 
 def demographic_tests(df: DataFrame, cluster: str, age: str, male: str, pair=None) -> DataFrame:
-    """Analysis of variance on age and chi-square on sex. With ``pair``, the names of two clusters,
-    the pooled t of age and the exact test of sex (statistic: odds ratio) between those two."""
+    """Analysis of variance on age and chi-square on sex; for two clusters, or the two that ``pair`` names,
+    the pooled t of age and the exact test of sex (statistic: odds ratio), the smaller name first."""
+    if pair is None:
+        names = df.filter(F.col(cluster).isNotNull()).select(cluster).distinct().limit(3).collect()
+        pair = sorted(r[0] for r in names) if len(names) == 2 else None
     if pair is not None:
         first, second = pair
         two = df.filter(F.col(cluster).isin(first, second)).withColumn("_first", F.col(cluster) == F.lit(first))

@@ -4,6 +4,7 @@ grouped by (key, time), so no whole series is ever sorted in one task."""
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from cohortloom.functions.scalar import col, key_hash
 from cohortloom.operators.ordering import null_safe_join, rank_table
 
-# Delays in samples, trimmed length and chunk counts of the published analysis.
+# Delays in samples, and the first points of the chunks into which the published analysis cuts 740 points.
 DELAYS = (3, 5, 7, 9)
-N_POINTS = 740
-CHUNK_COUNTS = (9, 16)
+STARTS_9 = (0, 82, 164, 247, 329, 411, 494, 576, 658)
+STARTS_16 = (0, 46, 92, 138, 185, 231, 277, 323, 370, 416, 462, 508, 555, 601, 647, 693)
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -48,28 +49,32 @@ def trim(df: DataFrame, keys, t: str, start: int, end: int) -> DataFrame:
     return j.filter((F.col(t) >= F.col("_lo") + start) & (F.col(t) <= F.col("_hi") - end)).drop("_lo", "_hi")
 
 
-def chunk_starts(n_points: int, n_chunks: int) -> list[int]:
-    """First point of every contiguous chunk."""
-    if n_points == N_POINTS and n_chunks in CHUNK_COUNTS:
-        side = math.isqrt(n_chunks)
-        return [c * (n_points // n_chunks) + c // side for c in range(n_chunks)]
-    return [-(-c * n_points // n_chunks) for c in range(n_chunks)]
+def chunk_starts(n_points: int, chunks: int | Sequence[int]) -> list[int]:
+    """First point of every contiguous chunk: those given, or a number of near-equal ones."""
+    if isinstance(chunks, int):
+        return [-(-c * n_points // chunks) for c in range(chunks)]
+    return list(chunks)
 
 
-def chunk_of(t, n_points: int, n_chunks: int) -> Column:
+def fold_count(chunks: int | Sequence[int]) -> int:
+    """Folds of a chunk layout: the square root of its number of chunks."""
+    return math.isqrt(chunks if isinstance(chunks, int) else len(chunks))
+
+
+def chunk_of(t, n_points: int, n_chunks: int | Sequence[int]) -> Column:
     starts = chunk_starts(n_points, n_chunks)[1:]
     return sum((F.when(col(t) >= s, 1).otherwise(0) for s in starts), F.lit(0)).cast("int")
 
 
-def assign_folds(df: DataFrame, t: str, n_points: int, n_chunks: int) -> DataFrame:
-    """Contiguous chunks; fold = chunk modulo the square root of their number.
+def assign_folds(df: DataFrame, t: str, n_points: int, n_chunks: int | Sequence[int]) -> DataFrame:
+    """Contiguous chunks; fold = chunk modulo the square root of their number. ``n_chunks`` may be the chunks' first points.
 
     ``pos`` is the position of the point inside its fold.
     """
-    side = math.isqrt(n_chunks)
+    side = fold_count(n_chunks)
     starts = [*chunk_starts(n_points, n_chunks), n_points]
     shift = []
-    for c in range(n_chunks):
+    for c in range(len(starts) - 1):
         earlier = sum(starts[e + 1] - starts[e] for e in range(c % side, c, side))
         shift.append(earlier - starts[c])
     out = df.withColumn("chunk", chunk_of(t, n_points, n_chunks))

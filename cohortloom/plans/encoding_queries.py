@@ -11,6 +11,7 @@ from cohortloom.operators import encode as E
 from cohortloom.operators import nulls as N
 from cohortloom.operators import srm as SR
 from cohortloom.operators.gram import cells, gram_wide
+from cohortloom.operators.hierarchy import append_covariate
 from cohortloom.operators.ordering import argmax_by
 from cohortloom.operators.temporal import assign_folds, chunk_starts, minmax_bias
 from cohortloom.plans.catalog import R, emb_long, key_hash_sql, query, rounded, t_tail_sql, table
@@ -100,7 +101,7 @@ def fits(spark, sf, alpha: float = 100.0):
     return d, E.ridge_fit(folds, a, "subject", NX)
 
 
-@query("ridge_fit", "E4 A12 L7")
+@query("ridge_fit", "E4 A12")
 def ridge_fit(spark, sf):
     _, fit = fits(spark, sf)
     w = E.fit_weights(fit, "subject", NX)
@@ -389,3 +390,28 @@ def encoding_blocks_path(spark, sf):
     path = BL.blocked_path(x, signal, places, spectra, "subject", "t", "l_partkey", n, MONTHS, CHUNKS, length=4, alphas=(10.0,))
     long = BL.by_target(path, places, "l_partkey", ["subject", "test_fold"], score="scores")
     return rounded(long.groupBy("subject", "l_partkey").agg(F.avg("score").alias("score")), 5)
+
+
+@query(
+    "encoding_covariate",
+    "L7 E4",
+    f"WITH {_WIDE}, cv AS (SELECT subject, t, count(*) AS z FROM m GROUP BY 1, 2), x2 AS (SELECT x.*, coalesce(cv.z, 0) AS z FROM x LEFT JOIN cv ON cv.subject = x.subject AND cv.t = x.t), "
+    "v2 AS (SELECT y.*, x2.x, x2.z, x2.fold FROM y JOIN x2 USING (subject, t)), "
+    "t2 AS (SELECT subject, f, count(*) AS n, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS vx, var_pop(z) AS vz, corr(x, z) AS rho FROM x2, f WHERE fold <> f GROUP BY 1, 2), "
+    "s2 AS (SELECT subject, l_partkey, f, sum(y) AS sy, sum(y * y) AS syy, sum(x * y) AS sxy, sum(z * y) AS szy FROM v2, f WHERE fold <> f GROUP BY 1, 2, 3), "
+    "c2 AS (SELECT k.subject, k.l_partkey, f.f, t2.n, rho, coalesce(syy, 0) / t2.n - pow(coalesce(sy, 0) / t2.n, 2) AS vy, (coalesce(sxy, 0) / t2.n - mx * coalesce(sy, 0) / t2.n) / sqrt(vx) AS cx, (coalesce(szy, 0) / t2.n - mz * coalesce(sy, 0) / t2.n) / sqrt(vz) AS cz "
+    "FROM k CROSS JOIN f JOIN t2 ON t2.subject = k.subject AND t2.f = f.f LEFT JOIN s2 ON s2.subject = k.subject AND s2.l_partkey = k.l_partkey AND s2.f = f.f), "
+    f"w2 AS (SELECT subject, l_partkey, f, CASE WHEN vy > 1e-15 THEN n / sqrt(vy) * ((n + {WIDE_ALPHA}) * cx - n * rho * cz) / (pow(n + {WIDE_ALPHA}, 2) - pow(n * rho, 2)) ELSE 0 END AS w FROM c2) "
+    f"SELECT subject, l_partkey, count(*) AS n, {R('avg(w)', 5)} AS weight FROM w2 GROUP BY 1, 2",
+)
+def encoding_covariate(spark, sf):
+    """A covariate, the month's number of lines, takes part in the fit; weights and scores are those of the feature."""
+    x, signal, places, n = wide(spark, sf)
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("subject"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("t"))
+    count = li.groupBy("subject", "t").agg(F.count("*").alias("z"))
+    both = x.join(count, ["subject", "t"], "left").select("subject", "t", append_covariate(F.col("x"), F.coalesce("z", F.lit(0))).alias("x"))
+    spectra = BL.factors(both, "subject", "t", 2, MONTHS, CHUNKS, length=4, n_boot=1)
+    alpha = spark.range(1).select(F.lit(WIDE_ALPHA).alias("alpha"))
+    fit = BL.blocked_fit(both, signal, places, spectra, alpha, "subject", "t", "l_partkey", n, MONTHS, CHUNKS, n_scored=1)
+    long = BL.by_target(fit, places, "l_partkey", ["subject", "fold"], weight="weights")
+    return rounded(long.groupBy("subject", "l_partkey").agg(F.count("*").alias("n"), F.avg("weight").alias("weight")), 5)

@@ -12,10 +12,12 @@ from cohortloom.operators import glm as G
 from cohortloom.operators import stats as S
 from cohortloom.operators.cohort import group_mean
 from cohortloom.operators.harmonize import combat
+from cohortloom.operators.ordering import argmax_by
 from cohortloom.operators.temporal import join_stats, zscore
 from cohortloom.plans.atlas_queries import _NET, networks, sections
 from cohortloom.plans.catalog import EMB, R, WIDTH, emb_long, query, rounded, t_tail_sql, table
 from cohortloom.plans.stats_queries import _BH
+from cohortloom.session import cut
 
 
 def design(spark, sf):
@@ -44,6 +46,17 @@ def group_glm(spark, sf):
     return rounded(G.glm(design(spark, sf), ["parcel"], "value", ["grp", "cov"], "two"), 7, t=4, p=5)
 
 
+@query(
+    "group_glm_offset",
+    "D9 D10 A17",
+    f"WITH {_GLM} SELECT parcel, n, {R('t', 3)} AS t, df, {R('2 * ' + t_tail_sql('t', 'df'), 4)} AS p, TRUE AS tested FROM t",
+)
+def group_glm_offset(spark, sf):
+    """The models of ``group_glm`` with every value moved by a million: t and p stay what they are."""
+    far = design(spark, sf).withColumn("value", F.col("value") + 1e6)
+    return rounded(G.glm(far, ["parcel"], "value", ["grp", "cov"], "two").select("parcel", "n", "t", "df", "p", "tested"), 3, p=4)
+
+
 @query(
     "group_glm_fdr",
     "D9 D10 D11 H11",
@@ -265,6 +278,37 @@ def ward_features(spark, sf):
     return m.select("label", "cluster", F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"), "n")
 
 
+SCAN = range(2, 8)
+
+
+@query("ward_scan", "P5 P6")
+def ward_scan(spark, sf):
+    """Ward clusters of the features of each label for every k of one dendrogram, with their mean silhouette."""
+    sims = cut(D.similarity(vectors(spark, sf, "label"), ["label"], "vec", WIDTH, "cosine"))
+    labels = cut(CL.ward_scan(CL.ward_tree(sims, ["label"], WIDTH), ["label"], WIDTH, SCAN))
+    sil = CL.stored_silhouette(CL.distance_cells(sims, ["label"], WIDTH), labels, ["label"])
+    mean = sil.groupBy("label", "k").agg(F.countDistinct("cluster").alias("n_clusters"), F.avg("silhouette").alias("silhouette"))
+    best = argmax_by(mean, ["label"], "silhouette", "k", "k").select("label", F.col("k").alias("best"))
+    return rounded(mean.join(best, "label").select("label", "k", "n_clusters", "silhouette", (F.col("k") == F.col("best")).alias("selected")), 5)
+
+
+@query(
+    "stored_silhouette",
+    "P6",
+    f"WITH {EMB}, s AS (SELECT a.label, a.parcel AS f1, b.parcel AS f2, sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)) AS s FROM emb a JOIN emb b ON a.vec_id = b.vec_id AND a.label = b.label GROUP BY 1, 2, 3), "
+    "w AS (SELECT *, min(s) OVER (PARTITION BY label) AS lo, max(s) OVER (PARTITION BY label) AS hi FROM s), d AS (SELECT label, f1, f2, 1 - (s - lo) / (hi - lo) AS d FROM w WHERE f1 <> f2), "
+    "k AS (SELECT CAST(unnest(range(2, 5)) AS INTEGER) AS k), m AS (SELECT label, k, f1, f2 % k AS other, f1 % k AS cluster, avg(d) AS m FROM d, k GROUP BY ALL), "
+    "g AS (SELECT label, k, f1, cluster, max(m) FILTER (other = cluster) AS a, min(m) FILTER (other <> cluster) AS b FROM m GROUP BY ALL) "
+    f"SELECT label, k, CAST(f1 AS INTEGER) AS f, CAST(cluster AS INTEGER) AS cluster, {R('(b - a) / greatest(a, b)', 5)} AS silhouette FROM g",
+)
+def stored_silhouette(spark, sf):
+    """Silhouette from stored distances for given clusters: the remainder of a feature's number."""
+    sims = D.similarity(vectors(spark, sf, "label"), ["label"], "vec", WIDTH, "cosine")
+    ids = sims.select("label", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("f")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (2, 3, 4)])))
+    labels = ids.withColumn("cluster", (F.col("f") % F.col("k")).cast("int"))
+    return rounded(CL.stored_silhouette(CL.distance_cells(sims, ["label"], WIDTH), labels, ["label"]), 5)
+
+
 _SIL = (
     "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT label, count(*) AS m FROM e GROUP BY 1), "
     "d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS s FROM e a, e b GROUP BY 1, 2, 3), "
@@ -306,15 +350,17 @@ PROFILE = ["v0", "v1", "v2", "v3", "v4", "v5"]
 
 
 def profiles(spark, sf):
-    """Six-variable profiles: the first six cells of every vector, z-scored over all rows."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(6)])
+    """Six-variable profiles: every variable is the mean of each sixth cell of a vector, z-scored over all rows."""
+    every = lambda i: F.filter("embedding", lambda x, j: j % 6 == i)
+    mean = lambda i: F.aggregate(every(i), F.lit(0.0), lambda a, x: a + x) / len(range(i, WIDTH, 6))
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *[mean(i).alias(f"v{i}") for i in range(6)])
     s = e.agg(*[f(c).alias(f"_{n}_{c}") for c in PROFILE for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     j = join_stats(e, s, [])
     return j.select("vec_id", "label", *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in PROFILE])
 
 
 PROF = (
-    "r0 AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(6)) + " FROM embeddings), "
+    "r0 AS (SELECT vec_id, label, " + ", ".join("(" + " + ".join(f"CAST(embedding[{j + 1}] AS DOUBLE)" for j in range(i, WIDTH, 6)) + f") / {len(range(i, WIDTH, 6))} AS v{i}" for i in range(6)) + " FROM embeddings), "
     "pf AS (SELECT vec_id, label, " + ", ".join(f"(v{i} - avg(v{i}) OVER ()) / stddev_pop(v{i}) OVER () AS v{i}" for i in range(6)) + " FROM r0)"
 )
 _MEAN6 = "(v0 + v1 + v2 + v3 + v4 + v5) / 6"
@@ -332,12 +378,12 @@ def outlier_flags(spark, sf):
 
 @query("kmeans_scan", "B3 B4")
 def kmeans_scan(spark, sf):
-    """Best of five starts per k (the published analysis uses fifty), with inertia and silhouette."""
+    """Best of fifty starts for two to five clusters, with inertia and silhouette."""
     d = CL.profile_center(profiles(spark, sf), PROFILE).select("vec_id", *PROFILE)
-    labels, inertia = CL.kmeans_scan(d, "vec_id", PROFILE, ks=(2, 3), restarts=5)
+    labels, inertia = CL.kmeans_scan(d, "vec_id", PROFILE)
     v = d.select("vec_id", F.array(*PROFILE).alias("vec"))
     sil = None
-    for k in (2, 3):
+    for k in (2, 3, 4, 5):
         s = CL.silhouette(v.join(labels.filter(F.col("k") == k), "vec_id"), "vec_id", "vec", "cluster")
         s = s.agg(F.avg("silhouette").alias("silhouette")).withColumn("k", F.lit(k))
         sil = s if sil is None else sil.unionByName(s)

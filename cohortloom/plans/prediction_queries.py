@@ -105,24 +105,37 @@ def cv_metrics(spark, sf):
     return rounded(P.summarise(P.cv_metrics(p, ["item", "rep"]), ["item"]), 6, mean_mae=3, sd_mae=3)
 
 
+@query(
+    "item_p",
+    "Q8 H11",
+    "WITH p AS (SELECT model, l_linenumber AS item, l_extendedprice AS y, CASE WHEN model = 'quantity' THEN l_quantity ELSE l_tax END AS h FROM lineitem, (VALUES ('quantity'), ('tax')) m(model)), "
+    "r AS (SELECT model, item, count(*) AS n, corr(y, h) AS r FROM p GROUP BY 1, 2), "
+    "t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM r), "
+    f"v AS (SELECT *, CASE WHEN t >= 0 THEN {t_tail_sql('t', 'df')} ELSE 1 - {t_tail_sql('t', 'df')} END AS p FROM t), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p) AS k, count(*) OVER (PARTITION BY model) AS m FROM v) "
+    f"SELECT model, item, n, {R('r', 5)} AS r, {R('t', 3)} AS t, {R('p', 4)} AS p, {R('least(1.0, min(p * m / k) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING))', 4)} AS p_adj FROM k",
+)
+def item_p(spark, sf):
+    """One-sided p of each item's correlation under two models, adjusted over the items of a model."""
+    li = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("item"), F.col("l_extendedprice").alias("y"), "l_quantity", "l_tax")
+    pred = li.withColumn("_m", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("y_hat")) for n, c in (("quantity", "l_quantity"), ("tax", "l_tax"))])))
+    return rounded(P.item_p(pred.select("item", "y", "_m.*"), ["model"], "item"), 4, r=5, t=3)
+
+
 @query("outcome_permutation", "N5 Q5")
 def outcome_permutation(spark, sf):
-    """Shuffled outcomes against the observed held-out correlation; only the outcome column moves."""
+    """1,000 shuffled outcomes against the observed held-out correlation. The rows' cross-products are made once; a
+    permutation is one column of the products with the outcome."""
     rows = subjects(spark, sf)
     y = rows.select("vec_id", F.element_at("vec", -1).alias("y"))
-    shuffled = permuted_outcome(y, "vec_id", "y", 5, 3).unionByName(y.withColumn("perm", F.lit(-1)))
-    folds = cut(P.repeat_folds(rows, "vec_id", 1, 4)).drop("rep")
-    moved = cut(rows.join(shuffled, "vec_id").select("vec_id", "perm", F.concat(F.slice("vec", 1, LAYOUT.width - 1), F.array("y")).alias("vec")))
-    # A permutation takes the place of a repetition: one key of the same cross-product table.
-    per = moved.join(folds, "vec_id").select("vec_id", F.col("perm").alias("rep"), "fold", "part", "vec")
+    shuffled = permuted_outcome(y, "vec_id", "y", 1000, 3).unionByName(y.withColumn("perm", F.lit(-1)))
+    folds = cut(P.repeat_folds(rows, "vec_id", 1, 4))
     layout = P.Layout(LAYOUT.covariates, LAYOUT.features, LAYOUT.items, {"combined": LAYOUT.features}, None, LAYOUT.adjust)
-    cells = P.gram_wide(per, ["rep", "fold", "part"], "vec", layout.width)
-    fits = cut(P.enet_cv(P.training_parts(cut(cells)), layout, n_alphas=20)).filter("item = 'y2'")
-    full = F.concat(F.array(F.lit(1.0)), F.col("vec"))
-    dot = lambda m: F.aggregate(F.zip_with(full, m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pred = per.join(fits, ["rep", "fold"]).select("rep", dot("outcome").alias("y"), dot("hat").alias("y_hat"))
-    r = cut(P.cv_metrics(pred, ["rep"]))
-    return rounded(permutation_p(r.filter("rep >= 0"), r.filter("rep < 0").select("r")), 4)
+    cells = cut(P.fold_table(rows, folds, "vec_id", layout)).drop("rep")
+    blocks = cut(P.outcome_blocks(rows, shuffled, "vec_id"))
+    sums = cut(P.outcome_sums(rows, folds.drop("rep"), blocks, "vec_id", layout))
+    r = cut(P.permuted_scores(cells, sums, layout, n_alphas=20))
+    return rounded(permutation_p(r.filter("perm >= 0"), r.filter("perm < 0").select("r")), 4)
 
 
 @query("split_half_sharp", "Q9 Q10")

@@ -306,6 +306,31 @@ def gram_wide(spark, sf):
     return rounded(GR.cells(g, ["label"], 64), 5)
 
 
+@query(
+    "moments_wide",
+    "A17",
+    "WITH v AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings), ij AS (SELECT i, j FROM range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j) "
+    f"SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('covar_pop(v[i], v[j]) * count(*)', 5)} AS value FROM v, ij GROUP BY 1, 2, 3",
+)
+def moments_wide(spark, sf):
+    """Products around the mean, merged pairwise, of vectors that are moved by a thousand."""
+    e = table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double") + 1000.0).alias("v"))
+    return rounded(GR.cells(GR.moments_wide(e, ["label"], "v", 64), ["label"], 64).filter("i > 0"), 5)
+
+
+@query(
+    "moments_narrow",
+    "A17",
+    "WITH v AS (SELECT l_returnflag, l_linenumber, [l_quantity, l_discount, l_tax]::DOUBLE[] AS v FROM lineitem), ij AS (SELECT i, j FROM range(1, 4) a(i), range(1, 4) b(j) WHERE i <= j) "
+    f"SELECT l_returnflag, l_linenumber, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('covar_pop(v[i], v[j]) * count(*)', 4)} AS value FROM v, ij GROUP BY 1, 2, 3, 4",
+)
+def moments_narrow(spark, sf):
+    """Products around the mean of a few columns that are moved by ten thousand."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", *[(F.col(c) + 1e4).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    g = GR.moments(li, ["l_returnflag", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
+    return rounded(GR.cells(g, ["l_returnflag", "l_linenumber"], 3).filter("i > 0"), 4)
+
+
 @query(
     "train_complement",
     "U4 A17",

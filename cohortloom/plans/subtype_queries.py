@@ -251,7 +251,7 @@ _FISHER = (
 def demographic_tests_two(spark, sf):
     """Two clusters: pooled t of age and the exact test of sex."""
     a = ages(spark, sf).withColumn("male", dummy("sex", 0)).withColumn("two", (F.col("label") % 2).cast("int"))
-    return rounded(B.demographic_tests(a, "two", "age", "male", pair=(0, 1)), 5)
+    return rounded(B.demographic_tests(a, "two", "age", "male"), 5)
 
 
 @query("cluster_features", "B6 B2", f"WITH {AG} SELECT cluster, " + ", ".join(f"{R(f'avg(CASE WHEN abs(v{i}) > 1 THEN 1.0 ELSE 0.0 END)')} AS v{i}" for i in range(6)) + " FROM ag GROUP BY 1")

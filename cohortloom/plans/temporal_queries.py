@@ -282,6 +282,27 @@ def materialize_result(spark, sf):
     return S.read_result(spark, f"{root}/by_config", {"bias": "0.3", "verb": "1.0"})
 
 
+@query(
+    "materialize_config",
+    "S6 S5",
+    "SELECT l_returnflag, l_linestatus, b.bias, count(*) AS n, b.built, " + R("avg(l_discount) * b.bias") + " AS mean FROM lineitem, (VALUES (0.1, 1), (0.3, 2), (0.5, 1)) b(bias, built) GROUP BY ALL",
+)
+def materialize_config(spark, sf):
+    """Three configurations below one path; the second is built again from other inputs, the others are reused."""
+    from cohortloom.session import scratch_path
+
+    root = scratch_path(spark, "configurations")
+    li = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_discount").alias("mean"))
+    made = lambda bias, built: lambda: rounded(li.withColumn("mean", F.col("mean") * bias)).withColumn("built", F.lit(built))
+    for bias in (0.1, 0.3, 0.5):
+        S.materialize_config(spark, root, {"bias": str(bias)}, "v1", made(bias, 1))
+    out = None
+    for bias, inputs in ((0.1, "v1"), (0.3, "v2"), (0.5, "v1")):
+        one = S.materialize_config(spark, root, {"bias": str(bias)}, inputs, made(bias, 2)).withColumn("bias", F.lit(bias))
+        out = one if out is None else out.unionByName(one)
+    return out.select("l_returnflag", "l_linestatus", "bias", "n", "built", "mean")
+
+
 @query("csv_report", "S7 S1", f"SELECT c_mktsegment, count(*) AS n, {R('avg(c_acctbal)', 4)} AS mean FROM customer GROUP BY 1")
 def csv_report(spark, sf):
     """A small statistics table as one delimited file, read back with its schema."""

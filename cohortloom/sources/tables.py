@@ -3,6 +3,8 @@ a typo silently misses."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +82,48 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _key(config: dict) -> str:
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:32]
+
+
+def committed(spark: SparkSession, path: str, config: dict) -> str | None:
+    """What the finished result of this configuration was made from; None if there is none."""
+    record = f"{path.rstrip('/')}_commits/{_key(config)}"
+    p, fs = _files(spark, f"{record}/_SUCCESS")
+    return spark.read.parquet(record).first()["inputs"] if fs.exists(p) else None
+
+
+def materialize_config(spark: SparkSession, path: str, config: dict, inputs: str, build: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
+    """The result of one configuration below ``path``, built if it is absent, was made from other ``inputs``, or on
+    request; results of other configurations are not touched.
+
+    ``inputs`` names what the result depends on (versions, checksums). A commit record is written after the data and
+    removed before they are replaced, so a build that was cut off is built again.
+    """
+    path = path.rstrip("/")
+    record = f"{path}_commits/{_key(config)}"
+    if overwrite or committed(spark, path, config) != inputs:
+        at, fs = _files(spark, record)
+        fs.delete(at, True)
+        out = build().withColumns({k: F.lit(v) for k, v in config.items()})
+        # Only the partition that the rows belong to is replaced; an empty result leaves an empty partition.
+        if out.isEmpty():
+            old, fs = _files(spark, "/".join([path, *(f"{k}={v}" for k, v in config.items())]))
+            fs.delete(old, True)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*config).parquet(path)
+        spark.createDataFrame([(json.dumps(config, sort_keys=True), inputs)], "config string, inputs string").coalesce(1).write.mode("overwrite").parquet(record)
+    found = spark.read.parquet(path)
+    for k, v in config.items():
+        found = found.filter(F.col(k) == F.lit(v))
+    return found.drop(*config)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Small report as one delimited file."""
     df.coalesce(1).write.mode("error").option("header", True).csv(path)

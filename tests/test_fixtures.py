@@ -41,14 +41,14 @@ def test_lag_heads_are_zero(frame):
 
 
 def test_folds_740(spark):
-    df = T.assign_folds(spark.range(740).select(F.col("id").cast("int").alias("t")), "t", 740, 9)
+    df = T.assign_folds(spark.range(740).select(F.col("id").cast("int").alias("t")), "t", 740, T.STARTS_9)
     rows = df.collect()
     sizes = [sum(r.chunk == c for r in rows) for c in range(9)]
     assert sizes == [82, 82, 83, 82, 82, 83, 82, 82, 82]
     assert all(r.fold == r.chunk % 3 for r in rows)
     for f in range(3):
         assert sorted(r.pos for r in rows if r.fold == f) == list(range(sum(r.fold == f for r in rows)))
-    assert T.chunk_starts(740, 16)[:5] == [0, 46, 92, 138, 185] and T.chunk_starts(740, 16)[-1] == 693
+    assert T.chunk_starts(740, T.STARTS_16)[:5] == [0, 46, 92, 138, 185] and T.chunk_starts(740, T.STARTS_16)[-1] == 693 and T.chunk_starts(740, 2) == [0, 370]
 
 
 def test_dominant_label_tie(frame):
