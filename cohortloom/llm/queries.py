@@ -194,4 +194,31 @@ c4 AS (SELECT rid FROM r3 WHERE abs(size - gap) < gap QUALIFY row_number() OVER
 c AS (SELECT rid FROM c1 UNION ALL SELECT rid FROM c2 UNION ALL SELECT rid FROM c3 UNION ALL SELECT rid FROM c4),
 n AS (SELECT *, CAST(whole AS BIGINT) + CASE WHEN rid IN (SELECT rid FROM c) THEN 1 ELSE 0 END AS copies FROM y)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM n""",
+    "op13_repair": r"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+          lambda a, b: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(a, b)), 4294967295), 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS time FROM x WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+      CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 0 ELSE 3 END AS fault FROM o),
+w(g, n, h, s, t) AS (VALUES (0, 0, 0, '', ''), (0, 1, 2, 'I', chr(10) || 'user:'), (0, 2, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+      (1, 0, 1, '', ''), (1, 1, 2, 'I', chr(10) || 'user:'), (1, 2, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+      (2, 0, 2, '', ''), (2, 1, 3, 'I', chr(10) || 'assistant:'), (2, 2, 2, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'),
+      (3, 0, 3, '', ''), (3, 1, 2, 'I', chr(10) || 'user:'), (3, 2, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+r(conv_id, i, g, m) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'c': 0, 'a': '', 't': ''} FROM f
+      UNION ALL SELECT conv_id, i, e.g, min({'c': c + e.c, 'a': a || e.l, 't': t || e.line}) FROM (
+        SELECT r.conv_id, f.i, r.m.c + 5 * w.n AS c, r.m.a || w.s AS a, r.m.t || w.t AS t,
+          unnest([{'g': w.h, 'c': 2, 'l': 'D', 'line': ''}]
+            || CASE WHEN fault IN (0, 3) AND ((f.c = 's' AND h = 0) OR (f.c = 'u' AND h <> 2) OR (f.c = 'a' AND h = 2)) THEN [{'g': CASE f.c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'c': CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'l': 'K', 'line': chr(10) || role || ':' || text}] ELSE [] END
+            || CASE WHEN fault IN (0, 3) THEN [{'g': CASE WHEN h = 2 THEN 3 ELSE 2 END, 'c': CASE WHEN fault = 3 THEN 6 ELSE 1 END, 'l': 'R', 'line': chr(10) || CASE WHEN h = 2 THEN 'assistant' ELSE 'user' END || ':' || text}] ELSE [] END) AS e
+        FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1 JOIN w ON w.g = r.g) GROUP BY conv_id, i, e.g),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+      count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT n.conv_id, min({'c': r.m.c + 5 * e.k, 'a': r.m.a || e.s, 't': r.m.t || e.t}) AS m FROM n JOIN r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.n
+      JOIN (VALUES (0, 0, '', ''), (1, 2, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 1, 'I', chr(10) || 'assistant:'), (3, 0, '', '')) e(g, k, s, t) ON e.g = r.g GROUP BY n.conv_id)
+SELECT q.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+      CAST(coalesce(z.m.c, 0) AS BIGINT) AS cost, coalesce(z.m.a, '') AS audit, sha256(coalesce(substr(z.m.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM q.conv_id""",
 }
