@@ -25,11 +25,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes the files of ``kept`` tables that nothing unfinished reads."""
+    """Removes the files of ``kept`` tables that nothing unfinished reads.
+
+    Spark removes shuffle files once the driver has collected the plans that made them as garbage, by itself each half
+    hour; it is asked to here, so that the steps of one job do not pile up their shuffles on the executors' disks.
+    """
     for table in tables:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def words(text: Column) -> Column:
@@ -137,8 +143,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         step = labels.join(near.hint("merge"), labels.node == near.u).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("j"), F.col("root").alias("far"))
         moved = kept(step.join(jump.hint("merge"), step.root == jump.j).select("node", F.least("root", "far").alias("root"), "old"), "labels")
-        discard(labels)
-        labels = moved.select("node", "root")
+        labels, old = moved.select("node", "root"), labels
+        discard(old)
         labels.kept_at = moved.kept_at
         if moved.filter("root <> old").isEmpty():
             discard(both)
