@@ -8,7 +8,7 @@ at least, so a state is entered again only with a larger budget. The first path
 
 1. Rows are dealt into ranges of (conversation, turn, role, digest of the text). A task reads its range in order and
    settles every conversation that lies inside it and has at most ``ROWS`` rows.
-2. The rows of other conversations (the first and last of a range, and long ones) are cut into chunks of ``ROWS``.
+2. The rows of other conversations (the first and last of a range, and long ones) are cut into chunks of ``CHUNK``.
    Each chunk is searched from every state to every state; a chunk's edits end with a row's edit, so paths never begin
    alike and chain chunk by chunk without looking inside. Rows are then repaired chunk by chunk, and the digest of a
    conversation reads its repaired chunks in order.
@@ -35,6 +35,9 @@ from cohortloom.llm.common import kept
 from cohortloom.session import parallelism
 
 ROWS = 256
+"""Rows of a conversation that is searched as a whole."""
+CHUNK = 64
+"""Rows of a chunk of a longer one, which is searched from every state to every state."""
 PIECE = 1 << 20
 SOUND, BLANK, DUPLICATE, TRUNCATED = range(4)
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -354,14 +357,16 @@ def repair(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     settled = read.filter(F.col("cost").isNotNull()).select("conv_id", *RESULT)
 
     place = [F.col(c) for c in ("range", "place")]
-    open_rows = read.filter(F.col("range").isNotNull()).select("conv_id", "turn", "role", "text", "digest", *place, F.floor(F.col("place") / ROWS).cast("long").alias("chunk"))
+    open_rows = read.filter(F.col("range").isNotNull()).select("conv_id", "turn", "role", "text", "digest", *place, F.floor(F.col("place") / CHUNK).cast("long").alias("chunk"))
     first = open_rows.groupBy("conv_id", "role", "digest").agg(F.min(F.struct("range", "place")).alias("at")).select(F.col("at.range").alias("r"), F.col("at.place").alias("p"))
     ended = F.rtrim(F.col("text"), F.lit(SPACE))
     fault = F.when(ended == "", BLANK).when(F.col("p").isNull(), DUPLICATE).when(F.right(ended, F.lit(1)).isin(".", "!", "?"), SOUND).otherwise(TRUNCATED)
     known = open_rows.join(first, (F.col("range") == F.col("r")) & (F.col("place") == F.col("p")), "left")
     known = kept(known.select("conv_id", "turn", "range", "place", "chunk", F.left("role", F.lit(1)).alias("initial"), fault.alias("fault")), "faults")
     key = ["conv_id", "range", "chunk"]
-    chunks = kept(known.groupBy(*key).applyInArrow(_search_chunk, SEGMENT.format(**kinds)), "chunks")
+    # Few bytes make much work here, so the chunks are not put together by their size.
+    spread = known.repartition(parallelism(known), *key)
+    chunks = kept(spread.groupBy(*key).applyInArrow(_search_chunk, SEGMENT.format(**kinds)), "chunks")
     sorted_edits = F.array_sort(F.filter("edits", lambda e: e.isNotNull()))
     ranks = F.transform("edits", lambda e: F.array_position(sorted_edits, e))
     links = kept(chunks.select(*key, "first", "last", "costs", ranks.alias("ranks")).groupBy("conv_id").applyInArrow(_chain, LINK.format(**kinds)), "links")
