@@ -285,7 +285,7 @@ def materialize_result(spark, sf):
 @query(
     "materialize_config",
     "S6 S5",
-    "SELECT l_returnflag, l_linestatus, b.bias, count(*) AS n, b.built, " + R("avg(l_discount) * b.bias") + " AS mean FROM lineitem, (VALUES (0.1, 1), (0.3, 2), (0.5, 1)) b(bias, built) GROUP BY ALL",
+    "SELECT l_returnflag, l_linestatus, CAST(b.bias AS DOUBLE) AS bias, count(*) AS n, b.built, " + R("avg(l_discount) * any_value(CAST(b.bias AS DOUBLE))") + " AS mean FROM lineitem, (VALUES (0.1, 1), (0.3, 2), (0.5, 1)) b(bias, built) GROUP BY l_returnflag, l_linestatus, b.bias, b.built",
 )
 def materialize_config(spark, sf):
     """Three configurations below one path; the second is built again from other inputs, the others are reused."""
