@@ -40,6 +40,8 @@ ENTRIES = 1 << 20
 """Prefix entries meant for one fragment."""
 HOT = 4 * 18
 """Level of a cell with 2^18 occurrences."""
+SEEN = 1 << 20
+"""Shingles that a task holds before it counts them."""
 VERIFY = 8
 """Cuts of the order when overlaps are counted."""
 BLOCK = 256
@@ -54,18 +56,26 @@ def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes & (cells - 1)).astype(np.int64)
 
 
+def _add(total: np.ndarray, seen: list[np.ndarray]) -> None:
+    at, times = np.unique(np.concatenate([np.zeros(0, np.int64), *seen]), return_counts=True)
+    total[at] += times.astype(np.uint32)
+
+
 def _count(n: int, cells: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, shingler = np.zeros(cells, np.uint32), Shingler(n)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("data", pa.binary())])
         for batch in batches:
-            size, node, seen = [], [], []
+            size, node, seen, held = [], [], [], 0
             for s in shingler.sets(batch.column("text")):
                 size.append(len(s))
                 node.append(_node(s))
                 seen.append(_cell(s, cells))
-            at, times = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
-            total[at] += times.astype(np.uint32)
+                held += len(s)
+                if held > SEEN:
+                    _add(total, seen)
+                    seen, held = [], 0
+            _add(total, seen)
             k = len(size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         salt = TaskContext.get().partitionId() // 32  # counts of 32 tasks are added first
