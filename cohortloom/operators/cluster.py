@@ -315,10 +315,10 @@ def ward_tree(sims: DataFrame, keys, width: int, distance: bool = False) -> Data
     return map_rows(sims, keys, step, schema)
 
 
-def ward_scan(tree: DataFrame, keys, width: int, ks) -> DataFrame:
-    """Labels ``(keys, k, f, cluster)`` of every k from the stored merges."""
+def ward_scan(tree: DataFrame, keys, width: int, ks, number: str = "k") -> DataFrame:
+    """Labels ``(keys, k, f, cluster)`` of every k from the stored merges; ``number`` names the column of k."""
     packed = tree.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "a", "b"))).alias("_m"))
-    schema = StructType([*key_fields(tree, keys), *[StructField(c, IntegerType()) for c in ("k", "f", "cluster")]])
+    schema = StructType([*key_fields(tree, keys), *[StructField(c, IntegerType()) for c in (number, "f", "cluster")]])
     ks = tuple(ks)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -327,7 +327,7 @@ def ward_scan(tree: DataFrame, keys, width: int, ks) -> DataFrame:
             merges = np.array([(r["a"], r["b"]) for r in m])
             for k in ks:
                 out = pdf[list(keys)].iloc[np.full(width, i)].reset_index(drop=True)
-                out["k"], out["f"], out["cluster"] = np.int32(k), np.arange(width, dtype="int32"), _cut_tree(merges, width, k).astype("int32")
+                out[number], out["f"], out["cluster"] = np.int32(k), np.arange(width, dtype="int32"), _cut_tree(merges, width, k).astype("int32")
                 parts.append(out)
         return pd.concat(parts)
 
@@ -339,7 +339,7 @@ def ward(sims: DataFrame, keys, width: int, k: int, distance: bool = False) -> D
 
     Similarities become distances ``1 - minmax`` first, unless they are distances already.
     """
-    return ward_scan(ward_tree(sims, keys, width, distance), keys, width, [k]).drop("k")
+    return ward_scan(ward_tree(sims, keys, width, distance), keys, width, [k], "_k").drop("_k")
 
 
 def distance_cells(sims: DataFrame, keys, width: int, distance: bool = False) -> DataFrame:
