@@ -24,17 +24,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = False) -> None:
     """Removes the files of ``kept`` tables that nothing unfinished reads.
 
     Spark removes shuffle files once the driver has collected the plans that made them as garbage, by itself each half
-    hour; it is asked to here, so that the steps of one job do not pile up their shuffles on the executors' disks.
+    hour; with ``shuffles`` it is asked to now, after a large step, so that steps do not pile up their shuffles on the
+    executors' disks.
     """
     for table in tables:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
+    if tables and shuffles:
         tables[0].sparkSession._jvm.System.gc()
 
 

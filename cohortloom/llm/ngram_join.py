@@ -357,7 +357,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     by_size = Window.partitionBy("gram").orderBy("n")
     closest = F.coalesce(F.lag("n").over(by_size) * 100 >= percent * F.col("n"), F.lit(False)) | F.coalesce(F.col("n") * 100 >= percent * F.lead("n").over(by_size), F.lit(False))
     lists = kept(postings.withColumn("close", closest).filter("close").drop("close"), "lists")
-    discard(postings)
+    discard(postings, shuffles=True)
     hubs = lists.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"))
     paired = lists.join(hubs.hint("merge"), "gram")
     near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
@@ -367,10 +367,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     full = _texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi")
     segments = kept(full.mapInArrow(_segments(n, order, VERIFY), "node binary, fragment int, segment binary"), "segments")
     links = _linked(pairs, segments, VERIFY, percent)
-    discard(pairs)
+    discard(pairs, shuffles=True)
     labels = components(links, "a", "b")
     more = _rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent)
-    discard(lists, segments, labels)
+    discard(lists, segments, labels, shuffles=True)
     # Different texts under one id are joined by it.
     owned = facts.filter("n > 0 and doc_id is not null").select("doc_id", "node")
     shared = owned.groupBy("doc_id").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
