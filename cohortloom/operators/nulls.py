@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -17,6 +17,7 @@ from cohortloom.session import parallelism
 
 CELLS = 1 << 22
 """Distances held at a time."""
+RANGE_ROWS = 4096  # rows of a permutation that one window sorts, on average
 
 
 def centroids(vertices: DataFrame, parcel: str, hemi: str) -> DataFrame:
@@ -132,22 +133,36 @@ def compare_maps(maps: DataFrame, perm: DataFrame, parcel: str, x: str, y: str,
     return join_stats(spin.withColumnRenamed("p", "p_spin"), obs.select(F.col("n").alias("n_parcels"), F.col("p").alias("p_parametric")), [])
 
 
-def permuted_outcome(df: DataFrame, row_id: str, y: str, n_perm: int, seed: int) -> DataFrame:
-    """``(perm, row_id, y)``: outcomes shuffled over rows, the same way on every engine.
+def permuted_places(df: DataFrame, row_id: str, y: str, n_perm: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(perm, y, _pos)`` and ``(row_id, _pos)``: the outcome that every position receives under a permutation, and the
+    row at every position.
 
-    Row of position i (by id) takes the outcome of the row at position i in hash order. Both orders
-    come from bucketed ranks, so no permutation is sorted as a whole.
+    Hashes are uniform, so equal ranges of them hold few rows each: a window sorts one range of one permutation, and
+    the counts of the earlier ranges are added. Spark's size estimates do not see the rows that ``explode`` adds, so
+    the rows are dealt out before it and no join may send them to every task.
     """
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
     perms = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))
+    rows = df.select(row_id, y).repartition(parallelism(df), row_id).select("*", perms.alias("perm"))
+    rows = rows.withColumn("_h", key_hash(row_id, "perm", seed)).withColumn("_range", F.shiftright(F.shiftright("_h", 20) * ranges, 40).cast("int"))
+    before = Window.partitionBy("perm").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("perm", "_range").agg(F.count("*").alias("_c"))
+    offsets = offsets.select("perm", "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    # Row ids break hash ties.
+    inside = F.row_number().over(Window.partitionBy("perm", "_range").orderBy("_h", row_id)) - 1
+    moved = rows.withColumn("_in", inside).hint("merge").join(offsets.hint("merge"), ["perm", "_range"]).select("perm", y, (F.col("_off") + F.col("_in")).alias("_pos"))
     place = rank_table(df.select(row_id), [], row_id).select(row_id, F.col("_below").alias("_pos"))
-    shuffled = df.select(row_id, y, perms.alias("perm")).withColumn("_h", key_hash(row_id, "perm", seed))
-    # Row ids break hash ties: ties sort by id within equal hashes.
-    t = rank_table(shuffled, ["perm"], "_h").select("perm", "_h", "_below", "_n")
-    lone = shuffled.join(t.filter("_n = 1"), ["perm", "_h"]).select("perm", y, F.col("_below").alias("_pos"))
-    tied = shuffled.join(t.filter("_n > 1"), ["perm", "_h"])
-    inner = rank_table(tied, ["perm", "_h"], row_id).select("perm", "_h", row_id, F.col("_below").alias("_in"))
-    tied = tied.join(inner, ["perm", "_h", row_id]).select("perm", y, (F.col("_below") + F.col("_in")).alias("_pos"))
-    return lone.unionByName(tied).join(place, "_pos").select("perm", row_id, y)
+    return moved, place
+
+
+def permuted_outcome(df: DataFrame, row_id: str, y: str, n_perm: int, seed: int) -> DataFrame:
+    """``(perm, row_id, y)``: outcomes shuffled over rows, the same way on every engine.
+
+    Row of position i (by id) takes the outcome of the row at position i in hash order. No permutation is sorted as a
+    whole.
+    """
+    moved, place = permuted_places(df, row_id, y, n_perm, seed)
+    return moved.hint("merge").join(place.hint("merge"), "_pos").select("perm", row_id, y)
 
 
 def permutation_p(perm_stats: DataFrame, observed: DataFrame, keys=()) -> DataFrame:

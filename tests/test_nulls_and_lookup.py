@@ -1,5 +1,7 @@
 """Spin assignment without a distance matrix, lookup by sorted merge, start of the shared response."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,28 @@ def test_a_repeated_position_is_named(spark):
     df = spark.createDataFrame([("s", "f", 1.0), ("s", "f", 2.0), ("s", "g", 3.0)], "k string, feature string, value double")
     with pytest.raises(Exception, match="two values"):
         pack_rows(df, ["k"], "feature", "value", ["f", "g"]).collect()
+
+
+def sent_to_all(df):
+    """Lines of the plan below each broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in lines]
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((k for k in range(at + 1, len(lines)) if depth[k] <= depth[at]), len(lines))
+            yield lines[at:end]
+
+
+@pytest.mark.parametrize("rows", [3, 4096])
+def test_permuted_outcomes_are_those_of_sorted_hashes(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(N, "RANGE_ROWS", rows, raising=False)
+    path = str(tmp_path / "outcomes")
+    spark.range(0, 300, 3).selectExpr("id", "cast(id * id as double) as y").write.parquet(path)
+    df = spark.read.parquet(path)
+    made = N.permuted_outcome(df, "id", "y", 4, 5)
+    # Exploded rows, which Spark takes for few, are never sent to every task.
+    assert not [part for part in sent_to_all(made) if any("explode" in line for line in part)]
+    ids = list(range(0, 300, 3))
+    draw = lambda i, p: int(hashlib.md5(f"{i}:{p}:5".encode()).hexdigest()[:15], 16)
+    want = {(p, i): float(j * j) for p in range(4) for i, j in zip(ids, sorted(ids, key=lambda k: (draw(k, p), k)))}
+    assert {(r.perm, r.id): r.y for r in made.collect()} == want
