@@ -294,7 +294,9 @@ def outcome_sums(rows: DataFrame, folds: DataFrame, outcomes: DataFrame, row_id:
     """``(fold, part, block, perms, xy)``: products of ``[1, x]`` with the outcomes of a block, column by column, and
     each outcome's square at the end. Outcomes never meet each other."""
     used = 1 + len(layout.covariates) + len(layout.features)
-    joined = outcomes.join(rows.select(row_id, F.slice("vec", 1, used - 1).alias("x")), row_id).join(folds, row_id).select("fold", "part", "block", "perms", "x", "ys")
+    x = rows.select(row_id, F.slice("vec", 1, used - 1).alias("x")).join(folds, row_id)
+    # Outcomes outgrow every estimate of their size; they are never sent to all tasks.
+    joined = outcomes.hint("merge").join(x.hint("merge"), row_id).select("fold", "part", "block", "perms", "x", "ys")
     keys = ["fold", "part", "block"]
     perms = joined.schema["perms"]
     schema = StructType([*[joined.schema[k] for k in keys], perms, StructField("xy", ArrayType(DoubleType()))])

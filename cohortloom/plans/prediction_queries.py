@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.scalar import key_hash
 from cohortloom.operators import compare as M
 from cohortloom.operators import predict as P
-from cohortloom.operators.nulls import permutation_p, permuted_outcome
+from cohortloom.operators.nulls import permutation_p, permuted_places
 from cohortloom.plans.catalog import R, key_hash_sql, query, rounded, t_tail_sql, table
 from cohortloom.plans.stats_queries import _BH
 from cohortloom.session import cut
@@ -128,11 +128,15 @@ def outcome_permutation(spark, sf):
     permutation is one column of the products with the outcome."""
     rows = subjects(spark, sf)
     y = rows.select("vec_id", F.element_at("vec", -1).alias("y"))
-    shuffled = permuted_outcome(y, "vec_id", "y", 1000, 3).unionByName(y.withColumn("perm", F.lit(-1)))
+    moved, place = permuted_places(y, "vec_id", "y", 1000, 3)
+    place = cut(place)
+    own = y.join(place.hint("merge"), "vec_id").select(F.lit(-1).alias("perm"), "y", "_pos")
     folds = cut(P.repeat_folds(rows, "vec_id", 1, 4))
     layout = P.Layout(LAYOUT.covariates, LAYOUT.features, LAYOUT.items, {"combined": LAYOUT.features}, None, LAYOUT.adjust)
     cells = cut(P.fold_table(rows, folds, "vec_id", layout)).drop("rep")
-    blocks = cut(P.outcome_blocks(rows, shuffled, "vec_id"))
+    # Outcomes are packed by position before they meet the row there: one shuffle of single outcomes less.
+    packed = P.outcome_blocks(rows, moved.unionByName(own), "_pos")
+    blocks = cut(packed.hint("merge").join(place.hint("merge"), "_pos").drop("_pos"))
     sums = cut(P.outcome_sums(rows, folds.drop("rep"), blocks, "vec_id", layout))
     r = cut(P.permuted_scores(cells, sums, layout, n_alphas=20))
     return rounded(permutation_p(r.filter("perm >= 0"), r.filter("perm < 0").select("r")), 4)
