@@ -1,6 +1,7 @@
 """Ranks and tests without sorting or pairing a whole group, against brute force on skewed data."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from cohortloom.functions import scalar as X
 from cohortloom.operators import ordering as O
 from cohortloom.operators import stats as S
+from cohortloom.operators.axis import anchor_sign
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +130,24 @@ def test_top_fraction_and_best(frame):
     assert sorted(r.i for r in O.top_fraction(df, [], "v", 0.1).collect()) == [27, 28, 29]
     m = frame([("a", 1.0, 0.5), ("b", 2.0, 0.9)], "model string, aic double, cfi double")
     assert {r.measure: r.best_model for r in O.best_model(m, "model", ["aic"], ["cfi"]).collect()} == {"aic": "a", "cfi": "b"}
+
+
+def test_averages_do_not_depend_on_the_order_of_rows(spark):
+    rows = [0.1, 0.05, 0.04, 0.0, 0.07, 0.01, 0.06, 0.09, 0.0, 0.03, 0.08, 0.02] * 20
+    exact = sum(round(v * 100) for v in rows) / 100 / len(rows)
+    seen = set()
+    for seed in range(6):
+        some = [(0, float(v)) for v in np.random.default_rng(seed).permutation(rows)]
+        seen.add(spark.createDataFrame(some, "g int, v double").repartition(seed + 1).groupBy("g").agg(X.exact_avg("v").alias("a")).first().a)
+    assert seen == {exact}
+    odd = spark.createDataFrame([(0, None), (1, float("nan")), (1, 1.0), (2, 1e300), (2, 0.0), (3, None), (3, 2.5)], "g int, v double")
+    got = {r.g: r.a for r in odd.groupBy("g").agg(X.exact_avg("v").alias("a")).collect()}
+    assert got[0] is None and math.isnan(got[1]) and got[2] == 5e299 and got[3] == 2.5
+
+
+def test_a_missing_anchor_section_flips_nothing(spark):
+    scores = spark.createDataFrame([(0, 1, -2.0), (1, 1, -1.0), (0, 2, -3.0)], "parcel int, comp int, score double")
+    atlas = spark.createDataFrame([(0, 4), (1, 0)], "parcel int, section int")
+    got = lambda at: {(r.parcel, r.comp): r.score for r in anchor_sign(scores, atlas, "parcel", "section", at).collect()}
+    assert got(2) == {(0, 1): -2.0, (1, 1): -1.0, (0, 2): -3.0}
+    assert got(4) == {(0, 1): 2.0, (1, 1): 1.0, (0, 2): -3.0}
