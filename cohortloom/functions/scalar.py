@@ -179,3 +179,15 @@ def key_hash(key, *salts) -> Column:
     """
     parts = [(F.lit(s) if isinstance(s, int) else col(s)).cast("bigint").cast("string") for s in (key, *salts)]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def exact_avg(c, places: int = 12) -> Column:
+    """Average of decimal numbers that are stored as doubles, free of the order in which they are added.
+
+    Numbers count to ``places`` decimals; where a group holds NaN, infinity or numbers of more than 17 digits before
+    the point, it is the plain average.
+    """
+    c = col(c).cast("double")
+    odd = F.coalesce(F.isnan(c) | (F.abs(c) >= 1e17), F.lit(False))
+    whole = F.sum(F.when(~odd, c).try_cast(f"decimal(30,{places})"))
+    return F.when(F.max(odd), F.avg(c)).otherwise(whole.cast("double") / F.count(c))
