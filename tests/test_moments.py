@@ -1,6 +1,7 @@
 """Moments around the mean: exact merges, and models whose data lie far from zero."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,17 @@ def test_harmonising_does_not_depend_on_the_mean(spark):
     near = combat(df, "feature", "parcel", "site", "y", ["age"]).select("i", "harmonised").toPandas().sort_values("i")
     far = combat(df.withColumn("y", F.col("y") + 1e6 * F.col("parcel")), "feature", "parcel", "site", "y", ["age"]).withColumn("harmonised", F.col("harmonised") - 1e6 * F.col("parcel"))
     np.testing.assert_allclose(far.select("i", "harmonised").toPandas().sort_values("i")["harmonised"], near["harmonised"], atol=1e-6)
+
+
+def test_wide_rows_reach_a_step_in_frames_of_bounded_size(spark, monkeypatch):
+    from cohortloom.operators import gram as G
+
+    monkeypatch.setattr(G, "STEP_BYTES", 40_000, raising=False)
+    wide = spark.range(0, 600, 1, 2).selectExpr("cast(id as int) as k", "array(struct(transform(sequence(1, 100), x -> cast(x + id as double)) as _gram)) as parts")
+
+    def step(pdf):
+        return pd.DataFrame({"k": pdf["k"], "rows": np.int32(len(pdf)), "s": [float(np.sum(p[0]["_gram"])) if k else float("nan") for k, p in zip(pdf["k"], pdf["parts"])]})
+
+    got = G.map_rows(wide, ["k"], step, "k int, rows int, s double" if not hasattr(G, "map_slices") else G.StructType.fromDDL("k int, rows int, s double")).collect()
+    assert len(got) == 600 and max(r.rows for r in got) <= 50
+    assert all(r.s == 5050 + 100 * r.k for r in got if r.k)
