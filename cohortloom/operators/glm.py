@@ -79,12 +79,13 @@ def glm_fdr(df: DataFrame, key: str, y: str, terms, tail: str, alpha: float, fam
     return g.withColumn("sig", F.when(F.col("p_adj") < alpha, F.signum("t")).otherwise(0.0).cast("int"))
 
 
-def regress_out(df: DataFrame, keys, value: str, confounds, t: str | None = None, keep_mean: bool = True) -> DataFrame:
+def regress_out(df: DataFrame, keys, value: str, confounds, t: str | None = None, keep_mean: bool = True, small_keys: bool = False) -> DataFrame:
     """Residual of ``value`` on z-scored confounds per key, with its mean put back.
 
     With an intercept in the design the z-scoring of confounds changes nothing in the residual, so
     the slopes are solved on the products around the means. A confound that is all NULL counts as 0.
-    ``t`` adds a linear trend.
+    ``t`` adds a linear trend. ``small_keys`` is for a few keys of many rows each: their slopes are sent to the rows,
+    so no task reads all rows of a key.
     """
     keys = list(keys)
     d = df.fillna(0.0, list(confounds))
@@ -100,4 +101,4 @@ def regress_out(df: DataFrame, keys, value: str, confounds, t: str | None = None
     fit = F.lit(0.0) if keep_mean else mean
     for i, c in enumerate(cols):
         fit = fit + F.element_at("_b", i + 1) * (F.col(c) - F.element_at("_m", i + 1))
-    return join_stats(d, b, keys).withColumn("residual", F.col(value) - fit).drop("_b", "_m")
+    return join_stats(d, F.broadcast(b) if small_keys and keys else b, keys).withColumn("residual", F.col(value) - fit).drop("_b", "_m")

@@ -72,3 +72,16 @@ def test_hourly_series_keep_every_event_and_spread_over_tasks(spark, tmp_path):
     want |= {(1, 0): 5.0, (1, 719): 1.0, (1, 720): 4.0, (1, -2): 5.0, (2, 900): None, (None, 7): 1.5, (3, None): 3.0}
     got = [(r.user_id, r.t, r.x) for r in made.collect()]
     assert len(got) == len(want) and {(u, t): x for u, t, x in got} == want
+
+
+def test_slopes_of_few_keys_go_to_the_rows(spark):
+    from cohortloom.plans.queries import REGISTRY
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = REGISTRY["regress_out"].run(spark, "/root/testdata/sf0.001")
+        assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
