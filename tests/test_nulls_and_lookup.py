@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import nulls as N
+from cohortloom.operators import srm as SR
 from cohortloom.operators.axis import pack_rows
 from cohortloom.operators.normative import interp_join
 from cohortloom.operators.srm import shared_response
@@ -85,6 +86,25 @@ def test_shared_response_does_not_depend_on_the_order_of_parcels(spark):
     assert max(abs(one[k] - other[k]) for k in one) < 1e-6
 
 
+def test_shared_response_of_subjects_with_gaps_moves_bases_only(spark, monkeypatch):
+    monkeypatch.setattr(SR, "SPAN", 8)
+    monkeypatch.setattr(SR, "SPAN_CELLS", 40, raising=False)
+    rng = np.random.default_rng(4)
+    x = {s: rng.normal(size=(30, 5)) + np.outer(np.sin(np.arange(30)), np.arange(5)) for s in "abcd"}
+    seen = {s: [t for t in range(30) if s == "a" or (t * 7 + ord(s)) % 5] for s in x}
+    rows = [(s, t, x[s][t].tolist()) for s in x for t in seen[s]]
+    bases, shared, fitted = shared_response(spark.createDataFrame(rows, "subject string, t int, vec array<double>"), "subject", "t", 5, 2, n_iter=2)
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "InMemoryTableScan" in plan
+    course = {r.t: np.array(r.s) for r in shared.collect()}
+    w = {r.subject: np.array(r.w).reshape(5, 2) for r in bases.collect()}
+    for t in range(30):
+        assert np.allclose(course[t], np.mean([x[s][t] @ w[s] for s in x if t in seen[s]], axis=0))
+    got = {(r.subject, r.t): r.fitted for r in fitted.collect()}
+    assert got.keys() == {(s, t) for s, t, _ in rows}
+    assert all(np.allclose(v, w[s] @ course[t]) for (s, t), v in got.items())
+
+
 def test_a_repeated_position_is_named(spark):
     df = spark.createDataFrame([("s", "f", 1.0), ("s", "f", 2.0), ("s", "g", 3.0)], "k string, feature string, value double")
     with pytest.raises(Exception, match="two values"):
