@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from cohortloom.functions.small import unpack
@@ -149,45 +151,111 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def silhouette(df: DataFrame, row_id: str, vec: str, label: str, block_rows: int = 2048) -> DataFrame:
-    """Exact silhouette with Euclidean distance, per row.
+SIDE = 16  # blocks of rows at least, as far as these are worth it
+BLOCK_CELLS = 4 << 20  # numbers in a block of vectors at most
+TILE = 256  # rows of a block whose distances to the other block exist at a time
 
-    The metric needs every distance. Rows fall into hash blocks of bounded size; a task holds one
-    pair of blocks and returns, per row, the distance sums to each cluster - never the distances.
-    """
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    base = df.select(row_id, F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("c"))
-    base = base.withColumn("b", F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int"))
+
+def _pair_rows(blocks: int) -> Column:
+    """The block pairs (i, j), i <= j, that a row of block ``_b`` takes part in, as (i, j)."""
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.select(row_id, "v", F.col("b").alias("bi"), F.explode(others).alias("bj"))
-    right = base.select(F.col("v").alias("w"), F.col("c").alias("cw"), F.col("b").alias("bj"), F.explode(others).alias("bi"))
-    schema = StructType([df.schema[row_id], StructField("other", df.schema[label].dataType), StructField("s", DoubleType())])
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({row_id: [], "other": [], "s": []})
-        d = _squares(np.vstack(a["v"].to_numpy()), np.vstack(b["w"].to_numpy()))
-        # Summing squares through the dot product leaves rounding noise on the diagonal.
-        d[d < 1e-7] = 0.0
-        parts = []
-        for c, ix in b.groupby("cw", sort=False).indices.items():
-            parts.append(pd.DataFrame({row_id: a[row_id].to_numpy(), "other": c, "s": d[:, ix].sum(axis=1)}))
-        return pd.concat(parts, ignore_index=True)
-
-    pair = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(sums, schema)
-    total = pair.groupBy(row_id, "other").agg(F.sum("s").alias("s"))
-    sizes = base.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("m"))
-    j = total.join(sizes, "other").join(base.select(row_id, "c"), row_id)
-    own = F.col("other") == F.col("c")
-    g = j.groupBy(row_id, "c").agg(
-        F.max(F.when(own, F.col("m"))).alias("m"),
-        F.max(F.when(own & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("a"),
-        F.min(F.when(~own, F.col("s") / F.col("m"))).alias("b"),
+    return F.explode(F.transform(others, lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j"))))
+
+
+def _matrix(column, width: int | None = None) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, width or 1))
+
+
+def _pair_sums(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the distances of every row to the clusters of the other side, for both sides; ``hb`` None: within ``a``."""
+    same = hb is None
+    b, hb = (a, ha) if same else (b, hb)
+    to_b, to_a = np.zeros((len(a), hb.shape[1])), np.zeros((len(b), ha.shape[1]))
+    right = np.column_stack([b, np.ones(len(b)), (b * b).sum(axis=1)]).T.copy()
+    for lo in range(0, len(a), TILE):
+        x = a[lo : lo + TILE]
+        left = np.column_stack([-2 * x, (x * x).sum(axis=1), np.ones(len(x))])
+        for at in range(0, len(b), TILE):
+            d = left @ right[:, at : at + TILE]
+            # Squares through the dot product leave rounding noise where rows are equal.
+            d[d < 1e-14] = 0.0
+            np.sqrt(d, out=d)
+            if same and at == lo:
+                np.fill_diagonal(d, 0.0)
+            to_b[lo : lo + TILE] += d @ hb[at : at + TILE]
+            if not same:
+                to_a[at : at + TILE] += d.T @ ha[lo : lo + TILE]
+    return to_b, to_a
+
+
+def silhouettes(df: DataFrame, row_id: str, vec: str, labels: dict[str, Column], block_rows: int | None = None) -> DataFrame:
+    """Exact silhouettes with Euclidean distance of several labellings: ``(name, row_id, label, silhouette)``.
+
+    The metric needs every distance; each is made once, for both of its rows and all labellings. A task holds one pair
+    of blocks of rows and returns, per row, the distance sums to each cluster - never the distances. The number of
+    blocks is fixed until a block would outgrow a task, so the rows that travel grow with the input. ``labels`` are
+    columns of ``df`` of one type.
+    """
+    names = list(labels)
+    one = F.array(*[F.struct(F.lit(i).alias("m"), c.alias("c")) for i, c in enumerate(labels.values())])
+    base = df.select(row_id, F.col(vec).cast("array<double>").alias("v"), one.alias("l"))
+    n, width = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = -(-n // block_rows) if block_rows else max(min(SIDE, -(-n // TILE)), -(-n * ((width or 0) + 16) // BLOCK_CELLS))
+    base = base.withColumn("_b", F.pmod(F.xxhash64(row_id), F.lit(max(1, blocks))).cast("int"))
+    rows = base.select(row_id, "v", "l", "_b", _pair_rows(max(1, blocks)).alias("_p")).select("_p.i", "_p.j", "_b", row_id, "v", "l")
+    kind = base.schema["l"].dataType.elementType["c"].dataType
+    schema = StructType([df.schema[row_id], StructField("m", IntegerType()), StructField("other", kind), StructField("s", DoubleType())])
+    target = to_arrow_schema(schema)
+
+    def sums(table: pa.Table) -> pa.Table:
+        first = np.asarray(table.column("_b")) == np.asarray(table.column("i"))
+        same = bool(first.all()) and table.column("i")[0] == table.column("j")[0]
+        sides = [table.filter(pa.array(first)), table.filter(pa.array(~first))]
+        x = [_matrix(t.column("v")) for t in sides]
+        found = []
+        for t in sides:
+            flat = t.column("l").combine_chunks().flatten()
+            m, c = flat.field("m").to_numpy(zero_copy_only=False), flat.field("c").dictionary_encode()
+            code, size = c.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(c.dictionary))
+            known = code >= 0  # rows without a label count for none
+            pair, at = np.unique(m[known] * size + code[known], return_inverse=True)
+            member = np.zeros((len(t), len(pair)))
+            member[np.repeat(np.arange(len(t)), len(names))[known], at] = 1.0
+            found.append(((pair // size).astype(np.int32), c.dictionary.take(pa.array(pair % size)), member))
+        if same:
+            parts = [(sides[0], found[0], _pair_sums(x[0], x[0], found[0][2], None)[0])]
+        elif len(x[0]) and len(x[1]):
+            to_b, to_a = _pair_sums(x[0], x[1], found[0][2], found[1][2])
+            parts = [(sides[0], found[1], to_b), (sides[1], found[0], to_a)]
+        else:
+            parts = []
+        out = []
+        for t, (m, c, _), s in parts:
+            row, column = np.repeat(np.arange(s.shape[0]), s.shape[1]), np.tile(np.arange(s.shape[1]), s.shape[0])
+            out.append(pa.Table.from_arrays([t.column(row_id).take(pa.array(row)), pa.array(m[column]), c.take(pa.array(column)), pa.array(s.ravel())], schema=target))
+        return pa.concat_tables(out) if out else target.empty_table()
+
+    total = rows.groupBy("i", "j").applyInArrow(sums, schema).groupBy(row_id, "m", "other").agg(F.sum("s").alias("s"))
+    own = base.select(row_id, F.explode("l").alias("l")).select(row_id, "l.m", "l.c")
+    sizes = own.groupBy("m", F.col("c").alias("other")).agg(F.count("*").alias("size"))
+    j = total.join(sizes, ["m", "other"]).join(own, [row_id, "m"])
+    mine = F.col("other") == F.col("c")
+    g = j.groupBy(row_id, "m", "c").agg(
+        F.max(F.when(mine, F.col("size"))).alias("size"),
+        F.max(F.when(mine & (F.col("size") > 1), F.col("s") / (F.col("size") - 1))).alias("a"),
+        F.min(F.when(~mine, F.col("s") / F.col("size"))).alias("b"),
     )
     big = F.greatest("a", "b")
-    value = F.when((F.col("m") > 1) & (big > 0), (F.col("b") - F.col("a")) / big).otherwise(0.0)
-    return g.select(row_id, F.col("c").alias(label), value.alias("silhouette"))
+    value = F.when((F.col("size") > 1) & (big > 0), (F.col("b") - F.col("a")) / big).otherwise(0.0)
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("m") + 1)
+    return g.select(name.alias("name"), row_id, F.col("c").alias("label"), value.alias("silhouette"))
+
+
+def silhouette(df: DataFrame, row_id: str, vec: str, label: str, block_rows: int | None = None) -> DataFrame:
+    """Exact silhouette with Euclidean distance, per row."""
+    one = silhouettes(df, row_id, vec, {label: F.col(label)}, block_rows)
+    return one.select(row_id, F.col("label").alias(label), "silhouette")
 
 
 def cluster_validity(df: DataFrame, vec: str, label: str, width: int) -> DataFrame:

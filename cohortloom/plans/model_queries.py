@@ -381,12 +381,10 @@ def kmeans_scan(spark, sf):
     """Best of fifty starts for two to five clusters, with inertia and silhouette."""
     d = CL.profile_center(profiles(spark, sf), PROFILE).select("vec_id", *PROFILE)
     labels, inertia = CL.kmeans_scan(d, "vec_id", PROFILE)
-    v = d.select("vec_id", F.array(*PROFILE).alias("vec"))
-    sil = None
-    for k in (2, 3, 4, 5):
-        s = CL.silhouette(v.join(labels.filter(F.col("k") == k), "vec_id"), "vec_id", "vec", "cluster")
-        s = s.agg(F.avg("silhouette").alias("silhouette")).withColumn("k", F.lit(k))
-        sil = s if sil is None else sil.unionByName(s)
+    wide = labels.groupBy("vec_id").pivot("k", [2, 3, 4, 5]).agg(F.first("cluster"))
+    v = cut(d.select("vec_id", F.array(*PROFILE).alias("vec")).join(wide, "vec_id"))
+    each = CL.silhouettes(v, "vec_id", "vec", {str(k): F.col(str(k)) for k in (2, 3, 4, 5)})
+    sil = each.groupBy(F.col("name").cast("int").alias("k")).agg(F.avg("silhouette").alias("silhouette"))
     sizes = labels.groupBy("k").agg(F.count("*").alias("n"))
     return rounded(sizes.join(inertia, "k").join(sil, "k"), 3)
 
