@@ -26,6 +26,9 @@ def outlier_flags(df: DataFrame, cols, threshold: float) -> DataFrame:
     return df.withColumns({c: (F.abs(c) > threshold).cast("int") for c in cols})
 
 
+MODEL_ROWS = 16384  # rows that are worth a task of k-means
+
+
 class Models:
     """Centroids of many k-means models: for each k an array (start, cluster, column)."""
 
@@ -84,7 +87,9 @@ def kmeans_scan(df: DataFrame, row_id: str, cols, ks=(2, 3, 4, 5), restarts: int
     """
     spark = df.sparkSession
     width = len(cols)
-    data = df.dropna(subset=list(cols)).select(row_id, F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).persist()
+    data = df.dropna(subset=list(cols)).select(row_id, F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+    # A small file is read by few tasks, but each of its rows meets every centroid in every job.
+    data = data.repartition(max(1, min(spark.sparkContext.defaultParallelism, data.count() // MODEL_ROWS)), row_id).persist()
     models = _model_seeds(data, row_id, ks, restarts, seed, width)
     moving = {k: np.ones(restarts, bool) for k in models.ks}
     schema = StructType([StructField("k", IntegerType()), StructField("start", IntegerType()), StructField("c", IntegerType()), StructField("s", ArrayType(DoubleType()))])
