@@ -3,8 +3,9 @@
 The shingles have one global order, rare ones first. The order is cut into fragments; a set's part
 in a fragment is a segment. Overlaps are counted fragment by fragment and summed for each pair.
 
-1. One pass over the texts counts shingles in a fixed number of cells and notes each set's signature.
-   Equal sets are one node from here on. The cells only decide the order, so shared cells cost time, not results.
+1. One pass over the texts counts shingles in a fixed number of cells and notes each set's signature and
+   sketch, its shingles counted in buckets. Equal sets are one node from here on. The cells only decide the
+   order, so shared cells cost time, not results.
 2. A pair that links must share a shingle among the first |x| - ceil(t |x|) + 1 of either set. Those
    prefixes go to their fragments, where shingles of a single set fall away.
 3. In each list of sets that share a prefix shingle, every set is compared with one hub, the set of
@@ -12,6 +13,9 @@ in a fragment is a segment. Overlaps are counted fragment by fragment and summed
 4. Sets of one list that the hubs have not joined are compared with each other, in blocks. A block
    pair adds its partial overlaps fragment by fragment and returns a spanning forest of its links.
 
+Steps 3 and 4 look at sketches first. Two sketches bound the overlap of their sets from above, so a pair whose
+bound is too small cannot link; only the sets of the other pairs are made again from their texts and travel.
+
 Nothing is capped: a shingle in a third of all texts only makes more block pairs. The work of step 4
 grows with the square of the number of different, unjoined sets in a list.
 """
@@ -46,6 +50,8 @@ VERIFY = 8
 """Cuts of the order when overlaps are counted."""
 BLOCK = 256
 """Sets on each side of a block pair."""
+BITS = 1 << 26
+"""Bits that mark the documents whose sets are needed: 8 MB when sent to the tasks, at any size of the corpus."""
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -64,12 +70,13 @@ def _add(total: np.ndarray, seen: list[np.ndarray]) -> None:
 def _count(n: int, cells: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, shingler = np.zeros(cells, np.uint32), Shingler(n)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("data", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("data", pa.binary())])
         for batch in batches:
-            size, node, seen, held = [], [], [], 0
+            size, node, sketch, seen, held = [], [], [], [], 0
             for s in shingler.sets(batch.column("text")):
                 size.append(len(s))
                 node.append(_node(s))
+                sketch.append(_sketch(s))
                 seen.append(_cell(s, cells))
                 held += len(s)
                 if held > SEEN:
@@ -77,13 +84,13 @@ def _count(n: int, cells: int):
                     seen, held = [], 0
             _add(total, seen)
             k = len(size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(sketch, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         salt = TaskContext.get().partitionId() // 32  # counts of 32 tasks are added first
         for b in range(cells // PART):
             part = total[b * PART : (b + 1) * PART]
             if part.any():
                 part = part.astype(np.uint8) if part.max() < 256 else part
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
 
     return count
 
@@ -153,6 +160,67 @@ def _node(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Shingles counted in a power of two of buckets, two to four in each; nothing if a count outgrows its byte."""
+    buckets = 1 << max(5, (-(-len(s) // 4) - 1).bit_length())
+    counts = np.bincount((s >> 32) & (buckets - 1), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _folded(sketches: list[bytes], buckets: int) -> np.ndarray:
+    """Sketches of one size as rows of so many buckets, their own number or fewer."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8)
+    return rows.reshape(len(sketches), -1, buckets).sum(axis=1, dtype=np.uint32)
+
+
+def _reaches(x: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the other sets a set of ``n`` shingles can link with, as far as sketches tell."""
+    bound = np.minimum(x, others).sum(axis=1, dtype=np.int64)
+    return 100 * bound >= percent * (n + sizes - bound)
+
+
+def _possible(percent: int):
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sketches do not rule out a link."""
+        for batch in batches:
+            keep = []
+            for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "na", "sketch_b", "nb")), strict=True):
+                buckets = min(len(x), len(y))
+                keep.append(not buckets or bool(_reaches(_folded([x], buckets), n, _folded([y], buckets), np.array([m]), percent)[0]))
+            yield batch.select(["a", "na", "b", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    return possible
+
+
+def _hopeful(percent: int):
+    def hopeful(table: pa.Table) -> pa.Table:
+        """Sets of a block pair that can link with a set of another component across it, as far as sketches tell."""
+        sketch, n, side = table.column("sketch").to_pylist(), table.column("n").to_numpy(), table.column("side").to_numpy()
+        codes: dict[bytes, int] = {}
+        comp = np.array([codes.setdefault(c, len(codes)) for c in table.column("comp").to_pylist()])
+        width = np.array([len(x) for x in sketch])
+        keep = np.zeros(len(sketch), bool)
+        widths = np.unique(width).tolist()
+        for w in widths:
+            rows = np.flatnonzero((width == w) & (side != 1))
+            for v in widths:
+                columns = np.flatnonzero((width == v) & (side != 0))
+                near = comp[rows][:, None] != comp[columns][None, :]
+                near &= 100 * np.minimum.outer(n[rows], n[columns]) >= percent * np.maximum.outer(n[rows], n[columns])
+                if not near.any():
+                    continue
+                if buckets := min(w, v):
+                    x, y = (_folded([sketch[k] for k in own], buckets) for own in (rows, columns))
+                    for i in np.flatnonzero(near.any(axis=1)):
+                        j = np.flatnonzero(near[i])
+                        near[i, j] = _reaches(x[i], n[rows[i]], y[j], n[columns[j]], percent)
+                keep[rows[near.any(axis=1)]] = True
+                keep[columns[near.any(axis=0)]] = True
+        return table.drop_columns(["sketch"]).filter(pa.array(keep))
+
+    return hopeful
+
+
 def _prefixes(n: int, order: Order, cuts: int, percent: int):
     """Packs of prefix entries: one row for a fragment and a batch.
 
@@ -219,10 +287,12 @@ def _postings(table: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(grams, pa.int64()), "node": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(owner), [None, pa.py_buffer(nodes[owner].tobytes())]).cast(pa.binary()), "n": pa.array(facts[owner, 0].astype(np.int64)), "common": pa.array(facts[owner, 1])})
 
 
-def _segments(n: int, order: Order, cuts: int):
+def _cut_texts(n: int, order: Order, cuts: int, marks: np.ndarray):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((marks[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             rows = {"node": [], "fragment": [], "segment": []}
             for s in shingler.sets(batch.column("text")):
                 node = _node(s)
@@ -236,6 +306,19 @@ def _segments(n: int, order: Order, cuts: int):
     return segments
 
 
+def _segments(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, order: Order, cuts: int) -> DataFrame:
+    """Segments of the nodes, each from one document's text, and of the few sets whose documents share a mark with those."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    ids = found.join(nodes.hint("merge"), "node", "left_semi").select((bit + 1).alias("at"))
+    marks = np.zeros(BITS // 8, np.uint8)
+    marked = ids.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    for row in marked.collect():
+        part = np.frombuffer(row.bits, np.uint8)
+        marks[(row.bucket - 1) * len(part) : row.bucket * len(part)] = part
+    texts = _texts(docs).filter("doc_id is not null").withColumn("bit", bit)
+    return kept(texts.mapInArrow(_cut_texts(n, order, cuts, marks), "node binary, fragment int, segment binary"), "segments")
+
+
 def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
     """Overlaps of the pairs of one group within one fragment."""
     sets = {n: np.frombuffer(s, np.int64) for n, s in zip(left.column("node").to_pylist(), left.column("segment").to_pylist(), strict=True)}
@@ -315,8 +398,8 @@ def _forest(cuts: int, percent: int):
     return forest
 
 
-def _rest(postings: DataFrame, segments: DataFrame, labels: DataFrame, cuts: int, percent: int) -> DataFrame:
-    """Links between sets that share a prefix shingle but are not joined yet."""
+def _met(postings: DataFrame, found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Block pairs of sets that share a prefix shingle, are not joined yet and whose sketches allow a link."""
     placed = postings.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
     open_ = kept(placed.join(split.hint("merge"), "gram").select("gram", "node", "n", "comp"), "open")
@@ -329,10 +412,11 @@ def _rest(postings: DataFrame, segments: DataFrame, labels: DataFrame, cuts: int
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = members.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     sides = sides.withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == F.col("lo"), 0).otherwise(1))
-    met = sides.join(segments.hint("merge"), "node").select("root", "lo", "hi", "side", "node", "n", "comp", "fragment", "segment")
-    more = kept(met.groupBy("root", "lo", "hi").applyInArrow(_forest(cuts, percent), "a binary, b binary"), "more")
-    discard(open_, clusters)
-    return more
+    seen = sides.join(found.select("node", "sketch").hint("merge"), "node").select("root", "lo", "hi", "side", "node", "n", "comp", "sketch")
+    seen = seen.repartition(parallelism(seen), "root", "lo", "hi")
+    met = kept(seen.groupBy("root", "lo", "hi").applyInArrow(_hopeful(percent), "root binary, lo long, hi long, side int, node binary, n long, comp binary"), "met")
+    discard(open_, clusters, shuffles=True)
+    return met
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: int = CELLS) -> DataFrame:
@@ -347,9 +431,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     if not 0 < percent <= 100:
         raise ValueError("percent must be over 0 and at most 100")
     spark = docs.sparkSession
-    counted = kept(_texts(docs).mapInArrow(_count(n, cells), "doc_id long, n long, node binary, block int, salt int, data binary"), "gram-counts")
-    facts = counted.filter("block is null").select("doc_id", "n", "node")
+    counted = kept(_texts(docs).mapInArrow(_count(n, cells), "doc_id long, n long, node binary, sketch binary, block int, salt int, data binary"), "gram-counts")
     order = _order(counted, cells)
+    facts = kept(counted.filter("block is null").select("doc_id", "n", "node"), "facts")
+    found = kept(counted.filter("block is null and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "found")
+    discard(counted, shuffles=True)
     cuts = max(parallelism(docs), math.ceil(order.total * (100 - percent) / 100 / ENTRIES))
     packs = _texts(docs).filter("doc_id is not null").mapInArrow(_prefixes(n, order, cuts, percent), "route long, known boolean, grams binary, owner binary, nodes binary, facts binary")
     postings = kept(packs.groupBy("route").applyInArrow(_postings, "gram long, node binary, n long, common double"), "postings")
@@ -361,16 +447,20 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     hubs = lists.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"))
     paired = lists.join(hubs.hint("merge"), "gram")
     near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
-    pairs = kept(paired.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct(), "pairs")
-    found = kept(facts.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "found")
-    wanted = found.join(lists.select("node").distinct().hint("merge"), "node", "left_semi").select("doc_id")
-    full = _texts(docs).join(wanted.hint("merge"), "doc_id", "left_semi")
-    segments = kept(full.mapInArrow(_segments(n, order, VERIFY), "node binary, fragment int, segment binary"), "segments")
+    pairs = paired.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct()
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge"), side)
+    pairs = kept(pairs.select("a", "na", "sketch_a", "b", "nb", "sketch_b").mapInArrow(_possible(percent), "a binary, na long, b binary, nb long"), "pairs")
+    segments = _segments(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), found, n, order, VERIFY)
     links = _linked(pairs, segments, VERIFY, percent)
-    discard(pairs, shuffles=True)
+    discard(pairs, segments, shuffles=True)
     labels = components(links, "a", "b")
-    more = _rest(lists.select("gram", "node", "n"), segments, labels, VERIFY, percent)
-    discard(lists, segments, labels, shuffles=True)
+    met = _met(lists.select("gram", "node", "n"), found, labels, percent)
+    discard(lists, labels)
+    segments = _segments(docs, met.select("node").distinct(), found, n, order, VERIFY)
+    more = met.join(segments.hint("merge"), "node").repartition(parallelism(docs), "root", "lo", "hi")
+    more = kept(more.groupBy("root", "lo", "hi").applyInArrow(_forest(VERIFY, percent), "a binary, b binary"), "more")
+    discard(met, segments, shuffles=True)
     # Different texts under one id are joined by it.
     owned = facts.filter("n > 0 and doc_id is not null").select("doc_id", "node")
     shared = owned.groupBy("doc_id").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
