@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.session import scratch_path
@@ -36,7 +36,12 @@ def discard(*tables: DataFrame, shuffles: bool = False) -> None:
         path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables and shuffles:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Asks Spark to remove the shuffles of plans that nothing refers to any more."""
+    spark._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

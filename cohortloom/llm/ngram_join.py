@@ -10,8 +10,9 @@ in a fragment is a segment. Overlaps are counted fragment by fragment and summed
    prefixes go to their fragments, where shingles of a single set fall away.
 3. In each list of sets that share a prefix shingle, every set is compared with one hub, the set of
    most common shingles: partial overlaps by fragment, summed for each pair.
-4. Sets of one list that the hubs have not joined are compared with each other, in blocks. A block
-   pair adds its partial overlaps fragment by fragment and returns a spanning forest of its links.
+4. Sets of one list that the hubs have not joined are compared with each other, in blocks, lists with
+   the same smallest set together. A block pair gets whole sets, counts overlaps by ranges of their hashes
+   and returns a spanning forest of its links.
 
 Steps 3 and 4 look at sketches first. Two sketches bound the overlap of their sets from above, so a pair whose
 bound is too small cannot link; only the sets of the other pairs are made again from their texts and travel.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortloom.llm.common import Shingler, components, discard, kept
+from cohortloom.llm.common import Shingler, components, discard, kept, sweep
 from cohortloom.session import parallelism
 
 CELLS = 1 << 24
@@ -351,7 +352,7 @@ def _forest(cuts: int, percent: int):
         """Links between different components within one block pair, as a spanning forest."""
         nodes = table.column("node").to_pylist()
         comp, side, n = table.column("comp").to_pylist(), table.column("side").to_pylist(), np.array(table.column("n").to_pylist(), np.int64)
-        fragment, segment = table.column("fragment").to_pylist(), table.column("segment").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("segment").to_pylist()]
         ids = {x: k for k, x in enumerate(dict.fromkeys(nodes))}
         own = np.array([ids[x] for x in nodes])
         size, group, left, right = np.zeros(len(ids), np.int64), [None] * len(ids), np.zeros(len(ids), bool), np.zeros(len(ids), bool)
@@ -363,12 +364,11 @@ def _forest(cuts: int, percent: int):
         at_row, at_column = np.full(len(ids), -1), np.full(len(ids), -1)
         at_row[rows], at_column[columns] = np.arange(len(rows)), np.arange(len(columns))
         overlap = np.zeros((len(rows), len(columns)), np.int64)
+        marks = np.array([(k << 64) // cuts for k in range(1, cuts)], np.uint64)
+        ends = np.array([[0, *np.searchsorted(x, marks), len(x)] for x in sets])
         for f in range(cuts):
-            part = [i for i, x in enumerate(fragment) if x == f]
-            if not part:
-                continue
-            grams = np.concatenate([np.frombuffer(segment[i], np.int64) for i in part])
-            who = np.repeat(own[part], [len(segment[i]) // 8 for i in part])
+            grams = np.concatenate([x[a:b] for x, a, b in zip(sets, ends[:, f], ends[:, f + 1], strict=True)])
+            who = np.repeat(own, ends[:, f + 1] - ends[:, f])
             by = np.argsort(grams, kind="stable")
             grams, who = grams[by], who[by]
             edge = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1], True])
@@ -398,24 +398,23 @@ def _forest(cuts: int, percent: int):
     return forest
 
 
-def _met(postings: DataFrame, found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _met(lists: DataFrame, found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Block pairs of sets that share a prefix shingle, are not joined yet and whose sketches allow a link."""
-    placed = postings.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    open_ = kept(placed.join(split.hint("merge"), "gram").select("gram", "node", "n", "comp"), "open")
-    # Lists with common members are one cluster, so that a pair is met once and not for each shingle it shares.
-    star = open_.join(open_.groupBy("gram").agg(F.min("node").alias("hub")).hint("merge"), "gram").select("node", "hub")
-    clusters = components(star, "node", "hub")
-    members = open_.select("node", "n", "comp").distinct().join(clusters.hint("merge"), "node")
+    placed = lists.select("gram", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    whole = Window.partitionBy("gram")
+    open_ = placed.select("node", "n", "comp", F.min("node").over(whole).alias("root"), F.min("comp").over(whole).alias("lo"), F.max("comp").over(whole).alias("hi"))
+    # Lists with the same smallest member are met together, as a pair often shares many shingles. Lists that only touch are
+    # not: in a large corpus most of them reach each other by chance.
+    members = kept(open_.filter("lo <> hi").select("root", "node", "n", "comp").distinct(), "open")
     blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = members.join(blocks.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = members.join(blocks.hint("merge"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sides = members.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    sides = placed.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     sides = sides.withColumn("side", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == F.col("lo"), 0).otherwise(1))
     seen = sides.join(found.select("node", "sketch").hint("merge"), "node").select("root", "lo", "hi", "side", "node", "n", "comp", "sketch")
     seen = seen.repartition(parallelism(seen), "root", "lo", "hi")
     met = kept(seen.groupBy("root", "lo", "hi").applyInArrow(_hopeful(percent), "root binary, lo long, hi long, side int, node binary, n long, comp binary"), "met")
-    discard(open_, clusters, shuffles=True)
+    discard(members, shuffles=True)
     return met
 
 
@@ -439,15 +438,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     cuts = max(parallelism(docs), math.ceil(order.total * (100 - percent) / 100 / ENTRIES))
     packs = _texts(docs).filter("doc_id is not null").mapInArrow(_prefixes(n, order, cuts, percent), "route long, known boolean, grams binary, owner binary, nodes binary, facts binary")
     postings = kept(packs.groupBy("route").applyInArrow(_postings, "gram long, node binary, n long, common double"), "postings")
+    sweep(spark)
     # A set stays in a list if the next smaller or next larger one there is close enough in size to link.
     by_size = Window.partitionBy("gram").orderBy("n")
     closest = F.coalesce(F.lag("n").over(by_size) * 100 >= percent * F.col("n"), F.lit(False)) | F.coalesce(F.col("n") * 100 >= percent * F.lead("n").over(by_size), F.lit(False))
-    lists = kept(postings.withColumn("close", closest).filter("close").drop("close"), "lists")
+    whole = Window.partitionBy("gram")
+    lists = postings.withColumn("close", closest).filter("close").withColumn("hub", F.max(F.struct("common", "n", "node")).over(whole)).withColumn("members", F.count("*").over(whole))
+    lists = kept(lists.filter(F.col("node") != F.col("hub.node")).select("gram", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "lists")
     discard(postings, shuffles=True)
-    hubs = lists.groupBy("gram").agg(F.max(F.struct("common", "n", "node")).alias("hub"))
-    paired = lists.join(hubs.hint("merge"), "gram")
-    near = F.least("n", F.col("hub.n")) * 100 >= percent * F.greatest("n", F.col("hub.n"))
-    pairs = paired.filter(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).distinct()
+    near = F.least("n", "hub_n") * 100 >= percent * F.greatest("n", "hub_n")
+    pairs = lists.filter(near).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), F.col("hub_n").alias("nb")).distinct()
     for side in "ab":
         pairs = pairs.join(found.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge"), side)
     pairs = kept(pairs.select("a", "na", "sketch_a", "b", "nb", "sketch_b").mapInArrow(_possible(percent), "a binary, na long, b binary, nb long"), "pairs")
@@ -455,9 +455,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, cells: in
     links = _linked(pairs, segments, VERIFY, percent)
     discard(pairs, segments, shuffles=True)
     labels = components(links, "a", "b")
-    met = _met(lists.select("gram", "node", "n"), found, labels, percent)
+    met = _met(lists.filter("members > 2"), found, labels, percent)  # the hub has met the others
     discard(lists, labels)
-    segments = _segments(docs, met.select("node").distinct(), found, n, order, VERIFY)
+    segments = _segments(docs, met.select("node").distinct(), found, n, order, 1)
     more = met.join(segments.hint("merge"), "node").repartition(parallelism(docs), "root", "lo", "hi")
     more = kept(more.groupBy("root", "lo", "hi").applyInArrow(_forest(VERIFY, percent), "a binary, b binary"), "more")
     discard(met, segments, shuffles=True)
